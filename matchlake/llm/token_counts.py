@@ -1,12 +1,11 @@
 """Token counts of byte-level BPE without ever encoding a document.
 
-1. Pre-tokens: the distinct ones of each task, then of the corpus. Each distinct pre-token is
-   encoded once, and only the number of its pieces is kept.
-2. Frequencies: how often each document holds each pre-token. A task turns them round, into one
-   row a pre-token and slice of documents with the documents' keys and counts, so a frequent
-   pre-token is shuffled once a slice and not once a document; what is hot is thereby
-   aggregated before the shuffle, and the join may split what is left of it.
-3. The join of both by pre-token, and the sum of count times pieces by document.
+1. Pre-tokens: the distinct ones of each task with their counts, then of the corpus. Each
+   distinct pre-token is encoded once, and only the number of its pieces is kept.
+2. Frequencies: how often each document holds each pre-token, joined to those numbers, and the
+   sum of count times pieces by document. The join is in two parts, as pre-tokens are as skewed
+   as words: the most frequent ones, ``hot`` at most, are broadcast, so their frequencies are
+   summed where the document is read; the frequencies of all others are shuffled by pre-token.
 
 Special strings in texts count as the library counts them by default: as one token each.
 Null and empty texts have 0 bytes and 0 tokens. Rows with equal ids are counted apart: rows are
@@ -15,18 +14,23 @@ told apart by a number that a task gives them, and carry their id along. No rows
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
-import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: The pre-token pattern of the vocabulary (fixed by it).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPECIAL = "<|endoftext|>"
-#: Distinct pre-tokens that a task holds at a time, and documents in a slice.
-HELD, SLICE = 200_000, 2000
+#: Distinct pre-tokens that a task holds at a time; the longest that may be broadcast.
+HELD, HOT_CHARS = 200_000, 32
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -45,14 +49,15 @@ def _splitter() -> Callable[[str], list[str]]:
 
 
 def _distinct(batches: Batches) -> Batches:
-    split, held = _splitter(), set()
+    split, held = _splitter(), Counter()
+    emit = lambda: pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["token", "n"])
     for batch in batches:
         for text in batch.column(0):
             held.update(split(text.as_py() or ""))
             if len(held) > HELD:
-                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], names=["token"])
+                yield emit()
                 held.clear()
-    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], names=["token"])
+    yield emit()
 
 
 def _pieces(tokenizer_file: str) -> Callable[[Batches], Batches]:
@@ -66,55 +71,62 @@ def _pieces(tokenizer_file: str) -> Callable[[Batches], Batches]:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
                 sizes = [len(x) for x in tokenizer.encode_batch(part.column(0).to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64())], names=["token", "pieces"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sizes, pa.int64())], names=["token", "n", "pieces"])
 
     return count
 
 
-def _frequencies(batches: Batches) -> Batches:
-    """Rows of a pre-token: keys of documents and counts; one row a slice with its documents' ids and sizes."""
-    from pyspark import TaskContext
+def _frequencies(hot: Broadcast) -> Callable[[Batches], Batches]:
+    """Rows (key, token, n) of a document's other pre-tokens, and one with the sum over its hot ones, its id and size.
 
-    split, n = _splitter(), 0
-    key = TaskContext.get().partitionId() << 33
-    for batch in batches:
-        for start in range(0, batch.num_rows, SLICE):
-            part = batch.slice(start, SLICE)
-            texts = [x or "" for x in part.column(1).to_pylist()]
-            docs: dict[str, list[int]] = {}
-            for i, text in enumerate(texts):
-                for token in split(text):
-                    docs.setdefault(token, []).append(i)
-            tokens, keys, counts, ends = list(docs), [], [], [0]
-            for places in docs.values():
-                which, often = np.unique(np.array(places), return_counts=True) if len(places) > 1 else (places, [1])
-                keys.append(which)
-                counts.append(often)
-                ends.append(ends[-1] + len(which))
-            keys.append(range(len(texts)))
-            counts.append(np.zeros(len(texts)))
-            ends.append(ends[-1] + len(texts))
-            flat = np.concatenate(keys).astype(np.int64) + (key + n)
-            ids = part.column(0).to_pylist()
-            arrays = [
-                pa.array([*tokens, f"\0{key + n}"], pa.string()),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(counts).astype(np.int32))),
-                pa.array([None] * len(tokens) + [ids], pa.list_(pa.int64())),
-                pa.array([None] * len(tokens) + [[len(t.encode()) for t in texts]], pa.list_(pa.int64())),
-            ]
-            n += len(texts)
-            whole = pa.RecordBatch.from_arrays(arrays, names=["token", "keys", "counts", "ids", "sizes"])
-            for at in range(0, whole.num_rows, 50_000):
-                yield whole.slice(at, 50_000)
-
-
-def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = 512) -> DataFrame:
+    The latter's token is no pre-token and its own, so that these rows spread as well.
+    """
+
+    def run(batches: Batches) -> Batches:
+        from pyspark import TaskContext
+
+        split, known, key = _splitter(), hot.value, TaskContext.get().partitionId() << 33
+        names = ["key", "token", "n", "doc_id", "n_bytes"]
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                keys, tokens, counts, own = [], [], [], []
+                for text in part.column(1).to_pylist():
+                    text, key = text or "", key + 1
+                    found = split(text)
+                    rest = Counter(x for x in found if x not in known)
+                    own.append((key, f"\0{key}", sum(map(known.get, found, repeat(0))), len(text.encode())))
+                    keys += [key] * len(rest)
+                    tokens += rest
+                    counts += rest.values()
+                none = pa.nulls(len(keys), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(tokens, pa.string()), pa.array(counts, pa.int64()), none, none], names=names)
+                a, b, c, d = zip(*own, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.string()), pa.array(c, pa.int64()), part.column(0), pa.array(d, pa.int64())], names=names)
+
+    return run
+
+
+def _least_count(pieces: DataFrame, most: int) -> int:
+    """The least count so that at most so many short pre-tokens have it or more; counts are tried as powers of the fourth root of two."""
+    by_size = pieces.where(F.length("token") <= HOT_CHARS).groupBy(F.floor(4 * F.log2("n")).alias("size")).count().orderBy(F.desc("size")).collect()
+    total, least = 0, None
+    for size, n in by_size:
+        total += n
+        if total > most:
+            break
+        least = size
+    return 1 << 62 if least is None else math.ceil(2 ** (least / 4))
+
+
+def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = 512, hot: int = 300_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit for each row of ``docs`` (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    distinct = rows.select("text").mapInArrow(_distinct, "token string").distinct()
-    pieces = distinct.mapInArrow(_pieces(tokenizer_file), "token string, pieces long")
-    each = rows.mapInArrow(_frequencies, "token string, keys array<long>, counts array<int>, ids array<long>, sizes array<long>")
-    joined = each.join(pieces, "token", "left").select(F.coalesce("pieces", F.lit(0)).alias("pieces"), F.inline_outer(F.arrays_zip("keys", "counts", F.coalesce("ids", F.array()).alias("ids"), F.coalesce("sizes", F.array()).alias("sizes"))).alias("key", "n", "id", "size"))
-    summed = joined.groupBy("key").agg(F.sum(F.col("n") * F.col("pieces")).alias("n_tokens"), F.max("id").alias("doc_id"), F.max("size").alias("n_bytes"))
+    distinct = rows.select("text").mapInArrow(_distinct, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    pieces = written(distinct.mapInArrow(_pieces(tokenizer_file), "token string, n long, pieces long"))
+    frequent = (F.col("n") >= _least_count(pieces, hot)) & (F.length("token") <= HOT_CHARS)
+    known = rows.sparkSession.sparkContext.broadcast({r.token: r.pieces for r in pieces.where(frequent).select("token", "pieces").toLocalIterator()})
+    each = rows.mapInArrow(_frequencies(known), "key long, token string, n long, doc_id long, n_bytes long")
+    joined = each.join(pieces.where(~frequent).select("token", "pieces"), "token", "left")
+    summed = joined.groupBy("key").agg(F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("n_tokens"), F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"))
     return summed.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
