@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from .chat_format import format_paths, linear_tree, read_back, reply_paths
 from .common import table
 from .decontaminate import contamination_report
+from .importance import resampled
 from .quality_rules import compression_rules
+from .sentencepiece_viterbi import encoded
 from .simhash import simhash_components
 from .token_counts import token_counts
 
@@ -52,6 +54,15 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encoded(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_ids", "ids", "round_trip")
+
+
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("draw")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -64,6 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op5_importance_resampling": op5_importance_resampling,
     "op6_token_counts": op6_token_counts,
     "op10_decontamination": op10_decontamination,
 }

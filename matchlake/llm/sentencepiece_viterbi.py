@@ -54,11 +54,11 @@ class Pieces:
         self.unknown = model.unk_id()
         self.raw = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else " ⁇ ".encode() if model.is_unknown(i) else p.replace(SPACE, " ").encode() for i, p in kinds]
         alone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids))
-        #: Marks that no piece has behind anything but ``▁`` or another of them: every path has a boundary before them.
-        marks = set("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+        #: Marks that no piece has behind a character that is not one of them, nor ``▁``: every path has a boundary before a run of them.
         inside = {(b, c) for p in self.ids for b, c in zip(p, p[1:], strict=False) if b != SPACE}
-        while found := {(b, c) for b, c in inside if c in marks and b not in marks}:  # what stands before a mark counts as one, or the mark doesn't
-            marks = marks | {b for b, _ in found if not b.isalpha()} if len(found) <= 4 else marks - {c for _, c in found}
+        marks = {c for p in self.ids for c in p if not (c.isalpha() or c.isdigit() or c == SPACE)} | {b for b, _ in inside if b in "²³¹"}
+        while found := {c for b, c in inside if c in marks and b not in marks}:
+            marks -= found
         heads, rest = re.escape("".join(sorted(marks))), re.escape("".join(sorted(marks)) + alone) + SPACE
         either = [f"{SPACE}+[{heads}]*[^{rest}]*", f"[{heads}]+[^{rest}]*"] if marks else [f"{SPACE}+[^{rest}]*"]
         self.stretches = re.compile("|".join([*either, f"[^{rest}]+", *([f"[{alone}]"] if alone else [])])).findall
