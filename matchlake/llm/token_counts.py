@@ -15,6 +15,7 @@ told apart by a number that a task gives them, and carry their id along. No rows
 from __future__ import annotations
 
 import math
+import os
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import repeat
@@ -30,7 +31,7 @@ from .common import written
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPECIAL = "<|endoftext|>"
 #: Distinct pre-tokens that a task holds at a time; the longest that may be broadcast.
-HELD, HOT_CHARS = 200_000, 32
+HELD, HOT_CHARS = 80_000, 32
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -62,6 +63,7 @@ def _distinct(batches: Batches) -> Batches:
 
 def _pieces(tokenizer_file: str) -> Callable[[Batches], Batches]:
     def count(batches: Batches) -> Batches:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task a core
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_file)
@@ -119,7 +121,7 @@ def _least_count(pieces: DataFrame, most: int) -> int:
     return 1 << 62 if least is None else math.ceil(2 ** (least / 4))
 
 
-def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = 512, hot: int = 300_000) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = 512, hot: int = 120_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit for each row of ``docs`` (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     distinct = rows.select("text").mapInArrow(_distinct, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
