@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from .chat_format import format_paths, linear_tree, read_back, reply_paths
 from .common import table
 from .decontaminate import contamination_report
+from .html_extract import main_texts
 from .importance import resampled
+from .language_id import identify_languages
 from .quality_rules import compression_rules
 from .sentencepiece_viterbi import encoded
 from .simhash import simhash_components
@@ -67,6 +69,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -78,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_importance_resampling": op5_importance_resampling,
     "op6_token_counts": op6_token_counts,
+    "op7_html_main_text": op7_html_main_text,
+    "op8_language_id": op8_language_id,
     "op10_decontamination": op10_decontamination,
 }
 ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL}
