@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Stretches and pairs that a task remembers, and the longest it does; characters between looks for a common boundary.
-MEMO, MEMO_CHARS, LOOK = 500_000, 48, 64
+MEMO, MEMO_CHARS, LOOK = 400_000, 48, 64
 SPACE = "▁"
 
 
@@ -63,6 +63,7 @@ class Pieces:
         either = [f"{SPACE}+[{heads}]*[^{rest}]*", f"[{heads}]+[^{rest}]*"] if marks else [f"{SPACE}+[^{rest}]*"]
         self.stretches = re.compile("|".join([*either, f"[^{rest}]+", *([f"[{alone}]"] if alone else [])])).findall
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.halves: dict[str, list[str]] = {}
 
@@ -178,11 +179,12 @@ class Pieces:
         for stretch in self.stretches(SPACE + text.replace(" ", SPACE)):
             ids = memo.get(stretch)
             if ids is None:
-                ids = self._stretch(stretch)
+                ids = self.older.get(stretch) or tuple(self._stretch(stretch))
                 if len(stretch) <= MEMO_CHARS:
-                    if len(memo) > MEMO:
-                        memo.clear()
-                    memo[stretch] = tuple(ids)
+                    if len(memo) > MEMO:  # what was met since the last time stays one more turn
+                        self.older, memo = memo, {}
+                        self.memo = memo
+                    memo[stretch] = ids
             found += ids
         return found
 
