@@ -24,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, per_slice
@@ -51,14 +51,15 @@ def _fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and ``fp``, the 64-bit SimHash as a signed long, for each row; no shuffle."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, *keep: Column) -> DataFrame:
+    """doc_id, ``fp``, the 64-bit SimHash as a signed long, and ``keep`` (longs) for each row; no shuffle."""
+    rows = docs.select(docs["text"].cast("string"), docs["doc_id"].cast("long"), *keep)
+    names = [*rows.columns[1:], "fp"]
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([_fingerprint(t) for t in batch.column(1).to_pylist()], pa.int64())], schema=schema)
+        return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([_fingerprint(t) for t in batch.column(0).to_pylist()], pa.int64())], names=names)
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(per_slice(hashed), "doc_id long, fp long")
+    return rows.mapInArrow(per_slice(hashed), ", ".join(f"{n} long" for n in names))
 
 
 def _byte(fp: Column, k: int) -> Column:
@@ -89,12 +90,31 @@ def links(nodes: DataFrame, dense: int = 24) -> DataFrame:
     return verified.unionByName(stars)
 
 
+def _grouped(marked: DataFrame, first: Column) -> DataFrame:
+    """(fp, component, first): the component of each fingerprint of ``marked`` and the least ``first`` of its rows."""
+    nodes = marked.groupBy("fp").agg(F.min(first).alias("first"))
+    found = components(links(nodes))
+    return nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+
+
 def simhash_components(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id for each row of ``docs``."""
     marked = cut_lineage(fingerprints(docs))
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = components(links(nodes))
-    groups = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    groups = _grouped(marked, F.col("doc_id"))
     least = groups.groupBy("component").agg(F.min("first").alias("component_id"))
     labelled = groups.join(least, "component").select("fp", "component_id")
     return marked.join(labelled, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each component: that with the smallest id (ids before none, then by a hash of the text).
+
+    Of rows with the same id and text one is kept. Columns stay as they were.
+    """
+    key = F.xxhash64("doc_id", "text")
+    marked = cut_lineage(fingerprints(docs, key.alias("_key")))
+    groups = _grouped(marked, F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))
+    winners = groups.groupBy("component").agg(F.min("first")["_key"].alias("_key")).select("_key")
+    kept = docs.withColumn("_key", key).join(winners, "_key", "left_semi")
+    copy = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+    return kept.withColumn("_copy", copy).where("_copy = 1").select(*docs.columns)
