@@ -50,9 +50,23 @@ def _with_hit(pred: DataFrame) -> T.StructType:
     return T.StructType([*pred.schema.fields, T.StructField("hit", T.BooleanType())])
 
 
+def _cogrouped(pred: DataFrame, truth: DataFrame, one) -> DataFrame:
+    """``one`` on the predictions and the truths of each (video, label) that has predictions."""
+    named = truth.select(*[F.col(c).alias(f"t_{c}") for c in ("video", "label", "frame", "ord")])
+
+    def both(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if p.empty:
+            return pd.DataFrame({f.name: [] for f in schema})
+        return one(p, pd.DataFrame({"frame": [], "ord": []}) if t.empty else t.rename(columns=lambda c: c.removeprefix("t_")))
+
+    schema = _with_hit(pred)
+    return pred.groupBy("video", "label").cogroup(named.groupBy("t_video", "t_label")).applyInPandas(both, schema)
+
+
 def match_nearest(pred: DataFrame, truth: DataFrame, tolerance: int) -> DataFrame:
     """Predictions with ``hit``: strongest first, each takes its nearest truth of the same (video, label) not taken yet, if within the tolerance."""
 
+
     def one(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         left = list(t.sort_values("ord")["frame"])
         p = p.sort_values(["confidence", "ord"], ascending=[False, True], kind="stable")
@@ -64,12 +78,13 @@ def match_nearest(pred: DataFrame, truth: DataFrame, tolerance: int) -> DataFram
                 left.pop(best)
         return p.assign(hit=hits)
 
-    return pred.groupBy("video", "label").cogroup(truth.groupBy("video", "label")).applyInPandas(one, _with_hit(pred))
+    return _cogrouped(pred, truth, one)
 
 
 def match_strongest(pred: DataFrame, truth: DataFrame, delta: float) -> DataFrame:
     """Predictions with ``hit``: truths in time order each take the strongest unused prediction within delta / 2."""
 
+
     def one(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["frame", "ord"], kind="stable").reset_index(drop=True)
         hit = [False] * len(p)
@@ -79,7 +94,7 @@ def match_strongest(pred: DataFrame, truth: DataFrame, delta: float) -> DataFram
                 hit[max(near, key=lambda k: (p["confidence"][k], -k))] = True
         return p.assign(hit=hit)
 
-    return pred.groupBy("video", "label").cogroup(truth.groupBy("video", "label")).applyInPandas(one, _with_hit(pred))
+    return _cogrouped(pred, truth, one)
 
 
 def average_precision(matched: DataFrame, truth: DataFrame, order: list[Column]) -> DataFrame:
