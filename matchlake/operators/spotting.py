@@ -56,11 +56,10 @@ def _cogrouped(pred: DataFrame, truth: DataFrame, one) -> DataFrame:
 
     def both(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if p.empty:
-            return pd.DataFrame({f.name: [] for f in schema})
+            return pd.DataFrame()
         return one(p, pd.DataFrame({"frame": [], "ord": []}) if t.empty else t.rename(columns=lambda c: c.removeprefix("t_")))
 
-    schema = _with_hit(pred)
-    return pred.groupBy("video", "label").cogroup(named.groupBy("t_video", "t_label")).applyInPandas(both, schema)
+    return pred.groupBy("video", "label").cogroup(named.groupBy("t_video", "t_label")).applyInPandas(both, _with_hit(pred))
 
 
 def match_nearest(pred: DataFrame, truth: DataFrame, tolerance: int) -> DataFrame:
