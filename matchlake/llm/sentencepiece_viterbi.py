@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Stretches and pairs that a task remembers, and the longest it does; characters between looks for a common boundary.
-MEMO, MEMO_CHARS, LOOK = 400_000, 48, 64
+#: Stretches (of either age) and pairs that a worker remembers, and the longest stretch it does; characters between looks for a common boundary.
+MEMO, MEMO_CHARS, LOOK = 250_000, 48, 64
 SPACE = "▁"
 
 
@@ -64,7 +64,8 @@ class Pieces:
         self.stretches = re.compile("|".join([*either, f"[^{rest}]+", *([f"[{alone}]"] if alone else [])])).findall
         self.memo: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.nodes: dict[str, dict] = {}
+        self.known = 0
         self.halves: dict[str, list[str]] = {}
 
     def _merged(self, text: str, until: int = 1) -> list[str]:
@@ -114,37 +115,47 @@ class Pieces:
             else:
                 least, right = b - 0.5, self._halves(right)[0]  # on a tie the merge across is further left, and goes first
 
+    def _node(self, piece: str) -> dict:
+        """What may follow a piece, as far as it is known: piece to its own node, or to None; the piece itself under None."""
+        if self.known > MEMO:
+            self.nodes, self.known = {}, 0
+        return self.nodes.setdefault(piece, {None: piece})
+
+    def _next(self, node: dict, piece: str) -> dict | None:
+        self.known += 1
+        return self._node(piece) if self._follows(node[None], piece) else None
+
     def search(self, text: str) -> list[str]:
         """The pieces of ``text``, committed in order as soon as no later character can change them."""
-        endings, pairs, done = self.endings, self.pairs, []
-        base, last, start = 0, [""], [0]  # at boundary base + k: the last piece, and the boundary it began at
+        endings, done = self.endings, []
+        base, nodes, start = 0, [self._node("")], [0]  # at boundary base + k: the node of the last piece, and the boundary it began at
         for end in range(1, len(text) + 1):
             begin = end - 1
             piece = text[begin]
             whole = True  # a single character can stand alone, in the vocabulary or not
             while True:
                 if whole:
-                    before = last[begin - base]
-                    fits = pairs.get((before, piece))
-                    if fits is None:
-                        if len(pairs) > MEMO:
-                            pairs.clear()
-                        fits = pairs[before, piece] = self._follows(before, piece)
-                    if fits:
-                        last.append(piece)
+                    before = nodes[begin - base]
+                    try:
+                        node = before[piece]
+                    except KeyError:
+                        node = before[piece] = self._next(before, piece)
+                    if node is not None:
+                        nodes.append(node)
                         start.append(begin)
                         break
                 begin -= 1
                 piece = text[begin:end] if begin >= base else ""
-                whole = endings.get(piece)
-                if whole is None:
-                    raise ValueError(f"no piece can end at {end} of {text[max(0, end - 40):end]!r}")
+                try:
+                    whole = endings[piece]
+                except KeyError:
+                    raise ValueError(f"no piece can end at {end} of {text[max(0, end - 40):end]!r}") from None
             if end % LOOK == 0 and end < len(text):
                 meet = self._common(base, start, end)
                 if meet > base:
-                    done += self._path(base, last, start, meet)
-                    last, start, base = last[meet - base :], start[meet - base :], meet
-        return done + self._path(base, last, start, len(text))
+                    done += self._path(text, base, start, meet)
+                    nodes, start, base = nodes[meet - base :], start[meet - base :], meet
+        return done + self._path(text, base, start, len(text))
 
     def _common(self, base: int, start: list[int], end: int) -> int:
         """The last boundary on the paths of all that a later piece may still follow."""
@@ -156,11 +167,12 @@ class Pieces:
         return alive.pop()
 
     @staticmethod
-    def _path(base: int, last: list[str], start: list[int], end: int) -> list[str]:
+    def _path(text: str, base: int, start: list[int], end: int) -> list[str]:
         found = []
         while end > base:
-            found.append(last[end - base])
-            end = start[end - base]
+            begin = start[end - base]
+            found.append(text[begin:end])
+            end = begin
         return found[::-1]
 
     def _stretch(self, text: str) -> list[int]:
