@@ -9,6 +9,10 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.ranks import cut_lineage
+
+__all__ = ["cut_lineage", "per_slice", "table", "utf8", "written"]
+
 #: Rows that a Python task turns into Python objects at a time; bounds the memory of a worker.
 ROWS_AT_A_TIME = 1000
 
@@ -17,18 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder that all executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where neither that nor a
-    folder of the context is set (tests, a laptop) is a local one made.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="matchlake-"))
-    return df.checkpoint()
-
-
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a compressed table in the checkpoint folder: smaller than a checkpoint, for larger tables."""
     spark = df.sparkSession

@@ -265,16 +265,21 @@ def _contexts(examples: DataFrame, words: list[str], rules: ToxicityRules) -> di
 def fit(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules()) -> ToxicityModel:
     examples = _examples(docs, labels, rules)
     counts = cut_lineage(word_counts(examples, rules))
-    toxic, clean, kinds = (float(x or 0) for x in counts.agg(F.sum("n_toxic"), F.sum("n_clean"), F.count("*")).first())
-    share, enough = (toxic + 1) / (toxic + clean + 2), float(np.log(kinds + 1)) + 2.0
+    toxic, clean = (float(x or 0) for x in counts.agg(F.sum("n_toxic"), F.sum("n_clean")).first())
+    share = (toxic + 1) / (toxic + clean + 2)
     n, t = F.col("n_toxic") + F.col("n_clean"), F.col("n_toxic")
     part = lambda k, p: F.when(k > 0, k * F.log(k / (n * p))).otherwise(0.0)
     evidence = F.when(t > n * share, part(t, share) + part(n - t, 1 - share)).otherwise(0.0)
-    told = counts.withColumn("evidence", evidence)
-    likely = [r.word for r in told.where((F.col("evidence") >= enough) & (t >= 0.5 * n)).orderBy(F.desc("evidence"), "word").limit(4 * rules.insults).select("word").collect()]
-    contexts = _contexts(examples, likely, rules) if likely else {}
-    insults = [w for w in likely if contexts.get(w, 0) * -np.log(share) >= enough][: rules.insults]
-    usual = told.where((F.col("n_clean") > 0) & (F.col("evidence") < enough)).select("word", "n_clean")
+    # Chance gives as much evidence to one word in exp(evidence): a word must have more than all of its frequency or above have together.
+    size = F.floor(F.log2(n)).cast("int")
+    kinds = {r.size: r["count"] for r in counts.groupBy(size.alias("size")).count().collect()}
+    enough = {k: float(np.log(sum(c for s, c in kinds.items() if s >= k))) + 2.0 for k in kinds}
+    least = F.element_at(F.create_map(*[F.lit(x) for pair in enough.items() for x in pair]), size) if enough else F.lit(0.0)
+    told = counts.withColumn("evidence", evidence - least)
+    likely = {r.word: r.least for r in told.where((F.col("evidence") >= 0) & (t >= 0.5 * n)).orderBy(F.desc(evidence), "word").limit(4 * rules.insults).select("word", least.alias("least")).collect()}
+    contexts = _contexts(examples, list(likely), rules) if likely else {}
+    insults = [w for w, least in likely.items() if contexts.get(w, 0) * -np.log(share) >= least][: rules.insults]
+    usual = told.where((F.col("n_clean") > 0) & (F.col("evidence") < 0)).select("word", "n_clean")
     frequent = usual.orderBy(F.desc("n_clean"), "word").limit(rules.clean_words // 2)
     drawn = usual.orderBy(F.xxhash64("word"), "word").limit(rules.clean_words // 2)
     others = {r.word for r in frequent.union(drawn).select("word").collect()}
