@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.ranks import cut_lineage
 
-__all__ = ["cut_lineage", "per_slice", "table", "utf8", "written"]
+__all__ = ["cut_lineage", "fresh", "per_slice", "table", "utf8", "written"]
 
 #: Rows that a Python task turns into Python objects at a time; bounds the memory of a worker.
 ROWS_AT_A_TIME = 1000
@@ -21,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a compressed table in the checkpoint folder: smaller than a checkpoint, for larger tables."""
     spark = df.sparkSession

@@ -159,6 +159,7 @@ def resampled(docs: DataFrame, labels: DataFrame, rules: ResamplingRules = Resam
     good = labels.groupBy("doc_id").agg(F.min(F.coalesce(F.col("quality").cast("int"), F.lit(0))).alias("quality")).where("quality = 1")
     trained = good.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % rules.folds != 0)
     trained = trained.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.target_documents).select("doc_id")
+    trained = F.broadcast(trained)  # ids, and no more than the rule allows
     target = gram_counts(docs.join(trained, "doc_id", "left_semi"))
     raw = gram_counts(docs)
     scored = cut_lineage(log_weights(docs, log_ratios(target if target.any() else raw, raw, rules.smoothing)))

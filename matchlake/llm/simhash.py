@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, per_slice
+from .common import cut_lineage, fresh, per_slice
 from .components import components
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 2
@@ -111,10 +111,11 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Of rows with the same id and text one is kept. Columns stay as they were.
     """
-    key = F.xxhash64("doc_id", "text")
-    marked = cut_lineage(fingerprints(docs, key.alias("_key")))
-    groups = _grouped(marked, F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))
-    winners = groups.groupBy("component").agg(F.min("first")["_key"].alias("_key")).select("_key")
-    kept = docs.withColumn("_key", key).join(winners, "_key", "left_semi")
-    copy = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    return kept.withColumn("_copy", copy).where("_copy = 1").select(*docs.columns)
+    key, copy = F.xxhash64("doc_id", "text"), fresh(docs, "_copy")
+    name = fresh(docs, "_key")
+    marked = cut_lineage(fingerprints(docs, key.alias(name)))
+    groups = _grouped(marked, F.struct(F.col("doc_id").isNull(), "doc_id", name))
+    winners = groups.groupBy("component").agg(F.min("first")[name].alias(name)).select(name)
+    kept = docs.withColumn(name, key).join(winners, name, "left_semi")
+    numbered = kept.withColumn(copy, F.row_number().over(Window.partitionBy(name).orderBy(name)))
+    return numbered.where(F.col(copy) == 1).select(*docs.columns)

@@ -394,7 +394,9 @@ def test_odd_rows(spark):
     assert quality_rules.compression_rules(rows).count() == n
     found = simhash.simhash_components(rows).collect()
     assert len(found) == n and {r.component_id for r in found if r.doc_id in (0, 1, 2)} == {0} and {r.fingerprint for r in found if r.doc_id == 0} == {"0" * 16}
-    assert simhash.keep_first(rows).columns == rows.columns
+    first = simhash.keep_first(rows)
+    assert first.columns == rows.columns and {r._key for r in first.collect()} <= {"k", None}
+    assert sorted(r.doc_id for r in first.where("doc_id is not null").collect()) == sorted({r.component_id for r in found if r.component_id is not None})
     for f in (quality_rules.compression_rules, simhash.simhash_components, simhash.keep_first):
         assert f(rows.where("false")).count() == 0
 
