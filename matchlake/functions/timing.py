@@ -5,8 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Priority of a label among several at one position (greater wins).
-LABEL_PRIORITY = {"GOAL": 12, "SHOT": 11, "CROSS": 10, "HEADER": 9, "FREE KICK": 8, "THROW IN": 7, "HIGH PASS": 6, "PLAYER SUCCESSFUL TACKLE": 5, "OUT": 4, "PASS": 3}
+#: Coarse group of each position code.
+POSITION_GROUPS = {
+    "GK": "GK", "LCB": "DEF", "RCB": "DEF", "MCB": "DEF", "LB": "DEF", "RB": "DEF", "LWB": "DEF", "RWB": "DEF",
+    "CM": "MID", "AM": "MID", "DM": "MID", "LM": "MID", "RM": "MID", "CF": "FWD", "LW": "FWD", "RW": "FWD",
+}
+#: Priority of a label among several at one position; the greater wins.
+LABEL_PRIORITY = {"PASS": 0, "HIGH PASS": 1, "OUT": 2, "CROSS": 3, "SHOT": 4, "HEADER": 5, "PLAYER SUCCESSFUL TACKLE": 6, "THROW IN": 7, "FREE KICK": 8, "GOAL": 9}
+
+
+def _looked_up(table: dict, key: Column, default) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key), F.lit(default))
+
+
+def priority_of(label: Column) -> Column:
+    """The label's priority, -1 for one that is not listed."""
+    return _looked_up(LABEL_PRIORITY, label, -1)
+
+
+def position_group(code: Column) -> Column:
+    """The coarse group of a position code, null for one that is not listed."""
+    return _looked_up(POSITION_GROUPS, code, None)
 
 
 def stride(source: Column, sample: Column) -> Column:

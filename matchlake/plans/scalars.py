@@ -40,12 +40,15 @@ def gametime_compose(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.clock_of(F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 3), F.when(F.col("event_id") % 5 != 0, F.col("event_type"))).alias("clock"))
 
 
-@query("""WITH e AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'PA' WHEN 1 THEN 'CR' WHEN 2 THEN 'SH' WHEN 3 THEN 'CH' ELSE 'CL' END AS k, CASE WHEN event_id % 4 = 0 THEN 'HE' ELSE 'RF' END AS b, CASE WHEN event_id % 7 = 0 THEN 'A' ELSE 'G' END AS h,
+LABELS = """WITH e AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'PA' WHEN 1 THEN 'CR' WHEN 2 THEN 'SH' WHEN 3 THEN 'CH' ELSE 'CL' END AS k, CASE WHEN event_id % 4 = 0 THEN 'HE' ELSE 'RF' END AS b, CASE WHEN event_id % 7 = 0 THEN 'A' ELSE 'G' END AS h,
  CASE WHEN event_id % 6 = 0 THEN 'H' ELSE 'S' END AS p, CASE WHEN event_id % 3 = 0 THEN 'G' ELSE 'S' END AS o, CASE WHEN event_id % 2 = 0 THEN user_id END AS w, CASE WHEN event_type = 'error' THEN 'OUT' END AS g, CASE event_type WHEN 'click' THEN 'T' WHEN 'signup' THEN 'F' END AS s FROM events)
-SELECT event_id, 'HEADER' AS label FROM e WHERE b = 'HE' AND k IN ('PA', 'SH', 'CL') UNION ALL SELECT event_id, CASE WHEN h = 'A' THEN 'HIGH PASS' WHEN p = 'H' THEN 'THROW IN' ELSE 'PASS' END FROM e WHERE k = 'PA' AND b <> 'HE'
+, labels AS (SELECT event_id, 'HEADER' AS label FROM e WHERE b = 'HE' AND k IN ('PA', 'SH', 'CL') UNION ALL SELECT event_id, CASE WHEN h = 'A' THEN 'HIGH PASS' WHEN p = 'H' THEN 'THROW IN' ELSE 'PASS' END FROM e WHERE k = 'PA' AND b <> 'HE'
 UNION ALL SELECT event_id, 'CROSS' FROM e WHERE k = 'CR' UNION ALL SELECT event_id, 'SHOT' FROM e WHERE k = 'SH' UNION ALL SELECT event_id, 'GOAL' FROM e WHERE k = 'SH' AND o = 'G' UNION ALL SELECT event_id, 'PLAYER SUCCESSFUL TACKLE' FROM e WHERE k = 'CH' AND w IS NOT NULL
-UNION ALL SELECT event_id, 'OUT' FROM e WHERE g = 'OUT' UNION ALL SELECT event_id, 'THROW IN' FROM e WHERE s = 'T' UNION ALL SELECT event_id, 'FREE KICK' FROM e WHERE s = 'F'""")
-def label_multimap(spark, sf_dir):
+UNION ALL SELECT event_id, 'OUT' FROM e WHERE g = 'OUT' UNION ALL SELECT event_id, 'THROW IN' FROM e WHERE s = 'T' UNION ALL SELECT event_id, 'FREE KICK' FROM e WHERE s = 'F')
+"""
+
+
+def _labels(spark, sf_dir):
     i, kind = F.col("event_id"), F.col("event_type")
     labels = T.labels_of(
         F.element_at(F.array(*map(F.lit, ("PA", "CR", "SH", "CH", "CL"))), (i % 5 + 1).cast("int")), F.when(i % 4 == 0, "HE").otherwise("RF"), F.when(i % 7 == 0, "A").otherwise("G"), F.when(i % 6 == 0, "H").otherwise("S"),
@@ -54,6 +57,22 @@ def label_multimap(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.explode(labels).alias("label"))
 
 
+@query(LABELS + "SELECT * FROM labels")
+def label_multimap(spark, sf_dir):
+    return _labels(spark, sf_dir)
+
+
+@query(LABELS + """SELECT event_id, arg_max(label, list_position(['PASS', 'HIGH PASS', 'OUT', 'CROSS', 'SHOT', 'HEADER', 'PLAYER SUCCESSFUL TACKLE', 'THROW IN', 'FREE KICK', 'GOAL'], label)) AS label FROM labels GROUP BY event_id""")
+def label_priority(spark, sf_dir):
+    return _labels(spark, sf_dir).groupBy("event_id").agg(F.max_by("label", T.priority_of(F.col("label"))).alias("label"))
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'GK' WHEN 1 THEN 'DEF' WHEN 2 THEN 'MID' WHEN 3 THEN 'FWD' END AS grp FROM events""")
+def position_groups(spark, sf_dir):
+    code = F.element_at(F.array(*map(F.lit, ("GK", "LWB", "AM", "CF", "SUB"))), (F.col("event_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", T.position_group(code).alias("grp"))
+
+
 @query("SELECT o_orderkey, i AS place, least(trunc(i * 2.5::DOUBLE)::BIGINT, o_custkey - 1) AS frame FROM orders, range(4) r(i)")
 def resampled_frames(spark, sf_dir):
     frames = T.resampled_frames(F.col("o_custkey"), 2.5, 4)
