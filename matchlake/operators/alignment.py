@@ -88,31 +88,26 @@ def tumbling_labels(events: DataFrame, size: int) -> DataFrame:
 
 
 def shift_labels(frames: DataFrame, events: DataFrame, k: tuple[int, int, int, int]) -> DataFrame:
-    """(video, label, frame, shift): the signed distance to the last or the next event, by the rule of four bounds k1 < k2 <= 0 < k3 < k4.
+    """(video, label, frame, shift): the signed distance to the last or the next event, by four bounds k1 < k2 <= 0 < k3 < k4.
 
-    No event: k1 everywhere. One event: the plain offset. Otherwise the last event holds while the
-    offset is under k3 or the next one is not yet within k2, clipped to its bounds; in between
-    the next event takes over where its offset reaches k2.
+    No event: k1 everywhere. One event: the plain offset. Otherwise the last event holds while it
+    is nearer than k3; up to k4 it holds while the next is k1 away or more, or while its part of
+    the way from k3 to k4 is less than the next one's from k2 to k1; then the next one holds.
+    Before the first event the last is taken to be k4 before the video, after the last event the
+    next is taken to be k1 behind its end.
     """
     k1, k2, k3, k4 = k
     spots = events.select("video", "label", "frame").distinct().withColumn("e", F.col("frame"))
     spine = frames.join(spots, ["video", "label", "frame"], "left")
-    by = Window.partitionBy("video", "label").orderBy("frame")
+    by, whole = Window.partitionBy("video", "label").orderBy("frame"), Window.partitionBy("video", "label")
     last = F.last("e", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     after = F.first("e", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing))
-    n = F.count("e").over(Window.partitionBy("video", "label"))
-    read = spine.select("video", "label", "frame", (F.col("frame") - last).alias("a"), (F.col("frame") - after).alias("b"), n.alias("n"))
-    a, b = F.col("a"), F.col("b")
-    many = (
-        F.when(a.isNull(), F.greatest(b, F.lit(k1)))
-        .when(b.isNull(), F.least(a, F.lit(k4)))
-        .when((a < k3) | (b <= k1), F.least(a, F.lit(k4)))
-        .when(b >= k2, b)
-        .when(a >= k4, F.greatest(b, F.lit(k1)))
-        .when((a - k3) / (k4 - k3) < (k2 - b) / (k2 - k1), a)
-        .otherwise(b)
-    )
-    return read.select("video", "label", "frame", F.when(F.col("n") == 0, F.lit(k1)).when(F.col("n") == 1, F.coalesce(a, b)).otherwise(many).cast("long").alias("shift"))
+    read = spine.select("video", "label", "frame", last.alias("last"), after.alias("after"), F.count("e").over(whole).alias("n"), (F.max("frame").over(whole) + 1).alias("frames"))
+    a = F.col("frame") - F.coalesce("last", F.lit(-k4))
+    b = F.col("frame") - F.coalesce(F.col("after"), F.col("frames") - k1)
+    holds = (a < k3) | ((a < k4) & ((b <= k1) | ((a - k3) / float(k4 - k3) < (k2 - b) / float(k2 - k1))))
+    one = F.col("frame") - F.coalesce("last", "after")
+    return read.select("video", "label", "frame", F.when(F.col("n") == 0, F.lit(k1)).when(F.col("n") == 1, one).otherwise(F.when(holds, a).otherwise(b)).cast("long").alias("shift"))
 
 
 def quiet_islands(shifts: DataFrame, low: int, high: int, least: int) -> DataFrame:

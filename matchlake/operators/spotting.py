@@ -27,10 +27,10 @@ def suppress_window(pred: DataFrame, window: int, *keys: str) -> DataFrame:
 
 
 def suppress_greedy(pred: DataFrame, window: int, least: float, *keys: str) -> DataFrame:
-    """Greedy suppression: the strongest prediction of a key stays and blanks [-(window // 2), window // 2) around it; again, while one reaches ``least``."""
+    """Greedy suppression: the strongest prediction of a key stays and blanks the frames from half a window (rounded up) before it to half a window (rounded down, excluded) after it; again, while one reaches ``least``."""
     if window < 2:
         raise ValueError("a window under 2 frames never blanks the prediction it stands on")
-    half = window // 2
+    back, ahead = (window + 1) // 2, window // 2
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows[rows["confidence"] >= least].sort_values(["confidence", "frame", "ord"], ascending=[False, True, True], kind="stable")
@@ -38,7 +38,7 @@ def suppress_greedy(pred: DataFrame, window: int, least: float, *keys: str) -> D
         taken: dict[int, list[int]] = {}
         for place, frame in enumerate(rows["frame"]):
             cell = frame // window
-            if not any(f - half <= frame < f + half for c in (cell - 1, cell, cell + 1) for f in taken.get(c, ())):
+            if not any(f - back <= frame < f + ahead for c in (cell - 1, cell, cell + 1) for f in taken.get(c, ())):
                 taken.setdefault(cell, []).append(frame)
                 kept.append(place)
         return rows.iloc[kept]

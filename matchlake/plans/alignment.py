@@ -82,8 +82,9 @@ SHIFTS = """WITH e AS (SELECT DISTINCT user_id AS video, event_type AS label, (e
 g AS (SELECT video, label, frame FROM (SELECT DISTINCT user_id AS video FROM events), (VALUES ('click'), ('view')) t(label), range(120) r(frame)),
 w AS (SELECT g.video, g.label, g.frame, g.frame - (SELECT max(e.frame) FROM e WHERE e.video = g.video AND e.label = g.label AND e.frame <= g.frame) AS a,
  g.frame - (SELECT min(e.frame) FROM e WHERE e.video = g.video AND e.label = g.label AND e.frame > g.frame) AS b, (SELECT count(*) FROM e WHERE e.video = g.video AND e.label = g.label) AS n FROM g),
-s AS (SELECT video, label, frame, (CASE WHEN n = 0 THEN -12 WHEN n = 1 THEN coalesce(a, b) WHEN a IS NULL THEN greatest(b, -12) WHEN b IS NULL THEN least(a, 10) WHEN a < 4 OR b <= -12 THEN least(a, 10)
- WHEN b >= -2 THEN b WHEN a >= 10 THEN greatest(b, -12) WHEN (a - 4) / 6.0::DOUBLE < (-2 - b) / 10.0::DOUBLE THEN a ELSE b END)::BIGINT AS shift FROM w)
+o AS (SELECT video, label, frame, n, a, b, coalesce(a, frame + 10) AS s1, coalesce(b, frame - 132) AS s2 FROM w),
+s AS (SELECT video, label, frame, (CASE WHEN n = 0 THEN -12 WHEN n = 1 THEN coalesce(a, b) WHEN s1 < 4 THEN s1 WHEN s1 < 10 AND s2 <= -12 THEN s1
+ WHEN s1 < 10 AND (s1 - 4) / 6.0::DOUBLE < (-2 - s2) / 10.0::DOUBLE THEN s1 ELSE s2 END)::BIGINT AS shift FROM o)
 """
 BOUNDS = (-12, -2, 4, 10)
 

@@ -29,15 +29,16 @@ def test_window_suppression(spark):
 def test_greedy_suppression(spark):
     random.seed(1)
     rows = [(v, "a", random.randint(0, 200), random.randint(0, 20) / 20, v * 100 + k) for v in range(3) for k in range(60)]
-    got = {r.ord for r in spotting.suppress_greedy(spark.createDataFrame(rows, PRED), 8, 0.3, "video").collect()}
-    expected = set()
-    for v in range(3):
-        left = sorted((r for r in rows if r[0] == v and r[3] >= 0.3), key=lambda r: (-r[3], r[2], r[4]))
-        while left:
-            best = left[0]
-            expected.add(best[4])
-            left = [r for r in left[1:] if not best[2] - 4 <= r[2] < best[2] + 4]
-    assert got == expected
+    for window, back, ahead in ((8, 4, 4), (5, 3, 2)):
+        got = {r.ord for r in spotting.suppress_greedy(spark.createDataFrame(rows, PRED), window, 0.3, "video").collect()}
+        expected = set()
+        for v in range(3):
+            left = sorted((r for r in rows if r[0] == v and r[3] >= 0.3), key=lambda r: (-r[3], r[2], r[4]))
+            while left:
+                best = left[0]
+                expected.add(best[4])
+                left = [r for r in left[1:] if not best[2] - back <= r[2] < best[2] + ahead]
+        assert got == expected
     with pytest.raises(ValueError):
         spotting.suppress_greedy(spark.createDataFrame(rows, PRED), 1, 0.3, "video")
 
