@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,15 +16,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def in_ranges(rows: DataFrame, *order: str | Column, partitions: int | None = None) -> DataFrame:
+    """``rows`` sorted by ranges, checkpointed, with the number of the range (``_part``) and the place in it (``_at``)."""
+    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return cut_lineage(laid.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+
+
 def ranked(rows: DataFrame, *order: str, partitions: int | None = None) -> DataFrame:
     """``rows`` with ``rank`` from 0 in the order given, which must be total.
 
     Rows are sorted by ranges; a rank is the place in its range plus the sizes of the ranges
     before, of which there are as many as partitions.
     """
-    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    laid = cut_lineage(laid.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    laid = in_ranges(rows, *order, partitions=partitions)
     sizes = laid.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("_part", before.alias("_before"))

@@ -1,18 +1,27 @@
 """Suppression, matching and metrics of timed predictions (video, label, frame, confidence, ord).
 
-Matching and greedy suppression never cross a (video, label), so they run grouped; only ranks
-over all videos are global, and those are windows by label.
+Matching and greedy suppression never cross a key, and a row is touched only by rows within a
+reach of it. So keys are cut into chunks of time, and each chunk settles what the rows around it
+leave no doubt about; what is left goes to another round. Ranks by label run over sorted ranges.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ranks import cut_lineage, in_ranges
+
+#: Rows of a chunk, where they do not lie closer than a reach.
+CHUNK_ROWS = 100_000
+
 
 def suppress_window(pred: DataFrame, window: int, *keys: str) -> DataFrame:
     """Predictions without those that have a stronger one of their key at another frame within ``window``.
@@ -32,78 +41,218 @@ def suppress_greedy(pred: DataFrame, window: int, least: float, *keys: str) -> D
         raise ValueError("a window under 2 frames never blanks the prediction it stands on")
     back, ahead = (window + 1) // 2, window // 2
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[rows["confidence"] >= least].sort_values(["confidence", "frame", "ord"], ascending=[False, True, True], kind="stable")
-        kept: list[int] = []
-        taken: dict[int, list[int]] = {}
-        for place, frame in enumerate(rows["frame"]):
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["confidence", "frame"], ascending=[False, True], kind="stable")
+        near: dict[int, list[tuple[int, bool]]] = {}  # kept and doubtful frames, by cells of a window
+        states = []
+        for frame, core, state in zip(rows["frame"].tolist(), rows["_core"].tolist(), rows["_state"].tolist(), strict=True):
             cell = frame // window
-            if not any(f - back <= frame < f + ahead for c in (cell - 1, cell, cell + 1) for f in taken.get(c, ())):
-                taken.setdefault(cell, []).append(frame)
-                kept.append(place)
-        return rows.iloc[kept]
+            sure = [s for c in (cell - 1, cell, cell + 1) for f, s in near.get(c, ()) if f - back <= frame < f + ahead]
+            if state == OPEN:
+                state = LOST if any(sure) else KEPT if core and not sure else OPEN
+            if state != LOST:
+                near.setdefault(cell, []).append((frame, state == KEPT))
+            states.append(state)
+        return rows.assign(_state=states)
 
-    return pred.groupBy(*keys).applyInPandas(one, pred.schema)
+    # Of one frame only the strongest can stay: what blanks it blanks the others.
+    named = _named(pred)
+    strong = named.where((F.col("confidence") >= least) & ~F.isnan("confidence"))
+    best = strong.groupBy(*keys, "frame").agg(F.max_by(F.struct("confidence", "_id"), F.struct("confidence", -F.col("ord"), -F.col("_id"))).alias("b"))
+    left = best.select(*keys, "frame", "b.*")
+    left = cut_lineage(left.withColumn("_state", F.lit(OPEN)))
+    width = _chunk_width(left, keys, max(back, ahead))
+    while not left.where(F.col("_state") == OPEN).isEmpty():
+        left = cut_lineage(_by_chunk(left, keys, width, max(back, ahead), settle).where(F.col("_state") != LOST))
+    return named.join(left.select("_id"), "_id", "left_semi").drop("_id")
 
 
-def _with_hit(pred: DataFrame) -> T.StructType:
-    return T.StructType([*pred.schema.fields, T.StructField("hit", T.BooleanType())])
+OPEN, KEPT, LOST = 0, 1, 2
 
 
-def _cogrouped(pred: DataFrame, truth: DataFrame, one) -> DataFrame:
-    """``one`` on the predictions and the truths of each (video, label) that has predictions."""
-    named = truth.select(*[F.col(c).alias(f"t_{c}") for c in ("video", "label", "frame", "ord")])
+def _chunk_width(rows: DataFrame, keys: tuple[str, ...], halo: int) -> int:
+    """Frames of a chunk: as many halos as hold CHUNK_ROWS rows where they lie closest, at least one."""
+    cell = max(1, halo)
+    most = rows.groupBy(*keys, F.floor(F.col("frame") / cell).alias("_cell")).count().agg(F.max("count")).first()[0] or 1
+    return cell * max(1, CHUNK_ROWS // most)
 
-    def both(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if p.empty:
-            return pd.DataFrame()
-        return one(p, pd.DataFrame({"frame": [], "ord": []}) if t.empty else t.rename(columns=lambda c: c.removeprefix("t_")))
 
-    return pred.groupBy("video", "label").cogroup(named.groupBy("t_video", "t_label")).applyInPandas(both, _with_hit(pred))
+def _by_chunk(rows: DataFrame, keys: tuple[str, ...], width: int, halo: int, settle: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | None = None) -> DataFrame:
+    """``settle`` on each chunk's rows and those within ``halo`` of it (``_core`` false); by default only core rows are returned."""
+    at = lambda shift: F.floor((F.col("frame") + shift) / width)
+    laid = rows.withColumn("_chunk", F.explode(F.sequence(at(-halo), at(halo)))).withColumn("_core", F.col("_chunk") == at(0))
+    if schema is not None:
+        return laid.groupBy(*keys, "_chunk").applyInPandas(settle, schema)
+    names = rows.columns
+    return laid.groupBy(*keys, "_chunk").applyInPandas(lambda x: (y := settle(x))[y["_core"]][names], rows.schema)
 
 
-def match_nearest(pred: DataFrame, truth: DataFrame, tolerance: int) -> DataFrame:
-    """Predictions with ``hit``: strongest first, each takes its nearest truth of the same (video, label) not taken yet, if within the tolerance."""
+class _Free:
+    """The places 0 to n - 1 that are not taken yet, found from either side in near constant time."""
 
+    def __init__(self, n: int) -> None:
+        self.up, self.down = list(range(n + 1)), list(range(n + 1))  # down is shifted by one; 0 is none
 
-    def one(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        left = list(t.sort_values("ord")["frame"])
-        p = p.sort_values(["confidence", "ord"], ascending=[False, True], kind="stable")
-        hits = []
-        for frame in p["frame"]:
-            best = min(range(len(left)), key=lambda k: abs(left[k] - frame), default=None)
-            hits.append(best is not None and abs(left[best] - frame) <= tolerance)
-            if hits[-1]:
-                left.pop(best)
-        return p.assign(hit=hits)
+    @staticmethod
+    def _root(links: list[int], k: int) -> int:
+        top = k
+        while links[top] != top:
+            top = links[top]
+        while links[k] != top:
+            links[k], k = top, links[k]
+        return top
 
-    return _cogrouped(pred, truth, one)
+    def at_or_after(self, k: int) -> int:
+        return self._root(self.up, k)
 
+    def at_or_before(self, k: int) -> int:
+        return self._root(self.down, k + 1) - 1
+
+    def take(self, k: int) -> None:
+        self.up[k], self.down[k + 1] = k + 1, k
+
+
+def _matched(takers: DataFrame, goods: DataFrame, reach: float, choose: Callable[[pd.DataFrame, pd.DataFrame], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(taker, good) ids of the pairs that sequential matching of each (video, label) makes; both sides: video, label, frame, confidence, ord, _id."""
+    keys, halo = ("video", "label"), math.ceil(2 * reach)
+    rows = cut_lineage(takers.withColumn("_good", F.lit(False)).unionByName(goods.withColumn("_good", F.lit(True))))
+    width = _chunk_width(rows, keys, halo)
+    pairs = None
+
+    def settle(x: pd.DataFrame) -> pd.DataFrame:
+        t, g = x[~x["_good"]].reset_index(drop=True), x[x["_good"]].reset_index(drop=True)
+        state, took = choose(t, g)
+        ids = g["_id"].to_numpy()
+        sure = (state != OPEN) & t["_core"].to_numpy(bool)
+        return pd.DataFrame({"taker": t["_id"].to_numpy()[sure], "good": [int(ids[k]) if k >= 0 else None for k in took[sure]]}).astype({"good": "Int64"})
+
+    answer = T.StructType([T.StructField("taker", T.LongType()), T.StructField("good", T.LongType())])
+    while True:
+        now = cut_lineage(_by_chunk(rows, keys, width, halo, settle, answer))
+        pairs = now.where("good IS NOT NULL") if pairs is None else pairs.unionByName(now.where("good IS NOT NULL"))
+        gone = now.select(F.col("taker").alias("_id"), F.lit(False).alias("_good")).unionByName(now.where("good IS NOT NULL").select(F.col("good").alias("_id"), F.lit(True).alias("_good")))
+        rows = cut_lineage(rows.join(gone, ["_id", "_good"], "left_anti"))
+        if rows.where("NOT _good").isEmpty():
+            return pairs
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    return cut_lineage(rows.withColumn("_id", F.monotonically_increasing_id()))
 
-def match_strongest(pred: DataFrame, truth: DataFrame, delta: float) -> DataFrame:
-    """Predictions with ``hit``: truths in time order each take the strongest unused prediction within delta / 2."""
 
+def _plain(rows: DataFrame) -> DataFrame:
+    return rows.select("video", "label", "frame", F.col("confidence").cast("double").alias("confidence"), "ord", "_id").where("frame IS NOT NULL")
 
-    def one(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["frame", "ord"], kind="stable").reset_index(drop=True)
-        hit = [False] * len(p)
-        for frame in t.sort_values(["frame", "ord"])["frame"]:
-            near = [k for k in p.index[(p["frame"] - frame).abs() <= delta / 2] if not hit[k]]
-            if near:
-                hit[max(near, key=lambda k: (p["confidence"][k], -k))] = True
-        return p.assign(hit=hit)
 
-    return _cogrouped(pred, truth, one)
+def _with_hits(named: DataFrame, hits: DataFrame) -> DataFrame:
+    found = hits.toDF("_id").withColumn("_hit", F.lit(True))
+    return named.join(found, "_id", "left").withColumn("hit", F.coalesce("_hit", F.lit(False))).drop("_id", "_hit")
+
+
+def match_nearest(pred: DataFrame, truth: DataFrame, tolerance: int) -> DataFrame:
+    """Predictions with ``hit``: strongest first, each takes its nearest truth of the same (video, label) not taken yet, if within the tolerance."""
+
+    def choose(t: pd.DataFrame, g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        state, took = np.full(len(t), OPEN), np.full(len(t), -1)
+        g = g.sort_values(["frame", "ord"], kind="stable")
+        places, ords = g.index.to_numpy(), g["ord"].to_numpy()
+        frames, first, count = np.unique(g["frame"].to_numpy(), return_index=True, return_counts=True)
+        nexts, ends, free, doubt = first.copy(), first + count, _Free(len(frames)), np.zeros(len(frames), bool)
+        t = t.sort_values(["confidence", "ord"], ascending=[False, True], kind="stable")
+        for row, frame, core in zip(t.index, t["frame"], t["_core"], strict=True):
+            if not core:  # it may take any truth in its reach
+                doubt[np.searchsorted(frames, frame - tolerance) : np.searchsorted(frames, frame + tolerance, "right")] = True
+                continue
+            right = left = int(np.searchsorted(frames, frame))
+            doubtful = False
+            left -= 1
+            while True:
+                right, left = free.at_or_after(right), free.at_or_before(left) if left >= 0 else -1
+                near = [k for k in (left, right) if 0 <= k < len(frames) and abs(frames[k] - frame) <= tolerance]
+                best = min(near, key=lambda k: (abs(frames[k] - frame), ords[nexts[k]]), default=None)
+                if best is None:
+                    break
+                level = [k for k in near if abs(frames[k] - frame) == abs(frames[best] - frame)]
+                if not any(doubt[k] for k in level):
+                    break
+                doubtful = True
+                right, left = right + (right in level), left - (left in level)
+                doubt[level] = True
+            if doubtful:  # it takes one of the doubtful truths passed or this one
+                if best is not None:
+                    doubt[level] = True
+                continue
+            state[row] = LOST if best is None else KEPT
+            if best is not None:
+                took[row] = places[nexts[best]]
+                nexts[best] += 1
+                if nexts[best] == ends[best]:
+                    free.take(best)
+        return state, took
+
+    named = _named(pred)
+    pairs = _matched(_plain(named), _plain(_named(truth)), tolerance, choose)
+    return _with_hits(named, pairs.select("taker"))
+
+
+def match_strongest(pred: DataFrame, truth: DataFrame, delta: float) -> DataFrame:
+    """Predictions with ``hit``: truths in time order each take the strongest unused prediction within delta / 2."""
+
+    def choose(t: pd.DataFrame, g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        state, took = np.full(len(t), OPEN), np.full(len(t), -1)
+        g = g.sort_values(["frame", "ord"], kind="stable")
+        places, frames = g.index.to_numpy(), g["frame"].to_numpy()
+        strength = np.empty(len(g), np.int64)
+        strength[np.lexsort((np.arange(len(g)), -g["confidence"].to_numpy(float)))] = np.arange(len(g))
+        strong, doubt, free, behind = [], np.zeros(len(g), bool), np.ones(len(g), bool), 0
+        t = t.sort_values(["frame", "ord"], kind="stable")
+        lows, highs = np.searchsorted(frames, t["frame"].to_numpy() - delta / 2), np.searchsorted(frames, t["frame"].to_numpy() + delta / 2, "right")
+        for row, core, low, high in zip(t.index, t["_core"], lows, highs, strict=True):
+            if not core:
+                doubt[low:high] = True
+                continue
+            while behind < high:  # truths come in time order, so predictions enter once and leave once
+                heapq.heappush(strong, (int(strength[behind]), behind))
+                behind += 1
+            passed = []
+            while strong and (strong[0][1] < low or not free[strong[0][1]] or doubt[strong[0][1]]):
+                one = heapq.heappop(strong)
+                if one[1] >= low and free[one[1]]:
+                    passed.append(one)
+            best = strong[0][1] if strong else None
+            for one in passed:
+                heapq.heappush(strong, one)
+            if passed:
+                if best is not None:
+                    doubt[best] = True
+                continue
+            state[row] = LOST if best is None else KEPT
+            if best is not None:
+                took[row], free[best] = places[best], False
+        return state, took
+
+    named = _named(pred)
+    pairs = _matched(_plain(_named(truth)), _plain(named), delta / 2, choose)
+    return _with_hits(named, pairs.select("good"))
 
 
 def average_precision(matched: DataFrame, truth: DataFrame, order: list[Column]) -> DataFrame:
-    """(label, ap): precision at each hit, raised to the greatest at any later one, over the number of truths."""
-    by = Window.partitionBy("label").orderBy(*order)
-    ranked = matched.select("label", "hit", F.row_number().over(by).alias("rank")).where("hit")
-    found = F.row_number().over(Window.partitionBy("label").orderBy("rank"))
-    points = ranked.select("label", "rank", (found / F.col("rank")).alias("precision"))
-    later = Window.partitionBy("label").orderBy("rank").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    area = points.select("label", F.max("precision").over(later).alias("p")).groupBy("label").agg(F.sum("p").alias("area"))
+    """(label, ap): precision at each hit, raised to the greatest at any later one, over the number of truths.
+
+    Rows are sorted by ranges; what a label has in the ranges before or after is added by range.
+    """
+    laid = in_ranges(matched, F.col("label"), *order).select("label", F.coalesce(F.col("hit").cast("int"), F.lit(0)).alias("hit"), "_part", "_at")
+    ranges, place = Window.partitionBy("label").orderBy("_part"), Window.partitionBy("_part", "label").orderBy("_at")
+    before = ranges.rowsBetween(Window.unboundedPreceding, -1)
+    sizes = laid.groupBy("_part", "label").agg(F.count("*").alias("n"), F.sum("hit").alias("h"))
+    starts = sizes.select("_part", "label", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"), F.coalesce(F.sum("h").over(before), F.lit(0)).alias("h"))
+    places = laid.select("*", F.row_number().over(place).alias("rank"), F.sum("hit").over(place.rowsBetween(Window.unboundedPreceding, 0)).alias("found")).where("hit = 1")
+    points = places.join(starts, ["_part", "label"]).select("_part", "label", "_at", ((F.col("found") + F.col("h")) / (F.col("rank") + F.col("n"))).alias("precision"))
+    tops = points.groupBy("_part", "label").agg(F.max("precision").alias("top"))
+    after = tops.select("_part", "label", F.max("top").over(ranges.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    later = F.max("precision").over(place.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    raised = points.withColumn("later", later).join(after, ["_part", "label"]).select("label", F.greatest("later", "after").alias("p"))
+    area = raised.groupBy("label").agg(F.sum("p").alias("area"))
     totals = truth.groupBy("label").agg(F.count("*").alias("n"))
     return totals.join(area, "label", "left").select("label", (F.coalesce("area", F.lit(0.0)) / F.col("n")).alias("ap"))
 

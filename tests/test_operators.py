@@ -52,6 +52,81 @@ def test_matching(spark):
     assert strongest == {0: True, 1: False, 2: False, 3: False}
 
 
+def _brute_nearest(pred, truth, tolerance):
+    hits, left = {}, sorted(truth, key=lambda t: t[4])
+    for p in sorted(pred, key=lambda p: (-p[3], p[4])):
+        near = [t for t in left if t[:2] == p[:2] and abs(t[2] - p[2]) <= tolerance]
+        best = min(near, key=lambda t: abs(t[2] - p[2]), default=None)
+        hits[p[4]] = best is not None
+        if best is not None:
+            left.remove(best)
+    return hits
+
+
+def _brute_strongest(pred, truth, delta):
+    hits = dict.fromkeys((p[4] for p in pred), False)
+    for t in sorted(truth, key=lambda t: (t[2], t[4])):
+        near = [p for p in pred if p[:2] == t[:2] and abs(p[2] - t[2]) <= delta / 2 and not hits[p[4]]]
+        if near:
+            hits[max(near, key=lambda p: (p[3], -p[2], -p[4]))[4]] = True
+    return hits
+
+
+def _brute_greedy(pred, window, least):
+    kept = []
+    for p in sorted((p for p in pred if p[3] >= least), key=lambda p: (-p[3], p[2], p[4])):
+        if not any(k[:2] == p[:2] and k[2] - (window + 1) // 2 <= p[2] < k[2] + window // 2 for k in kept):
+            kept.append(p)
+    return {k[4] for k in kept}
+
+
+def test_hot_keys_are_settled_in_chunks(spark, monkeypatch):
+    """One key holds all rows, in one island of time: no task may get more than a small part of it."""
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps, PandasGroupedOpsMixin
+
+    def bounded(kind):
+        original = kind.applyInPandas
+
+        def apply(self, f, schema):
+            def checked(*frames):
+                assert sum(map(len, frames)) <= 250, "a task holds too much of a key"
+                return f(*frames)
+
+            if kind is PandasCogroupedOps:
+                return original(self, lambda a, b: checked(a, b), schema)
+            return original(self, lambda a: checked(a), schema)
+
+        monkeypatch.setattr(kind, "applyInPandas", apply)
+
+    bounded(PandasCogroupedOps)
+    bounded(PandasGroupedOpsMixin)
+    monkeypatch.setattr(spotting, "CHUNK_ROWS", 100, raising=False)
+    rng = random.Random(4)
+    for rising in (False, True):  # a rising confidence passes each decision on to the next
+        pred = [(1, "a", f := rng.randint(0, 1500), f / 1500 if rising else rng.randint(0, 30) / 30, k) for k in range(1200)]
+        truth = [(1, "a", rng.randint(0, 1500), 0.0, k) for k in range(300)]
+        p, t = spark.createDataFrame(pred, PRED), spark.createDataFrame(truth, PRED)
+        assert {r.ord: r.hit for r in spotting.match_nearest(p, t, 6).collect()} == _brute_nearest(pred, truth, 6)
+        assert {r.ord: r.hit for r in spotting.match_strongest(p, t, 9.0).collect()} == _brute_strongest(pred, truth, 9.0)
+        for window in (12, 7):
+            assert {r.ord for r in spotting.suppress_greedy(p, window, 0.1, "video", "label").collect()} == _brute_greedy(pred, window, 0.1)
+
+
+def test_average_precision_over_ranges(spark):
+    rng = random.Random(5)
+    rows = [("ab"[k % 2], rng.random(), k, rng.random() < 0.4) for k in range(400)]
+    truth = spark.createDataFrame([("a",)] * 90 + [("b",)] * 80 + [("c",)], "label string")
+    found = spotting.average_precision(spark.createDataFrame(rows, "label string, confidence double, ord long, hit boolean"), truth, [F.desc("confidence"), F.col("ord")])
+    assert not any("Window [" in x and "label" in x and "_part" not in x and "confidence" in x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+    expected = {"c": 0.0}
+    for label, n in (("a", 90), ("b", 80)):
+        hits = [r[3] for r in sorted((r for r in rows if r[0] == label), key=lambda r: (-r[1], r[2]))]
+        points = [sum(hits[: k + 1]) / (k + 1) for k, hit in enumerate(hits) if hit]
+        expected[label] = sum(max(points[k:]) for k in range(len(points))) / n
+    got = {r.label: r.ap for r in found.collect()}
+    assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-9 for k in got)
+
+
 def test_nearest_ties_and_duplicates(spark):
     marks = spark.createDataFrame([("g", 0.0, 1, 1), ("g", 0.0, 2, 2), ("g", 10.0, 3, 3), ("g", 10.0, 4, 4)], "k string, t double, o long, v long")
     asked = spark.createDataFrame([("g", 5.0), ("g", 6.0), ("g", -3.0), ("g", 30.0), ("g", 10.0), ("h", 1.0)], "k string, t double")
