@@ -22,11 +22,11 @@ from .common import per_slice
 @dataclass(frozen=True)
 class CompressionRules:
     #: (bytes from, lowest ratio, highest ratio) of whole documents; the last that starts at or below a length holds.
-    bands: tuple[tuple[int, float, float], ...] = ((0, 0.0, 1e9), (64, 0.0, 3.0), (256, 1.1, 3.0), (512, 1.25, 3.25), (1024, 1.4, 3.5), (4096, 1.5, 4.0), (16384, 1.5, 5.0))
+    bands: tuple[tuple[int, float, float], ...] = ((0, 0.0, 1e9), (64, 0.0, 3.0), (96, 0.97, 3.0), (128, 1.05, 3.0), (192, 1.12, 3.0), (256, 1.1, 3.0), (512, 1.25, 3.25), (1024, 1.4, 3.5), (4096, 1.5, 4.0), (16384, 1.5, 5.0))
     chunk_bytes: int = 2048
     chunk_low: float = 1.35
     chunk_high: float = 4.0
-    #: A document goes if more than this share of its whole chunks lies outside the chunk limits.
+    #: A document goes if more than this share of its chunks lies outside the chunk limits; a tail is judged in a chunk that ends with the text.
     chunk_share: float = 0.25
     level: int = 3
     min_words: int = 10
@@ -80,7 +80,9 @@ def _measure(text: str | None, rules: CompressionRules, compress) -> tuple:
     failed = n_words < rules.min_words or 100 * repeats > rules.max_repeat_percent * n_words
     ratio = len(raw) / len(compress(raw)) if raw else 0.0
     low, high = rules.limits(len(raw))
-    chunks = [raw[k : k + rules.chunk_bytes] for k in range(0, len(raw) - rules.chunk_bytes + 1, rules.chunk_bytes)]
+    last = len(raw) - rules.chunk_bytes
+    starts = [*range(0, last, rules.chunk_bytes), last] if last >= 0 else []
+    chunks = [raw[k : k + rules.chunk_bytes] for k in starts]
     bad = sum(not rules.chunk_low <= rules.chunk_bytes / len(compress(x)) <= rules.chunk_high for x in chunks)
     fits = low <= ratio <= high and bad <= rules.chunk_share * len(chunks)
     return n_words, word_chars, n_symbols, len(lines) - len(set(lines)), repeats, failed, not failed and fits, len(raw), ratio, len(chunks), bad

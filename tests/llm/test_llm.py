@@ -70,6 +70,20 @@ def test_quality_rules(spark):
     assert found[1].whole_ratio == pytest.approx(len(junk) / len(compress(junk.encode())))
 
 
+def test_quality_of_tails_and_short_texts(spark):
+    random.seed(4)
+    junk = lambda n: " ".join("".join(random.choice("abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ+/") for _ in range(12)) for _ in range(n // 13 + 1))[:n]
+    prose = max((r.text for r in docs(spark).collect() if r.text and r.text.isascii()), key=len)
+    words = prose.split()
+    texts = [" ".join(random.sample(words, len(words)))[:2048].ljust(2048, "x") + " " + junk(2047), junk(140), junk(190), junk(250), prose[:140], prose[:250]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in quality_rules.compression_rules(rows).collect()}
+    assert [found[k].kept for k in range(6)] == [False, False, False, False, True, True]
+    assert (found[0].n_chunks, found[0].n_bad_chunks, found[0].base_failed) == (2, 1, False)
+    cut = quality_rules._measure("a" * 2049, quality_rules.CompressionRules(), zstandard.ZstdCompressor(level=3).compress)
+    assert cut[-2] == 2
+
+
 # 2. reply trees
 
 
