@@ -29,6 +29,7 @@ are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -51,9 +52,11 @@ class ToxicityRules:
     decay: float = 0.7
     reach: int = 8
     longest: int = 24
-    #: Letters told apart; rarer ones are as one.
+    #: Letters told apart; rarer ones share this many codes by their code points.
     letters: int = 63
-    insults: int = 256
+    buckets: int = 8
+    #: Bounds the driver's memory only; what is an insult is settled by evidence.
+    insults: int = 4096
     clean_words: int = 20_000
     landmarks: tuple[int, int] = (96, 64)
     penalty: float = 300.0
@@ -91,42 +94,40 @@ def _add(found: set[str], unit: str, longest: int) -> None:
 
 
 class Triples:
-    """The kernel's features of units, over a fixed alphabet; code 0 is any other letter and matches nothing."""
+    """The kernel's features of units; letters outside the alphabet share a few codes."""
 
     def __init__(self, alphabet: str, rules: ToxicityRules) -> None:
-        self.size, self.rules = len(alphabet) + 1, rules
-        self.codes = np.zeros(0x10000, np.int32)
+        self.size, self.rules = len(alphabet) + rules.buckets, rules
+        self.codes = (len(alphabet) + np.arange(0x110000) % rules.buckets).astype(np.uint8)
         for k, letter in enumerate(alphabet):
-            self.codes[ord(letter)] = k + 1
+            self.codes[ord(letter)] = k
         self.places = {n: np.array([(i, j, k) for i, j, k in combinations(range(n), 3) if k - i < rules.reach]) for n in range(3, rules.longest + 1)}
         self.shares = {n: (w := rules.decay ** (p[:, 2] - p[:, 0] + 1)) / np.sqrt(np.sum(w * w)) for n, p in self.places.items()}
 
-    def by_length(self, units: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(places among ``units``, triples of each, their shares) for each length."""
+    def by_length(self, units: list[str], columns: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(places among ``units``, triples of each, their shares) for each length, fewer at a time for more columns."""
         lengths = np.fromiter(map(len, units), np.int64, len(units))
         for n in np.unique(lengths):
             if n < 3:
                 continue
             at = np.flatnonzero(lengths == n)
-            for part in np.array_split(at, len(at) // 4000 + 1):
+            for part in np.array_split(at, len(at) // max(1, min(4000, 40_000_000 // (columns * len(self.shares[n])))) + 1):
                 points = np.frombuffer("".join(units[k] for k in part).encode("utf-32-le"), np.uint32).reshape(len(part), n)
-                codes = np.where(points < 0x10000, self.codes[np.minimum(points, 0xFFFF)], 0)
+                codes = self.codes[points].astype(np.int32)
                 i, j, k = self.places[n].T
                 triples = (codes[:, i] * self.size + codes[:, j]) * self.size + codes[:, k]
-                known = (codes[:, i] > 0) & (codes[:, j] > 0) & (codes[:, k] > 0)
-                yield part, np.where(known, triples, 0), self.shares[n].astype(np.float32)
+                yield part, triples, self.shares[n].astype(np.float32)
 
     def features(self, units: list[str]) -> np.ndarray:
         found = np.zeros((len(units), self.size**3), np.float32)
         for at, triples, shares in self.by_length(units):
             np.add.at(found, (at[:, None], triples), np.broadcast_to(shares, triples.shape))
-        found[:, 0] = 0.0
         return found
 
     def decisions(self, units: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
         """weights . features + bias of each unit; for two-dimensional weights, of each column."""
         found = np.full((len(units), *weights.shape[1:]), EMPTY - bias, np.float32)
-        for at, triples, shares in self.by_length(units):
+        for at, triples, shares in self.by_length(units, int(np.prod(weights.shape[1:]))):
             found[at] = np.einsum("ut...,t->u...", weights[triples], shares)
         return found + bias
 
@@ -159,13 +160,18 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: fl
     return w[:-1], float(w[-1])
 
 
-def fit_words(insults: list[str], clean: list[str], rules: ToxicityRules) -> ToxicityModel:
-    """The machine from example words, on the driver; both lists are bounded by the rules."""
-    letters: dict[str, int] = {}
-    for word in [*insults, *clean[:5000]]:
-        for letter in word:
-            letters[letter] = letters.get(letter, 0) + (50 if word in insults[:1] else 1)
-    alphabet = "".join(sorted(sorted((c for c in letters if ord(c) < 0x10000), key=lambda c: (-letters[c], c))[: rules.letters]))
+def usual_letters(words: DataFrame, rules: ToxicityRules) -> str:
+    """The letters that most words (word) hold, counted over all of them."""
+    each = words.select(F.explode(F.array_distinct(F.split("word", ""))).alias("letter")).where("letter <> ''")
+    most = each.groupBy("letter").count().orderBy(F.desc("count"), "letter").limit(rules.letters)
+    return "".join(sorted(r.letter for r in most.collect()))
+
+
+def fit_words(insults: list[str], clean: list[str], rules: ToxicityRules, alphabet: str | None = None) -> ToxicityModel:
+    """The machine from example words, on the driver; both lists are bounded by the rules. Without an alphabet it is counted over them."""
+    if alphabet is None:
+        letters = Counter(letter for word in [*insults, *clean] for letter in set(word))
+        alphabet = "".join(sorted(sorted(letters, key=lambda c: (-letters[c], c))[: rules.letters]))
     triples = Triples(alphabet, rules)
     if not insults:
         return ToxicityModel(triples, np.zeros(triples.size**3, np.float32), EMPTY)
@@ -283,7 +289,8 @@ def fit(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules
     frequent = usual.orderBy(F.desc("n_clean"), "word").limit(rules.clean_words // 2)
     drawn = usual.orderBy(F.xxhash64("word"), "word").limit(rules.clean_words // 2)
     others = {r.word for r in frequent.union(drawn).select("word").collect()}
-    model = fit_words(insults, sorted(others), rules)
+    alphabet = usual_letters(counts, rules)
+    model = fit_words(insults, sorted(others), rules, alphabet)
     for _ in range(rules.rounds if insults else 0):  # the clean words that the machine takes for insults most are learnt too
         shared = docs.sparkSession.sparkContext.broadcast(model)
         mistaken = usual.mapInArrow(_decided(shared), "word string, decision double").where(F.col("decision") > -0.5).orderBy(F.desc("decision"), "word").limit(rules.clean_words // 4)
@@ -291,7 +298,7 @@ def fit(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules
         if not more:
             break
         others |= more
-        model = fit_words(insults, sorted(others), rules)
+        model = fit_words(insults, sorted(others), rules, alphabet)
     rows = highest(examples, model).select("decision", "toxic").toArrow()
     x, y = rows["decision"].to_numpy(), rows["toxic"].to_numpy().astype(float)
     if len(y) and 0 < y.sum() < len(y):

@@ -328,6 +328,18 @@ def test_subsequence_kernel_by_hand():
     assert float(a @ b) == pytest.approx(rules.decay**4 * rules.decay**3 / share[4] / share[3], rel=1e-5)
 
 
+def test_letters_of_any_script_count(spark):
+    rules = toxicity.ToxicityRules()
+    clean = [a + b + "word" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"] * 9 + ["другое", "время", "человек"]
+    rare = "\U00010428\U0001042a\U0001042c\U0001042e"  # letters behind 0xFFFF
+    model = toxicity.fit_words(["дурак", rare], clean, rules)
+    assert (model.triples.decisions(["дурак", "дуррак", rare], model.weights, model.bias) > 0).all()
+    many = "".join(chr(0x4E00 + k) for k in range(200))
+    t = toxicity.Triples(many[:63], rules)
+    assert (np.linalg.norm(t.features([many[100:104], many[0:4], rare]), axis=1) > 0.9).all()
+    assert set("дурак") <= set(toxicity.usual_letters(spark.createDataFrame([(w,) for w in [*clean, "дурак"]], "word string"), rules))
+
+
 def test_units():
     assert toxicity.units_of("You i d i o t, i.d-i.o.t! ok", 24) == {"you", "idiot"}
     assert toxicity.units_of(None, 24) == set() and all(len(u) <= 24 for u in toxicity.units_of("x" * 500, 24))
