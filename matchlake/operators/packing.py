@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,23 +14,27 @@ from ..functions.ranks import ranked
 def pack_by_size(samples: DataFrame, group: str, order: str, size: str, limit: int) -> DataFrame:
     """``samples`` with ``shard`` from 0 within each group: in order, a sample opens a new shard where the tar file would pass the limit.
 
-    Sizes: tar member bytes. The fold of a group is sequential and holds one number a sample, in
-    batches; groups run side by side, so a large data set is packed by source or range.
+    Sizes: tar member bytes. A group is sorted and folded in one task, batch by batch; between batches
+    only the group, the shard and its running total are kept.
     """
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        shards, shard, total = [], 0, 0
-        for member in rows[size]:
-            file = -(-(total + member + 1024) // 10240) * 10240
-            if total and file > limit:
-                shard, total = shard + 1, 0
-            total += member
-            shards.append(shard)
-        return rows.assign(shard=shards)
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, shard, total = object(), 0, 0
+        for rows in frames:
+            shards = []
+            for key, member in zip(rows[group], rows[size], strict=True):
+                key = None if pd.isna(key) else key
+                if key != last:
+                    last, shard, total = key, 0, 0
+                file = -(-(total + member + 1024) // 10240) * 10240
+                if total and file > limit:
+                    shard, total = shard + 1, 0
+                total += member
+                shards.append(shard)
+            yield rows.assign(shard=shards)
 
     columns = ", ".join(f"{n} {k}" for n, k in samples.dtypes)
-    return samples.groupBy(group).applyInPandas(one, f"{columns}, shard long")
+    return samples.repartition(group).sortWithinPartitions(group, order).mapInPandas(fold, f"{columns}, shard long")
 
 
 def pack_by_count(samples: DataFrame, per_shard: int, *order: str) -> DataFrame:

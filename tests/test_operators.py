@@ -151,6 +151,30 @@ def test_packing(spark):
     assert [r[0] for r in texts.select(sizes.parse_size(F.col("t"))).collect()] == [500_000_000, 1_000_000_000, 1_073_741_824, 42, None, None, None]
 
 
+def test_packing_folds_over_batches(spark, monkeypatch):
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    def whole_group(self, f, schema):
+        raise AssertionError("a whole group is one frame")
+
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInPandas", whole_group)
+    rng = random.Random(6)
+    rows = [("xyz"[k % 3], k, 512 * rng.randint(1, 12)) for k in range(300)] + [(None, k, 512) for k in range(60)]
+    expected, state = {}, {}
+    for g, i, m in rows:
+        shard, total = state.get(g, (0, 0))
+        if total and -(-(total + m + 1024) // 10240) * 10240 > 20480:
+            shard, total = shard + 1, 0
+        state[g], expected[g, i] = (shard, total + m), shard
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rng.shuffle(rows)
+        got = packing.pack_by_size(spark.createDataFrame(rows, "g string, i long, m long"), "g", "i", "m", 20480).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.g, r.i): r.shard for r in got} == expected
+
+
 def test_ranks(spark):
     rows = ranked(spark.range(1000).select((F.col("id") * 37 % 1000).alias("x")), "x")
     assert rows.where("x <> rank").count() == 0 and rows.count() == 1000
