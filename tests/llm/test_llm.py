@@ -369,50 +369,78 @@ def test_toxicity_without_examples(spark):
 
 
 def brute_contaminated(text, items, rules):
+    """Every alignment of every item, without masks."""
     tokens = lambda t: [x for x in re.split(r"[\W_]+", (t or "").lower()) if x]
     words, found = tokens(text), set()
     for i, item in items:
         theirs = tokens(item)
-        if min(len(words), len(theirs)) < rules.min_tokens:
-            continue
         size = min(rules.window, len(theirs))
+        least = size if size < rules.tolerant else rules.share * size
         for shift in range(-len(theirs), len(words)):
             same = [0 <= shift + k < len(words) and words[shift + k] == w for k, w in enumerate(theirs)]
-            hits = [k for k in range(len(theirs)) if any(all(bit == "0" or (k + j < len(same) and same[k + j]) for j, bit in enumerate(m)) for m in rules.masks)]
-            if any(sum(same[s : s + rules.window]) >= rules.share * size for k in hits for s in range(max(0, k - rules.window + 1), k + 1)):
+            if theirs and any(sum(same[s : s + rules.window]) >= least for s in range(len(theirs) - size + 1)):
                 found.add(i)
                 break
     return found
 
 
+def test_masks_miss_no_placing_of_substitutions():
+    rules = decontaminate.SeedRules()
+    for n in range(rules.tolerant, rules.window + 1):
+        wrong = n - -int(-(rules.share * n) // 1)
+        placings = [set(x) for x in itertools.combinations(range(n), wrong)]
+        met = [any(all(bit == "0" or at + k not in x for k, bit in enumerate(m)) for m in rules.masks for at in range(n - len(m) + 1)) for x in placings]
+        assert all(met), (n, sum(met) / len(met))
+
+
 def test_decontamination(spark):
     rules = decontaminate.SeedRules()
-    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
-    items = [(r.item_id, r.text) for r in benchmark.collect()][:8]
+    whole = spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = [(r.item_id, r.text) for r in whole.collect()][:8]
     random.seed(10)
     filler = [w for r in docs(spark).limit(20).collect() for w in r.text.split()]
     texts = []
-    for k, (_, item) in enumerate(items):
+    for _, item in items:
         words = item.split()
         swapped = [w if j % 6 != 3 else "zzz" for j, w in enumerate(words)]
         for passage in (words, swapped, words[:14], words[:5], [w if j % 2 else "qq" for j, w in enumerate(words)]):
             texts.append(" ".join([*random.sample(filler, 30), *passage, *random.sample(filler, 10)]))
+        for _ in range(4):  # a window with as many substitutions as the share allows, anywhere
+            at, wrong = random.randrange(len(words) - 12), random.sample(range(13), 3)
+            texts.append(" ".join([*random.sample(filler, 15), *[w if j not in wrong else "zzz" for j, w in enumerate(words[at : at + 13])], *random.sample(filler, 10)]))
+    for n in (1, 2, 5, 7, 8, 9, 11, 12):  # items of few tokens, and ones that share a beginning
+        words = [f"short{n}x{j}" for j in range(n)]
+        items.append((1000 + n, " ".join(words)))
+        texts += [" ".join(["aa", "bb", *words, "cc"]), " ".join(["aa", *words[:-1], "cc"]), " ".join(w if j not in (1, n - 2) else "zzz" for j, w in enumerate(words)), " ".join(words) * 2]
+    for k in range(12):
+        items.append((2000 + k, f"which of the following statements is true of {' '.join(f't{k}u{j}' for j in range(8))}"))
+    texts += ["Which of the following statements is true of t3u0 t3u1 t3u2 t3u3 t3u4 no", "which of the following statements is true", "which of the following statements is true of none of them here"]
+    items += [(3000, ""), (3001, None), (3002, "... !"), (3003, items[0][1])]
     texts += [None, "", "a b", *[" ".join(random.sample(filler, 60)) for _ in range(10)]]
     frame = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)] + [(0, texts[0], "y"), (None, texts[0], "z")], "doc_id long, text string, item_id string")
-    few = benchmark.where(F.col("item_id").isin([i for i, _ in items]))
+    few = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.contamination_report(frame, few).collect()
     assert len(got) == len(texts) + 2
     for r in got:
         assert set(r.item_ids) == brute_contaminated(texts[r.doc_id or 0], items, rules), texts[r.doc_id or 0]
-    shuffled = decontaminate.contamination_report(frame, few, decontaminate.SeedRules(broadcast_rows=0)).collect()
-    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.contaminated, r.n_items)
-    assert sorted(map(key, got)) == sorted(map(key, shuffled))
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.contaminated, sorted(r.item_ids), r.best_share)
+    for other in (decontaminate.SeedRules(broadcast_rows=0, block_rows=3), decontaminate.SeedRules(broadcast_rows=0, filter_rows=0, block_rows=3)):
+        assert sorted(map(key, got)) == sorted(map(key, decontaminate.contamination_report(frame, few, other).collect()))
     kept = decontaminate.decontaminated(frame, few)
     assert kept.count() == sum(not r.contaminated for r in got) and kept.columns == frame.columns
     assert decontaminate.contamination_report(frame, few.where("false")).where("contaminated").count() == 0
     assert decontaminate.contamination_report(frame.where("false"), few).count() == 0
 
 
+def test_decontamination_of_very_long_texts(spark):
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
+    item = benchmark.orderBy("item_id").first()
+    words = [f"w{j % 997}" for j in range(100_000)]
+    frame = spark.createDataFrame([(0, " ".join(words)), (1, " ".join([*words, item.text])), (2, "x" * 300_000)], "doc_id long, text string")
+    for rules in (decontaminate.SeedRules(), decontaminate.SeedRules(broadcast_rows=0, filter_rows=0)):
+        assert {r.doc_id: item.item_id in r.item_ids for r in decontaminate.contamination_report(frame, benchmark, rules).collect()} == {0: False, 1: True, 2: False}
+
+
 # all of them on odd rows, and the pipeline
 
 
