@@ -1,7 +1,8 @@
 """Quality rules by compression bands: zstandard ratios of whole documents and fixed chunks.
 
-Repetitive text compresses far better than prose, random strings far worse. What is usual
-depends on the length, so each band of lengths has limits of its own.
+Repetitive text compresses better than prose, random strings far worse. What is usual
+depends on the length, so each band of lengths has limits of its own, fitted to the documents
+of a corpus that are labelled good (``fit_bands``); other corpora want other limits.
 
 Each row is judged alone. Null text counts as empty: no words, so the base rules reject it.
 Repeated rows and repeated ids give one row each. Other columns of the input are ignored.
@@ -9,23 +10,28 @@ Repeated rows and repeated ids give one row each. Other columns of the input are
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import per_slice
 
 
 @dataclass(frozen=True)
 class CompressionRules:
-    #: (bytes from, lowest ratio, highest ratio) of whole documents; the last that starts at or below a length holds.
-    bands: tuple[tuple[int, float, float], ...] = ((0, 0.0, 1e9), (64, 0.0, 3.0), (96, 0.97, 3.0), (128, 1.05, 3.0), (192, 1.12, 3.0), (256, 1.1, 3.0), (512, 1.25, 3.25), (1024, 1.4, 3.5), (4096, 1.5, 4.0), (16384, 1.5, 5.0))
+    #: (bytes from, lowest ratio, highest ratio) of whole documents; the last that starts at or below a length holds. Fixed
+    #: values: ``fit_bands`` over documents labelled good; random base64 text stays below all lower limits from 96 bytes on.
+    bands: tuple[tuple[int, float, float], ...] = (
+        (0, 0.0, 1.2), (64, 0.0, 1.2), (96, 0.92, 1.3), (128, 1.03, 1.5), (192, 1.12, 1.62), (256, 1.25, 1.7), (384, 1.35, 1.75),
+        (512, 1.42, 1.93), (768, 1.55, 2.0), (1024, 1.66, 2.07), (1536, 1.78, 2.18), (2048, 1.85, 2.2), (3072, 1.95, 2.26),
+        (4096, 2.05, 2.38), (8192, 2.15, 2.45), (16384, 2.25, 2.55), (65536, 2.25, 2.65),
+    )
     chunk_bytes: int = 2048
-    chunk_low: float = 1.35
-    chunk_high: float = 4.0
+    chunk_low: float = 1.6
+    chunk_high: float = 2.2
     #: A document goes if more than this share of its chunks lies outside the chunk limits; a tail is judged in a chunk that ends with the text.
     chunk_share: float = 0.25
     level: int = 3
@@ -105,4 +111,15 @@ def compression_rules(docs: DataFrame, rules: CompressionRules = CompressionRule
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(per_slice(judge), DDL)
 
 
-SPACE_RUN = re.compile(r"[^\x20\x09-\x0D]+")
+def fit_bands(docs: DataFrame, rules: CompressionRules = CompressionRules(), quantile: float = 0.001, margin: float = 0.04) -> CompressionRules:
+    """``rules`` with the bands' limits fitted to ``docs``, good documents: what all but ``quantile`` of a band reach, and a margin.
+
+    Quantiles are approximate and added up in Spark; a band that no document lies in keeps its limits, and so does a lower limit of 0.
+    """
+    starts = [start for start, _, _ in rules.bands]
+    band = sum((F.when(F.col("n_bytes") >= start, 1).otherwise(0) for start in starts[1:]), F.lit(0))
+    measured = compression_rules(docs, rules).where("not base_failed")
+    ends = F.percentile_approx("whole_ratio", [quantile, 1 - quantile], 10_000).alias("ends")
+    found = {r.band: r.ends for r in measured.groupBy(band.alias("band")).agg(ends).collect()}
+    fitted = [(start, max(0.0, found[k][0] - margin) if low else 0.0, found[k][1] + margin) if k in found else (start, low, high) for k, (start, low, high) in enumerate(rules.bands)]
+    return replace(rules, bands=tuple(fitted))

@@ -52,13 +52,34 @@ def brute_rules(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(inside), failed
 
 
+def brute_bands(text):
+    rules, size = quality_rules.CompressionRules(), lambda x: len(zstandard.ZstdCompressor(level=3).compress(x))
+    raw = (text or "").encode()
+    low, high = [(a, b) for start, a, b in rules.bands if start <= len(raw)][-1]
+    starts = sorted({*range(0, len(raw) - 2048, 2048), len(raw) - 2048}) if len(raw) >= 2048 else []
+    wrong = [k for k in starts if not rules.chunk_low <= 2048 / size(raw[k : k + 2048]) <= rules.chunk_high]
+    return low <= len(raw) / size(raw) <= high and len(wrong) <= rules.chunk_share * len(starts)
+
+
+def test_quality_bands_decide(spark):
+    """Of documents that the base rules pass, bands reject most of the poor ones from 1024 bytes on and next to no good one."""
+    at = "/root/testdata/sf0.01"
+    got = quality_rules.compression_rules(spark.read.parquet(f"{at}/documents.parquet")).where("not base_failed")
+    rows = got.join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id").select("quality", "kept", "n_bytes").collect()
+    good, poor = [r.kept for r in rows if r.quality == 1], [r.kept for r in rows if r.quality == 0 and r.n_bytes >= 1024]
+    assert sum(good) >= 0.99 * len(good) and sum(poor) <= 0.25 * len(poor) and len(poor) >= 10
+    fitted = quality_rules.fit_bands(spark.read.parquet(f"{at}/documents.parquet").join(spark.read.parquet(f"{at}/labels.parquet").where("quality = 1"), "doc_id", "left_semi"))
+    assert all(abs(a[2] - b[2]) < 0.3 for a, b in zip(fitted.bands, quality_rules.CompressionRules().bands, strict=True))
+    assert quality_rules.fit_bands(got.select("doc_id", F.lit(None).cast("string").alias("text"))) == quality_rules.CompressionRules()
+
+
 def test_quality_rules(spark):
     got = quality_rules.compression_rules(docs(spark)).collect()
     texts = {r.doc_id: r.text for r in docs(spark).collect()}
     assert len(got) == len(texts)
     for r in got:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_rules(texts[r.doc_id])
-        assert not (r.kept and r.base_failed)
+        assert r.kept == (not r.base_failed and brute_bands(texts[r.doc_id]))
     random.seed(3)
     letters = "abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ+/"
     junk = " ".join("".join(random.choice(letters) for _ in range(40)) for _ in range(60))
