@@ -330,40 +330,77 @@ def test_languages(spark):
 # 9. toxicity
 
 
-def test_kernel_weights_equal_the_landmark_form():
-    rules = toxicity.ToxicityRules()
-    insults, clean = ["idiot", "moron", "scum", "worthless"], ["thing", "other", "motion", "editor", "rescue", "worth"] * 3
-    model = toxicity.fit_words(insults, clean, rules)
-    assert (model.triples.decisions(insults, model.weights, model.bias) > 0).all() and (model.triples.decisions(clean, model.weights, model.bias) < 0).all()
-    words = ["idxiot", "mororn", "other", "abc"]
-    dense = model.triples.features(words) @ model.weights + model.bias
-    assert np.allclose(dense, model.triples.decisions(words, model.weights, model.bias), atol=1e-4)
-    assert model.triples.decisions(["idxiot"], model.weights, model.bias)[0] > model.triples.decisions(["thingx"], model.weights, model.bias)[0]
+def brute_features(text, rules):
+    """The triples of a stretch of characters and their shares, from the definition."""
+    found = collections.Counter()
+    for i, j, k in itertools.combinations(range(len(text)), 3):
+        if k - i < rules.reach:
+            found[text[i] + text[j] + text[k]] += rules.decay ** (k - i + 1)
+    whole = sum(rules.decay ** (2 * (k - i + 1)) for i, _, k in itertools.combinations(range(rules.stretch), 3) if k - i < rules.reach) ** 0.5
+    return {t: v / whole for t, v in found.items()}
 
 
-def test_subsequence_kernel_by_hand():
-    rules = toxicity.ToxicityRules(reach=99, longest=8)
-    t = toxicity.Triples("abcd", rules)
-    a, b = t.features(["abcd", "abd"])
-    share = {n: sum(rules.decay ** (2 * (k - i + 1)) for i, _, k in itertools.combinations(range(n), 3)) ** 0.5 for n in (3, 4)}
-    assert float(a @ b) == pytest.approx(rules.decay**4 * rules.decay**3 / share[4] / share[3], rel=1e-5)
+def brute_kernel(a, b, rules):
+    x, y = brute_features(a, rules), brute_features(b, rules)
+    return sum(v * y.get(t, 0.0) for t, v in x.items())
 
 
-def test_letters_of_any_script_count(spark):
+def test_kernel_and_landmark_features_against_brute_force():
     rules = toxicity.ToxicityRules()
-    clean = [a + b + "word" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"] * 9 + ["другое", "время", "человек"]
-    rare = "\U00010428\U0001042a\U0001042c\U0001042e"  # letters behind 0xFFFF
-    model = toxicity.fit_words(["дурак", rare], clean, rules)
-    assert (model.triples.decisions(["дурак", "дуррак", rare], model.weights, model.bias) > 0).all()
-    many = "".join(chr(0x4E00 + k) for k in range(200))
-    t = toxicity.Triples(many[:63], rules)
-    assert (np.linalg.norm(t.features([many[100:104], many[0:4], rare]), axis=1) > 0.9).all()
-    assert set("дурак") <= set(toxicity.usual_letters(spark.createDataFrame([(w,) for w in [*clean, "дурак"]], "word string"), rules))
-
-
-def test_units():
-    assert toxicity.units_of("You i d i o t, i.d-i.o.t! ok", 24) == {"you", "idiot"}
-    assert toxicity.units_of(None, 24) == set() and all(len(u) <= 24 for u in toxicity.units_of("x" * 500, 24))
+    random.seed(9)
+    triples = toxicity.Triples("abcdeiostz", rules)
+    stretch = lambda t: triples.codes[[ord(c) for c in t]].tobytes().ljust(rules.stretch, bytes([triples.none]))
+    texts = ["".join(random.choice("abcdeiostz ") for _ in range(random.choice([16, 16, 5, 2]))) for _ in range(14)] + ["idiot", "i d i o t", "idziot aa bb cc"]
+    marks, others = texts[:6], texts[6:]
+    nystroem = toxicity.Nystroem(triples, [stretch(t) for t in marks])
+    k_xz = np.array([[brute_kernel(x, z, rules) for z in marks] for x in others])
+    k_zz = np.array([[brute_kernel(x, z, rules) for z in marks] for x in marks])
+    assert np.allclose(nystroem.kernel([stretch(t) for t in others]), k_xz, atol=1e-5)
+    values, vectors = np.linalg.eigh(k_zz)
+    root = vectors * np.where(values > 1e-4, np.maximum(values, 1e-4) ** -0.5, 0.0) @ vectors.T
+    assert np.allclose(nystroem.features([stretch(t) for t in others]), k_xz @ root, atol=1e-3)
+    w = np.random.default_rng(9).normal(size=len(marks))
+    weights = nystroem.weights(w)
+    long = "".join(random.choice("abcdeiostz ") for _ in range(90))
+    long = re.sub(" +", " ", long)
+    scores, found = triples.best([*others, long, None, "", "###"], weights)
+    value = lambda t: float(np.array([brute_kernel(t, z, rules) for z in marks]) @ root @ w)
+    assert np.allclose(scores[: len(others)], [max(0.0, *(value(part) for k in range(1, len(t) + 1) for part in (t[:k], t[-k:]))) for t in (re.sub(" +", " ", t) for t in others)], atol=1e-3)
+    assert scores[len(others)] == pytest.approx(max(0.0, *(value(long[max(0, k) : k + 16]) for k in range(-15, len(long)))), abs=1e-3)
+    assert list(scores[-3:]) == [0.0, 0.0, 0.0] and all(len(x) == rules.stretch for x in found)
+    parts = triples.stretch_scores(triples.read([long])[0], weights, part=7)
+    assert np.allclose(parts, triples.stretch_scores(triples.read([long])[0], weights), atol=1e-5)
+
+
+def test_landmarks_tell_apart():
+    triples = toxicity.Triples("abcdeiostz", toxicity.ToxicityRules())
+    codes = lambda t: triples.codes[[ord(c) for c in t.ljust(16)]].tobytes()
+    chosen = toxicity.landmarks(triples, [codes(t) for t in ["idiot", "idiot", "stoat", "badeos", "stoat"]], 4)
+    assert len(chosen) == len(set(chosen)) == 3
+
+
+def test_sentences_teach_gapped_and_split_insults(spark):
+    """Learnt from whole sentences of labelled documents, in any script; gaps, insertions and blanks don't hide an insult."""
+    random.seed(19)
+    rare = "\U00010428\U0001042a\U0001042c\U0001042e\U00010430"  # letters behind 0xFFFF
+    words = ["".join(random.choice(["re", "tion", "an", "the", "er", "in", "lo", "ма", "ре"]) for _ in range(random.randint(1, 4))) for _ in range(300)]
+    say = lambda *extra: " ".join(random.sample([*random.choices(words, k=9), *extra], 9 + len(extra))) + "."
+    rows = []
+    for k in range(900):
+        toxic = k % 6 == 0
+        rows.append((k, " ".join([say(), say(), say(*([random.choice(["moron", "дурак", rare])] if toxic else []))]), int(toxic)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(frame.drop("toxic"), frame.drop("text"))
+    chance = lambda t: model.slope * model.decisions([t])[0] + model.shift > 0
+    for insult in ("moron", "moroxn", "mo ron", "m o r o n", "m.o.r-on", "дурак", "ду рак", "дурzак", rare, "MORON"):
+        assert chance(f"{say()} {insult} {say()}"), insult
+    assert sum(chance(say() + " " + say()) for _ in range(50)) <= 2
+    assert list(model.decisions([None, "", "123 !"])) == [-1.0] * 3
+
+
+def test_sentences():
+    assert toxicity.sentences_of("You i.d-i.o.t! ok, Sir.\nok Sir! ¿") == {"you i d i o t", "ok sir"}
+    assert toxicity.sentences_of(None) == set()
 
 
 def test_toxicity(spark):
