@@ -1,17 +1,17 @@
 """SimHash near-duplicates through an inverted index on positional bytes, with count filtering.
 
 A fingerprint has eight positional bytes. Two fingerprints that differ in at most two bits
-share at least six of them. The eight
-positions fall into four pairs, at most two pairs can be touched, so the four bytes of some
-two pairs are equal in both. The index is keyed by those four bytes, which keeps its posting
-lists short. Pairs from a posting list are tallied (how many of the eight positional bytes
-agree), those under the guaranteed six go, and the rest are verified by their Hamming distance.
-
-Exact copies are merged before (a fingerprint is one node, whatever its count). A posting list
-longer than ``dense`` (a large group of near copies) would still give a quadratic number of
-pairs; there, fingerprints are linked through their one-bit neighbourhoods instead, which is
-as exact: two fingerprints are within two bits if and only if some 64-bit string is within one
-bit of both. Every list of that kind is linked to its least member, so work stays linear.
+share at least six of them. A posting stands for four bytes at fixed positions: single bytes
+would put a share of all fingerprints in one list, however large the corpus. The 14 sets of
+positions are those whose numbers cancel out in a bitwise sum, so any three positions lie in
+exactly one of them; hence two fingerprints meet in three lists or more if they share six
+bytes or more, in one at most if they share fewer. So the tally of the lists that a pair meets
+in tells whether it reaches six shared bytes. Pairs with fewer than three go, the rest are
+verified by their Hamming distance.
+
+Exact copies are merged before (a fingerprint is one node, whatever its count). Of a list longer
+than ``dense`` only those are paired that share two of the other four bytes too: others can't
+reach six. Lists so split hold 65,536 fingerprints at most, whatever the corpus.
 
 Null and empty texts have no words and fingerprint zero, linked like any other. Rows with the
 same id are nodes of one fingerprint each and keep a row each. A null id stays null and is the
@@ -20,7 +20,9 @@ component id only where no row of the component has an id.
 
 from __future__ import annotations
 
-from itertools import combinations
+from functools import reduce
+from itertools import batched, combinations
+from operator import xor
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +33,11 @@ from .common import cut_lineage, fresh, per_slice
 from .components import components
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 2
-#: Two bits touch two of the eight bytes at most.
-MIN_SHARED = 8 - MAX_BITS
-#: Positions of the four bytes of each index key: any two of the four pairs of bytes.
-BYTE_SETS = [tuple(sorted((2 * a, 2 * a + 1, 2 * b, 2 * b + 1))) for a, b in combinations(range(4), 2)]
+#: The positions of each posting's bytes, and in how many lists those meet that share all bytes but one a differing bit.
+BYTE_SETS = [p for p in combinations(range(8), 4) if reduce(xor, p) == 0]
+MIN_LISTS = min(sum(not set(p) & set(hit) for p in BYTE_SETS) for hit in combinations(range(8), MAX_BITS))
+#: Shingles of a text that are turned into bits at a time.
+AT_A_TIME = 50_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -45,10 +48,12 @@ def _fingerprint(text: str | None) -> int:
     if not words:
         return 0
     shingles = map(b" ".join, zip(words, words[1:], words[2:], strict=False)) if len(words) >= SHINGLE else [b" ".join(words)]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, SEED) for s in shingles], np.uint64)
-    ones = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
+    digest, ones, n = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0
+    for some in batched(shingles, AT_A_TIME):
+        hashes = np.array([digest(s, SEED) for s in some], np.uint64)
+        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(some)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
 def fingerprints(docs: DataFrame, *keep: Column) -> DataFrame:
@@ -62,32 +67,29 @@ def fingerprints(docs: DataFrame, *keep: Column) -> DataFrame:
     return rows.mapInArrow(per_slice(hashed), ", ".join(f"{n} long" for n in names))
 
 
-def _byte(fp: Column, k: int) -> Column:
-    return F.shiftrightunsigned(fp, 56 - 8 * k).bitwiseAND(F.lit(255))
-
-
 def _mask(positions: tuple[int, ...]) -> int:
     mask = sum(255 << (56 - 8 * k) for k in positions)
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def links(nodes: DataFrame, dense: int = 24) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints ``fp`` that connect all within two bits of each other."""
+def _pairs(lists: DataFrame, *key: str) -> DataFrame:
+    """(which, a, b) for each two fingerprints of a list."""
+    other = lists.select(*key, F.col("fp").alias("b"))
+    return lists.join(other, list(key)).where(F.col("fp") < F.col("b")).select("which", F.col("fp").alias("a"), "b")
+
+
+def links(nodes: DataFrame, dense: int = 64) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints ``fp`` that are within two bits of each other."""
     keys = F.array(*[F.struct(F.lit(i).alias("which"), F.col("fp").bitwiseAND(F.lit(_mask(p))).alias("bytes")) for i, p in enumerate(BYTE_SETS)])
     postings = nodes.select("fp", F.explode(keys).alias("k")).select("fp", "k.which", "k.bytes")
     sizes = postings.groupBy("which", "bytes").agg(F.count("*").alias("n")).where("n > 1")
     shared = cut_lineage(postings.join(sizes, ["which", "bytes"]))
-    short, long = shared.where(F.col("n") <= dense), shared.where(F.col("n") > dense)
-    other = short.select("which", "bytes", F.col("fp").alias("other"))
-    tally = sum(F.when(_byte(F.col("fp"), k) == _byte(F.col("other"), k), 1).otherwise(0) for k in range(8))
-    pairs = short.join(other, ["which", "bytes"]).where((F.col("fp") < F.col("other")) & (tally >= MIN_SHARED))
-    verified = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= MAX_BITS).select(F.col("fp").alias("a"), F.col("other").alias("b"))
-    flips = [0, *(1 << k for k in range(63)), -(1 << 63)]
-    near = F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(x)) for x in flips])).alias("point")
-    balls = long.select("fp").distinct().select("fp", near)
-    least = balls.groupBy("point").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1")
-    stars = balls.join(least, "point").where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct()
-    return verified.unionByName(stars)
+    more = [[_mask((*p, *two)) for two in combinations(sorted({*range(8)} - {*p}), 2)] for p in BYTE_SETS]
+    masks = F.element_at(F.array(*[F.array(*map(F.lit, m)) for m in more]), F.col("which") + 1)
+    split = shared.where(F.col("n") > dense).select("fp", "which", F.explode(masks).alias("mask")).withColumn("bytes", F.col("fp").bitwiseAND(F.col("mask")))
+    met = _pairs(shared.where(F.col("n") <= dense), "which", "bytes").unionByName(_pairs(split, "which", "mask", "bytes"))
+    tally = met.groupBy("a", "b").agg(F.bit_count(F.bit_or(F.expr("shiftleft(1L, which)"))).alias("lists"))
+    return tally.where((F.col("lists") >= MIN_LISTS) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)).select("a", "b")
 
 
 def _grouped(marked: DataFrame, first: Column) -> DataFrame:

@@ -185,6 +185,20 @@ def test_simhash(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(expected.values())) and kept.columns == docs(spark).columns
 
 
+def test_lists_that_two_fingerprints_meet_in():
+    """The tally of lists tells how many positional bytes are shared: three lists or more for six bytes or more, else one at most."""
+    for many in range(9):
+        for differ in itertools.combinations(range(8), many):
+            lists = sum(not set(p) & set(differ) for p in simhash.BYTE_SETS)
+            assert (lists >= simhash.MIN_LISTS) == (many <= 2) and (many <= 2 or lists <= 1)
+
+
+def test_simhash_of_a_long_text():
+    random.seed(31)
+    text = " ".join(random.choice(["Ab", "c", "dE", "f"]) for _ in range(120_001))
+    assert simhash._fingerprint(text) % (1 << 64) == brute_fingerprint(text)
+
+
 def test_simhash_links_of_dense_groups(spark):
     random.seed(2)
     prints = [random.getrandbits(64) for _ in range(40)]
@@ -193,6 +207,8 @@ def test_simhash_links_of_dense_groups(spark):
     nodes = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
     for dense in (4, 1000):
         edges = simhash.links(nodes, dense)
+        pairs = {frozenset((r.a % (1 << 64), r.b % (1 << 64))) for r in edges.collect()}
+        assert pairs == {frozenset(p) for p in itertools.combinations(prints, 2) if (p[0] ^ p[1]).bit_count() <= 2}
         found = {(r.node) % (1 << 64): r.component % (1 << 64) for r in components.components(edges).collect()}
         groups = brute_components({p: p for p in prints})
         same = collections.defaultdict(set)
