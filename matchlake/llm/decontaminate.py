@@ -123,8 +123,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rules: SeedRules = SeedR
     windows = [F.bit_count(F.shiftright("same", k).bitwiseAND(F.lit((1 << rules.window) - 1))) for k in range(rules.window)]
     share = F.greatest(*windows) / F.least("n", F.lit(rules.window))
     least = F.when(F.col("n") < rules.tolerant, 1.0).otherwise(rules.share)
-    passed = laid.select("doc_id", "text_key", "entry", share.alias("share"), least.alias("least")).where("share >= least")
-    best = passed.groupBy("doc_id", "text_key", "entry").agg(F.max("share").alias("best"))
+    # Filtered when added up: before, the filter would become a condition of the join and lay the tokens side by side once for each window.
+    best = laid.select("doc_id", "text_key", "entry", "n", share.alias("share")).groupBy("doc_id", "text_key", "entry", "n").agg(F.max("share").alias("best")).where(F.col("best") >= least)
     named = best.join(found_in.select("entry", "item_id").distinct(), "entry")
     return named.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("best").alias("best_share"))
 
