@@ -8,14 +8,17 @@ if merging their joined characters, best-scored piece first and leftmost on ties
 just those two. Exactly one piece is admissible at each boundary, and following the
 backpointers gives the library's ids.
 
-Only the boundaries of the last longest-piece's length can still be extended. Every so often
-the backpointers of these survivors are followed; once they meet in one boundary, the ids up
-to it are committed and forgotten, so a text of any length takes a window of bounded size.
+Only the boundaries of the last longest-piece's length can still be extended. Every ``LOOK``
+characters the backpointers of these survivors are followed; once they meet in one boundary, the
+ids up to it are committed and forgotten, so a text of any length takes a window of bounded size.
 Where no piece holds two neighbouring characters together (before ``▁``, around line ends,
-before most marks), all paths meet, and the ids of the stretch between two such points depend
-on it alone. A bounded memo therefore holds the stretches met before.
+before most marks), all paths meet for certain: the ids are committed there too, the search goes
+on from an empty window, and the ids of the stretch between two such points depend
+on it alone. A bounded memo therefore holds the stretches met before. The text is read stretch
+by stretch, one at a time; searching it in one go gives the same ids (tested).
 
-Characters without a piece become the byte pieces of their UTF-8. Null and empty texts have
+Characters without a piece become the byte pieces of their UTF-8. Should no piece be admissible
+at a boundary, the last character stands alone there. Null and empty texts have
 no ids. Decoding gives the text back, except that ``▁`` itself comes back as a space
 (``round_trip`` is then false). Each row is encoded alone; repeated rows and ids stay. Other
 columns are kept, and one called ids, n_ids or round_trip is replaced.
@@ -24,7 +27,8 @@ columns are kept, and one called ids, n_ids or round_trip is replaced.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Stretches (of either age) and pairs that a worker remembers, and the longest stretch it does; characters between looks for a common boundary.
-MEMO, MEMO_CHARS, LOOK = 250_000, 48, 64
+MEMO, MEMO_CHARS, LOOK = 250_000, 48, 8
 SPACE = "▁"
 
 
@@ -61,12 +65,14 @@ class Pieces:
             marks -= found
         heads, rest = re.escape("".join(sorted(marks))), re.escape("".join(sorted(marks)) + alone) + SPACE
         either = [f"{SPACE}+[{heads}]*[^{rest}]*", f"[{heads}]+[^{rest}]*"] if marks else [f"{SPACE}+[^{rest}]*"]
-        self.stretches = re.compile("|".join([*either, f"[^{rest}]+", *([f"[{alone}]"] if alone else [])])).findall
+        self.stretches = re.compile("|".join([*either, f"[^{rest}]+", *([f"[{alone}]"] if alone else [])])).finditer
         self.memo: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.nodes: dict[str, dict] = {}
         self.known = 0
         self.halves: dict[str, list[str]] = {}
+        #: How often survivors met inside a stretch, and the widest window so far.
+        self.commits = self.widest = 0
 
     def _merged(self, text: str, until: int = 1) -> list[str]:
         """The characters of ``text`` merged, best-scored piece first and leftmost on ties, to no fewer than so many parts."""
@@ -149,10 +155,14 @@ class Pieces:
                 try:
                     whole = endings[piece]
                 except KeyError:
-                    raise ValueError(f"no piece can end at {end} of {text[max(0, end - 40):end]!r}") from None
+                    nodes.append(self._node(text[end - 1]))
+                    start.append(end - 1)
+                    break
+            self.widest = max(self.widest, end - base)
             if end % LOOK == 0 and end < len(text):
                 meet = self._common(base, start, end)
                 if meet > base:
+                    self.commits += 1
                     done += self._path(text, base, start, meet)
                     nodes, start, base = nodes[meet - base :], start[meet - base :], meet
         return done + self._path(text, base, start, len(text))
@@ -184,11 +194,12 @@ class Pieces:
                 found += [self.bytes.get(b, self.unknown) for b in piece.encode()] if self.bytes else [self.unknown]
         return found
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode(self, text: str | None) -> array:
+        found, memo = array("i"), self.memo
         if not text:
-            return []
-        found, memo = [], self.memo
-        for stretch in self.stretches(SPACE + text.replace(" ", SPACE)):
+            return found
+        for match in self.stretches(SPACE + text.replace(" ", SPACE)):
+            stretch = match[0]
             ids = memo.get(stretch)
             if ids is None:
                 ids = self.older.get(stretch) or tuple(self._stretch(stretch))
@@ -197,10 +208,10 @@ class Pieces:
                         self.older, memo = memo, {}
                         self.memo = memo
                     memo[stretch] = ids
-            found += ids
+            found.extend(ids)
         return found
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
 
 

@@ -229,7 +229,7 @@ def test_sentencepiece_gives_the_library_ids(spark):
     texts = ["", " ", "  two  spaces ", "tab\tline\n\nend", "ﬁ ½ 中文 😀 é́", " " * 40 + "x", "aaaa" * 300, "x = f(y); // {z}\r\n", "don't!!! ###"]
     texts += ["".join(random.choice("  aeiouthnsrldéñ中\n.,#01") for _ in range(random.randint(1, 80))) for _ in range(800)]
     for t in texts:
-        assert mine.encode(t) == library.encode(t), t
+        assert list(mine.encode(t)) == library.encode(t), t
         assert mine.decode(mine.encode(t)) == t
     whole = "".join(mine.text.get(i, "") for i in mine.encode("thandre" * 2000))
     assert whole == "▁" + "thandre" * 2000
@@ -238,6 +238,32 @@ def test_sentencepiece_gives_the_library_ids(spark):
     assert next(r for r in rows if r.doc_id == 0).ids == [] and "component_id" in rows[0].asDict()
 
 
+def test_sentencepiece_streams_a_text_in_a_bounded_window(spark):
+    """Searched in one go, without cuts or memo, documents give the same ids from a window of a few longest pieces, by commits."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, mine = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_viterbi.Pieces(path)
+    texts = [r.text for r in docs(spark).orderBy("doc_id").limit(60).collect() if r.text]
+    chars = 0
+    for t in texts:
+        before = mine.commits
+        assert mine._stretch(sentencepiece_viterbi.SPACE + t.replace(" ", sentencepiece_viterbi.SPACE)) == library.encode(t)
+        chars += len(t)
+        assert len(t) < 100 or mine.commits > before
+    assert mine.commits > chars / 40 and mine.widest <= 4 * mine.longest
+    cut = sentencepiece_viterbi.Pieces(path)
+    for t in texts:
+        cut.encode(t)
+    assert cut.widest <= mine.widest
+
+
+def test_sentencepiece_without_an_admissible_piece():
+    mine = sentencepiece_viterbi.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    mine._follows = lambda before, piece: False
+    assert mine.search("▁the") == ["▁", "t", "h", "e"] and mine.decode(mine._stretch("▁the")) == "the"
+
+
 # 5. importance resampling
 
 
