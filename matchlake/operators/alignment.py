@@ -19,7 +19,9 @@ def nearest(left: DataFrame, right: DataFrame, key: str, time: str, ordinal: str
     # A left row stands before the rows of its own time, as those count as after it.
     by = Window.partitionBy(key).orderBy(F.col("_t"), F.col("_row").isNull(), "_o")
     before = F.last("_m", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("_m", ignorenulls=True).over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # The other way round, so that the frame grows: one that shrinks would be read anew for each row.
+    back = Window.partitionBy(key).orderBy(F.desc("_t"), F.col("_row").isNull().desc(), F.desc("_o"))
+    after = F.last("_m", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     found = both.select("_row", "_t", before.alias("_b"), after.alias("_a")).where("_row is not null")
     first = F.col("_a.t").isNull() | (F.col("_t") - F.col("_b.t") <= F.col("_a.t") - F.col("_t"))
     chosen = found.select("_row.*", F.when(first & F.col("_b").isNotNull(), F.col("_b")).otherwise(F.col("_a")).alias("_c"), "_t")
@@ -101,7 +103,8 @@ def shift_labels(frames: DataFrame, events: DataFrame, k: tuple[int, int, int, i
     spine = frames.join(spots, ["video", "label", "frame"], "left")
     by, whole = Window.partitionBy("video", "label").orderBy("frame"), Window.partitionBy("video", "label")
     last = F.last("e", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("e", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy("video", "label").orderBy(F.desc("frame"))  # the frame grows this way
+    after = F.last("e", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     read = spine.select("video", "label", "frame", last.alias("last"), after.alias("after"), F.count("e").over(whole).alias("n"), (F.max("frame").over(whole) + 1).alias("frames"))
     a = F.col("frame") - F.coalesce("last", F.lit(-k4))
     b = F.col("frame") - F.coalesce(F.col("after"), F.col("frames") - k1)

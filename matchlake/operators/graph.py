@@ -6,8 +6,12 @@ side has at most so many players), so joins on (clip, frame) stay small whatever
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import islice
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,30 +71,51 @@ def line_edges(nodes: DataFrame, line: str, linked: list[tuple[int, int]], ball:
 def feature_knn(queries: DataFrame, points: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """(id, neighbour, distance, rank): the ``k`` nearest points (itself included; the lower id on ties) of each query row.
 
-    The queries are a stated set. They are dealt into blocks, each of which meets every batch of
-    points in a task of its own and keeps k a query and batch; the last ranking sees those alone.
+    The queries are a stated set. They go out in blocks, each broadcast as one matrix; a task reads
+    its points in small slices and keeps k a query of the block, and the last ranking sees those alone.
+    Candidates are told by |a|^2 + |b|^2 - 2ab with a margin for rounding; distances that count are summed up in full.
     """
-    wanted = queries.select(F.col("id").alias("q"), F.col("v").alias("qv"))
-    blocks = wanted.withColumn("block", F.floor(F.col("q") / block)).groupBy("block").agg(F.collect_list(F.struct("q", "qv")).alias("rows"))
-
-    def nearest(frames):
-        for frame in frames:
-            for rows, part in frame.groupby("block"):
-                asked = part["rows"].iloc[0]
-                a = np.stack([np.asarray(r["qv"], float) for r in asked])
-                b = np.stack(part["v"].map(lambda v: np.asarray(v, float)).to_list())
-                ids = part["id"].to_numpy()
-                d = ((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)
-                for row, q in zip(d, (r["q"] for r in asked), strict=True):
-                    best = np.lexsort((ids, row))[:k]
-                    yield pd.DataFrame({"id": q, "neighbour": ids[best], "distance": row[best]})
-
-    met = points.select("id", "v").join(F.broadcast(blocks)) if blocks.limit(65).count() <= 64 else points.select("id", "v").join(blocks)
-    found = met.mapInPandas(nearest, "id long, neighbour long, distance double")
+    spark, found = points.sparkSession, None
+    asked = queries.select("id", "v").toLocalIterator(prefetchPartitions=False)
+    while some := list(islice(asked, block)):
+        shared = spark.sparkContext.broadcast((np.array([r.id for r in some]), np.array([r.v for r in some], float)))
+        part = points.select("id", "v").mapInArrow(_nearest_points(shared, k), "id long, neighbour long, distance double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return points.select("id", F.col("id").alias("neighbour"), F.lit(0.0).alias("distance"), F.lit(1).alias("rank")).limit(0)
     by = Window.partitionBy("id").orderBy("distance", "neighbour")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
+def _nearest_points(shared: Broadcast, k: int, slice_rows: int = 1024) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's ``k`` nearest points of each query of the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, a = shared.value
+        squares = (a * a).sum(axis=1)
+        query, point, distance = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        bound = np.full(len(a), np.inf)
+        for batch in batches:
+            for start in range(0, batch.num_rows, slice_rows):
+                part = batch.slice(start, slice_rows)
+                ids, b = part.column(0).to_numpy(), part.column(1).flatten().to_numpy().astype(float).reshape(part.num_rows, -1)
+                near = squares[:, None] + (b * b).sum(axis=1)[None] - 2 * a @ b.T
+                limit = np.minimum(bound, np.partition(near, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1])
+                rows, columns = np.nonzero(near <= (limit + 1e-9 * (1 + squares + np.where(np.isfinite(limit), np.abs(limit), 0.0)))[:, None])
+                query, point = np.concatenate([query, rows]), np.concatenate([point, ids[columns]])
+                distance = np.concatenate([distance, ((a[rows] - b[columns]) ** 2).sum(axis=1)])
+                order = np.lexsort((point, distance, query))
+                query, point, distance = query[order], point[order], distance[order]
+                first = np.searchsorted(query, query)
+                kept = np.arange(len(query)) - first < k
+                query, point, distance = query[kept], point[kept], distance[kept]
+                last = np.flatnonzero(np.bincount(query, minlength=len(a)) >= k)
+                bound[last] = distance[np.searchsorted(query, last, "right") - 1]
+        yield pa.RecordBatch.from_arrays([pa.array(names[query], pa.int64()), pa.array(point, pa.int64()), pa.array(distance)], names=["id", "neighbour", "distance"])
+
+    return run
+
+
 def pooled(vectors: DataFrame, keys: list[str], vector: str, how: str) -> DataFrame:
     """(keys, dim, value): elementwise mean or max over the rows of a key."""
     each = vectors.select(*keys, F.posexplode(vector).alias("dim", "value"))

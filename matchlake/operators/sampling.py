@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,24 +20,35 @@ def draws(n: int, seed: int, session) -> DataFrame:
     return session.range(n).select(F.col("id").alias("draw"), uniform(seed, "id").alias("u"))
 
 
-def weighted_draws(items: DataFrame, key: str, weight: str, n: int, seed: int, buckets: int = 1024) -> DataFrame:
-    """(draw, key): ``n`` draws with replacement in proportion to the weights.
+def weighted_draws(items: DataFrame, key: str, weight: str, n: int, seed: int, *keep: str, buckets: int = 1024) -> DataFrame:
+    """(draw, key, keep): ``n`` draws with replacement among the rows, in proportion to the weights.
 
-    Two steps of cumulative weights, over buckets of keys and then within one, so no task holds
-    all items: a draw first picks its bucket, then meets that bucket's items alone.
+    Two steps of cumulative weights, over buckets of rows and then within one, so no task holds
+    all items: a draw first picks its bucket; there draws and items are sorted together by
+    cumulative weight, and a draw takes the item that ends next. Nothing is paired.
     """
-    each = items.where(F.col(weight) > 0).select(key, F.col(weight).cast("double").alias("w"), F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"))
-    total = each.agg(F.sum("w")).first()[0]
-    if not total:
-        return items.select(F.lit(0).cast("long").alias("draw"), key).limit(0)
-    sums = each.groupBy("bucket").agg(F.sum("w").alias("size"))  # as many as there are buckets
-    ends = sums.select("bucket", "size", F.sum("size").over(Window.orderBy("bucket")).alias("end"))
-    u = draws(n, seed, items.sparkSession).withColumn("at", F.col("u") * total)
-    placed = u.join(F.broadcast(ends), (F.col("at") < F.col("end")) & (F.col("at") >= F.col("end") - F.col("size"))).select("draw", "bucket", (F.col("at") - F.col("end") + F.col("size")).alias("at"))
-    by = Window.partitionBy("bucket").orderBy("end", key)
-    within = each.select("bucket", key, F.sum("w").over(Window.partitionBy("bucket").orderBy(key)).alias("end"))
-    spans = within.select("bucket", key, "end", F.coalesce(F.lag("end").over(by), F.lit(0.0)).alias("start"))
-    return placed.join(spans, "bucket").where((F.col("at") >= F.col("start")) & (F.col("at") < F.col("end"))).select("draw", key)
+    each = items.where(F.col(weight) > 0).select(key, *keep, F.col(weight).cast("double").alias("w"), F.pmod(F.xxhash64(key, *keep), F.lit(buckets)).alias("bucket"))
+    sums = sorted((r.bucket, r.size) for r in each.groupBy("bucket").agg(F.sum("w").alias("size")).collect())  # as many as there are buckets
+    if not sums:
+        return items.select(F.lit(0).cast("long").alias("draw"), key, *keep).limit(0)
+    numbers, sizes = np.array([b for b, _ in sums]), np.array([s for _, s in sums])
+    ends = np.cumsum(sizes)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(1).to_numpy() * ends[-1]
+            k = np.minimum(np.searchsorted(ends, at, "right"), len(ends) - 1)
+            inside = np.clip(at - (ends[k] - sizes[k]), 0.0, sizes[k] * (1 - 1e-9))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers[k]), pa.array(inside)], names=["draw", "bucket", "at"])
+
+    placed = draws(n, seed, items.sparkSession).mapInArrow(place, "draw long, bucket long, at double")
+    by = Window.partitionBy("bucket").orderBy(key, *keep).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = each.select("bucket", F.sum("w").over(by).alias("at"), F.struct(key, *keep).alias("item"), F.lit(None).cast("long").alias("draw"))
+    both = within.unionByName(placed.select("bucket", "at", F.lit(None).cast(within.schema["item"].dataType).alias("item"), "draw"))
+    # From the far end on; a draw comes before an item that ends where it falls, as that one is over by then.
+    back = Window.partitionBy("bucket").orderBy(F.desc("at"), F.col("draw").isNull(), F.desc("item"))
+    taken = both.select("draw", F.last("item", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("item"))
+    return taken.where(F.col("draw").isNotNull()).select("draw", *[F.col("item")[c].alias(c) for c in (key, *keep)])
 
 
 def ranked_weighted_draws(items: DataFrame, key: str, weight: str, n: int, ranks: int, seed: int, epoch: int) -> DataFrame:
@@ -47,21 +62,21 @@ def ranked_weighted_draws(items: DataFrame, key: str, weight: str, n: int, ranks
 
 def clip_starts(videos: DataFrame, key: str, frames: str, length: int, pad: int, n: int, seed: int) -> DataFrame:
     """(draw, key, start): videos drawn by their length, the start uniform over the padded video."""
-    drawn = weighted_draws(videos, key, frames, n, seed).join(videos.select(key, frames), key)
+    drawn = weighted_draws(videos.withColumn("_w", F.col(frames)), key, "_w", n, seed, frames)
     room = F.greatest(F.col(frames) + 2 * pad - length, F.lit(0)) + 1
     return drawn.select("draw", key, (F.floor(uniform(seed + 1, "draw") * room) - pad).alias("start"))
 
 
 def foreground_starts(events: DataFrame, key: str, frame: str, length: int, n: int, seed: int) -> DataFrame:
-    """(draw, key, start): an event drawn evenly, the start so that the event is inside the clip."""
-    drawn = weighted_draws(events.withColumn("_one", F.lit(1.0)), key, "_one", n, seed).join(events.select(key, frame), key)
+    """(draw, key, start): an event drawn evenly, the start so that the event is inside the clip; a key may have many events."""
+    drawn = weighted_draws(events.withColumn("_one", F.lit(1.0)), key, "_one", n, seed, frame)
     return drawn.select("draw", key, (F.col(frame) - F.floor(uniform(seed + 1, "draw") * length)).alias("start"))
 
 
 def balanced_anchors(anchors: DataFrame, label: str, key: str, n: int, seed: int) -> DataFrame:
-    """(draw, label, key): a label drawn evenly, then one of its anchors evenly."""
+    """(draw, label, key): a label drawn evenly, then one of its anchors evenly; a key may have many anchors."""
     sizes = anchors.groupBy(label).agg((1.0 / F.count("*")).alias("_w"))
-    return weighted_draws(anchors.join(F.broadcast(sizes), label), key, "_w", n, seed).join(anchors.select(key, label), key).select("draw", label, key)
+    return weighted_draws(anchors.join(sizes, label), key, "_w", n, seed, label).select("draw", label, key)
 
 
 def per_video_starts(videos: DataFrame, key: str, frames: str, clip: int, per_video: int, seed: int) -> DataFrame:

@@ -250,7 +250,8 @@ def average_precision(matched: DataFrame, truth: DataFrame, order: list[Column])
     points = places.join(starts, ["_part", "label"]).select("_part", "label", "_at", ((F.col("found") + F.col("h")) / (F.col("rank") + F.col("n"))).alias("precision"))
     tops = points.groupBy("_part", "label").agg(F.max("precision").alias("top"))
     after = tops.select("_part", "label", F.max("top").over(ranges.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
-    later = F.max("precision").over(place.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    backwards = Window.partitionBy("_part", "label").orderBy(F.desc("_at"))  # a frame that grows is added to, one that shrinks is read anew for each row
+    later = F.max("precision").over(backwards.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     raised = points.withColumn("later", later).join(after, ["_part", "label"]).select("label", F.greatest("later", "after").alias("p"))
     area = raised.groupBy("label").agg(F.sum("p").alias("area"))
     totals = truth.groupBy("label").agg(F.count("*").alias("n"))

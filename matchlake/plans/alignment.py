@@ -16,12 +16,12 @@ def asof_nearest_tol(spark, sf_dir):
     return A.nearest(left, right, "user_id", "t", "event_id", "value", 7_200_000_000).select("event_id", "nearest_time")
 
 
-@query(PREDICTIONS + """, w AS (SELECT ord, video, slot, frame + (slot - 2) * 60 AS frame FROM pred, range(5) r(slot) WHERE ord % 10 = 0)
+@query(PREDICTIONS + """, w AS (SELECT ord, video, slot, frame + (slot - 2) * 60 AS frame FROM pred, range(5) r(slot))
 SELECT w.ord, w.slot, w.frame, coalesce(f.label, 'none') AS label FROM w LEFT JOIN (SELECT video, frame // 60 AS h, arg_min(label, ord) AS label FROM pred GROUP BY ALL) f ON f.video = w.video AND f.h = w.frame // 60""")
 def frame_lookup_default(spark, sf_dir):
     rows = predictions(spark, sf_dir)
     hours = rows.select("video", F.floor(F.col("frame") / 60).alias("h"), "label", F.col("ord").alias("o"))
-    wanted = A.around(rows.where("ord % 10 = 0").select("ord", "video", F.col("frame").alias("at")), F.col("at"), 5, 60).withColumn("h", F.floor(F.col("frame") / 60))
+    wanted = A.around(rows.select("ord", "video", F.col("frame").alias("at")), F.col("at"), 5, 60).withColumn("h", F.floor(F.col("frame") / 60))
     return A.frame_lookup(wanted, hours, ["video", "h"], "label", "o", "none").select("ord", F.col("slot").cast("long").alias("slot"), "frame", "label")
 
 
@@ -77,12 +77,12 @@ def tumbling_labels(spark, sf_dir):
     return A.tumbling_labels(predictions(spark, sf_dir), 1440)
 
 
-#: Frames of a day in 10-minute steps; events of the 'click' kind are the spots.
-SHIFTS = """WITH e AS (SELECT DISTINCT user_id AS video, event_type AS label, (epoch_us(ts) // 21600000000 % 120)::BIGINT AS frame FROM events WHERE event_type IN ('click', 'view')),
-g AS (SELECT video, label, frame FROM (SELECT DISTINCT user_id AS video FROM events), (VALUES ('click'), ('view')) t(label), range(120) r(frame)),
-w AS (SELECT g.video, g.label, g.frame, g.frame - (SELECT max(e.frame) FROM e WHERE e.video = g.video AND e.label = g.label AND e.frame <= g.frame) AS a,
- g.frame - (SELECT min(e.frame) FROM e WHERE e.video = g.video AND e.label = g.label AND e.frame > g.frame) AS b, (SELECT count(*) FROM e WHERE e.video = g.video AND e.label = g.label) AS n FROM g),
-o AS (SELECT video, label, frame, n, a, b, coalesce(a, frame + 10) AS s1, coalesce(b, frame - 132) AS s2 FROM w),
+#: Frames of six hours, from each user's first event to the last; every event type is a label.
+SHIFTS = """WITH marks AS (SELECT user_id AS video, event_type AS label, (epoch_us(ts) // 21600000000)::BIGINT AS t FROM events),
+u AS (SELECT video, min(t) AS t0, max(t) - min(t) + 1 AS frames FROM marks GROUP BY 1), e AS (SELECT DISTINCT video, label, t - t0 AS frame FROM marks JOIN u USING (video)),
+g AS (SELECT video, label, frames, unnest(range(frames)) AS frame FROM u, (SELECT DISTINCT event_type AS label FROM events)), w AS (SELECT g.*, e.frame AS e FROM g LEFT JOIN e USING (video, label, frame)),
+x AS (SELECT *, max(e) OVER (PARTITION BY video, label ORDER BY frame ROWS UNBOUNDED PRECEDING) AS l, min(e) OVER (PARTITION BY video, label ORDER BY frame ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r, count(e) OVER (PARTITION BY video, label) AS n FROM w),
+o AS (SELECT *, frame - l AS a, frame - r AS b, coalesce(frame - l, frame + 10) AS s1, coalesce(frame - r, frame - frames - 12) AS s2 FROM x),
 s AS (SELECT video, label, frame, (CASE WHEN n = 0 THEN -12 WHEN n = 1 THEN coalesce(a, b) WHEN s1 < 4 THEN s1 WHEN s1 < 10 AND s2 <= -12 THEN s1
  WHEN s1 < 10 AND (s1 - 4) / 6.0::DOUBLE < (-2 - s2) / 10.0::DOUBLE THEN s1 ELSE s2 END)::BIGINT AS shift FROM o)
 """
@@ -90,10 +90,12 @@ BOUNDS = (-12, -2, 4, 10)
 
 
 def _shifts(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    quarter = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 21_600_000_000) % 120
-    spots = events.where(F.col("event_type").isin("click", "view")).select(F.col("user_id").alias("video"), F.col("event_type").alias("label"), quarter.alias("frame"))
-    spine = events.select(F.col("user_id").alias("video")).distinct().select("video", F.explode(F.array(F.lit("click"), F.lit("view"))).alias("label")).select("video", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(119).cast("long"))).alias("frame"))
+    quarter = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 21_600_000_000)
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("video"), F.col("event_type").alias("label"), quarter.alias("t"))
+    videos = events.groupBy("video").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    spots = events.join(videos, "video").select("video", "label", (F.col("t") - F.col("t0")).alias("frame"))
+    labels = F.broadcast(events.select("label").distinct())  # the event types
+    spine = videos.crossJoin(labels).select("video", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t1") - F.col("t0"))).alias("frame"))
     return A.shift_labels(spine, spots, BOUNDS)
 
 
@@ -102,20 +104,20 @@ def shift_labels(spark, sf_dir):
     return _shifts(spark, sf_dir)
 
 
-ISLANDS = SHIFTS + """, q AS (SELECT video, frame FROM s GROUP BY ALL HAVING bool_and(shift <= -12 OR shift >= 10)), r AS (SELECT *, frame - row_number() OVER (PARTITION BY video ORDER BY frame) AS run FROM q),
+ISLANDS = SHIFTS + """, q AS (SELECT video, frame FROM s GROUP BY ALL HAVING bool_and(shift <= -2 OR shift >= 2)), r AS (SELECT *, frame - row_number() OVER (PARTITION BY video ORDER BY frame) AS run FROM q),
 i AS (SELECT video, min(frame) AS start, max(frame) + 1 AS stop FROM r GROUP BY video, run HAVING count(*) >= 2)
 """
 
 
 @query(ISLANDS + "SELECT * FROM i")
 def negative_islands(spark, sf_dir):
-    return A.quiet_islands(_shifts(spark, sf_dir), -12, 10, 2)
+    return A.quiet_islands(_shifts(spark, sf_dir), -2, 2, 2)
 
 
 @query(ISLANDS + "SELECT video, label, frame AS start, frame + 1 AS stop FROM s WHERE shift = 0 UNION ALL SELECT video, 'background', start, stop FROM i")
 def chunk_anchors(spark, sf_dir):
     shifts = _shifts(spark, sf_dir)
-    return A.anchors(shifts, A.quiet_islands(shifts, -12, 10, 2), "background")
+    return A.anchors(shifts, A.quiet_islands(shifts, -2, 2, 2), "background")
 
 
 @query(SHIFTS + "SELECT video, slot, label, round(frame / 120.0::DOUBLE, 6) AS at FROM (SELECT *, row_number() OVER (PARTITION BY video ORDER BY frame, label) - 1 AS slot FROM s WHERE shift = 0) WHERE slot < 5")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.ranks import shared_folder
 from ..sources import sinks
 from ..streaming import windows
 from .base import PREDICTIONS, predictions, query, table
@@ -14,8 +14,7 @@ from .base import PREDICTIONS, predictions, query, table
 
 def _folder(spark) -> str:
     """A new place in the folder that driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="matchlake-")
-    return f"{shared}/flow-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/flow-{uuid.uuid4().hex}"
 
 
 @query("""SELECT (epoch_us(ts) // 21600000000 * 21600)::BIGINT AS start_s, event_type AS label, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL""")

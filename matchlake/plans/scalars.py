@@ -8,10 +8,10 @@ from ..functions import timing as T
 from .base import query, table
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_tax * 100 - 2 <= 0 THEN 1 ELSE trunc(l_quantity / (l_tax * 100 - 2))::INT END AS stride FROM lineitem WHERE l_tax IN (0.01, 0.05)")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN round(l_tax * 100) - 2 <= 0 THEN 1 ELSE trunc(l_quantity / (round(l_tax * 100) - 2))::INT END AS stride FROM lineitem")
 def stride_int(spark, sf_dir):
-    rate = F.col("l_tax") * 100 - 2
-    return table(spark, sf_dir, "lineitem").where("l_tax in (0.01D, 0.05D)").select("l_orderkey", "l_linenumber", "l_partkey", T.stride(F.col("l_quantity"), rate).alias("stride"))
+    rate = F.round(F.col("l_tax") * 100) - 2
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", T.stride(F.col("l_quantity"), rate).alias("stride"))
 
 
 @query("SELECT p_partkey, greatest(1, round_even(p_size / 4.0, 0)::INT) AS stride FROM part")

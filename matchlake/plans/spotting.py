@@ -34,13 +34,24 @@ def greedy_nms(spark, sf_dir):
     return S.suppress_greedy(predictions(spark, sf_dir), 1440, 5.0, "video").select("video", "ord")
 
 
-@query()
+#: Matching in order, as a fold over each (video, label): the first element holds what is free, the others one taker each.
+FOLDED = """, sides AS (SELECT video, label, tol, list(struct_pack(f := frame, o := ord, c := confidence) ORDER BY {order}) FILTER ({taker}) AS takers,
+ list(struct_pack(f := frame, o := ord, c := confidence) ORDER BY frame, ord) FILTER ({good}) AS goods FROM pred, (VALUES {tolerances}) t(tol) GROUP BY ALL),
+folds AS (SELECT video, label, tol, list_concat([struct_pack(free := goods, took := []::BIGINT[], gave := []::BIGINT[], p := takers[1])], list_transform(takers, lambda t: struct_pack(free := goods[1:0], took := []::BIGINT[], gave := []::BIGINT[], p := t))) AS x FROM sides WHERE takers IS NOT NULL AND goods IS NOT NULL),
+ends AS (SELECT video, label, tol, list_reduce(x, lambda a, e: list_transform([list_min(list_transform(list_filter(a.free, lambda t: abs(t.f - e.p.f) <= tol), lambda t: struct_pack(d := {rank}, f := {tie}, o := t.o)))],
+ lambda b: CASE WHEN b IS NULL THEN a ELSE struct_pack(free := list_filter(a.free, lambda t: t.o <> b.o), took := list_append(a.took, e.p.o), gave := list_append(a.gave, b.o), p := a.p) END)[1]) AS z FROM folds)
+"""
+NEAREST = PREDICTIONS + FOLDED.format(order="confidence DESC, ord", taker="ord % 5 <> 0", good="ord % 5 = 0", tolerances="(60), (240), (720)", rank="abs(t.f - e.p.f)", tie="0")
+STRONGEST = PREDICTIONS + FOLDED.format(order="frame, ord", taker="ord % 5 = 0", good="ord % 5 <> 0", tolerances="(240)", rank="-t.c", tie="t.f")
+
+
+@query(NEAREST + "SELECT ord, EXISTS (SELECT 1 FROM (SELECT unnest(z.took) AS o FROM ends WHERE tol = 240) h WHERE h.o = ord) AS hit FROM pred WHERE ord % 5 <> 0")
 def match_nearest(spark, sf_dir):
     pred, truth = _both(spark, sf_dir)
     return S.match_nearest(pred, truth, 240).select("ord", "hit")
 
 
-@query()
+@query(STRONGEST + "SELECT ord, EXISTS (SELECT 1 FROM (SELECT unnest(z.gave) AS o FROM ends) h WHERE h.o = ord) AS hit FROM pred WHERE ord % 5 <> 0")
 def match_strongest(spark, sf_dir):
     pred, truth = _both(spark, sf_dir)
     return S.match_strongest(pred, truth, 480.0).select("ord", "hit")
@@ -57,7 +68,13 @@ def ap_interpolated(spark, sf_dir):
     return S.average_precision(matched, truth, [F.desc("confidence"), F.col("ord")]).select("label", F.round("ap", 6).alias("ap"))
 
 
-@query()
+@query(NEAREST + """, hits AS (SELECT tol, unnest(z.took) AS ord FROM ends),
+r AS (SELECT t.tol, label, h.ord IS NOT NULL AS hit, row_number() OVER (PARTITION BY t.tol, label ORDER BY confidence DESC, p.ord) AS rank FROM pred p CROSS JOIN (VALUES (60), (240), (720)) t(tol) LEFT JOIN hits h ON h.tol = t.tol AND h.ord = p.ord WHERE p.ord % 5 <> 0),
+h AS (SELECT tol, label, rank, row_number() OVER (PARTITION BY tol, label ORDER BY rank) / rank::DOUBLE AS p FROM r WHERE hit),
+m AS (SELECT tol, label, max(p) OVER (PARTITION BY tol, label ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS p FROM h),
+n AS (SELECT label, count(*) AS n FROM pred WHERE ord % 5 = 0 GROUP BY label),
+s AS (SELECT t.tol, n.label, coalesce((SELECT sum(p) FROM m WHERE m.label = n.label AND m.tol = t.tol), 0) / n AS ap FROM n, (VALUES (60), (240), (720)) t(tol))
+SELECT tol AS tolerance, round(avg(ap), 6) AS mean_ap FROM s GROUP BY tol""")
 def ap_e2e(spark, sf_dir):
     pred, truth = _both(spark, sf_dir)
     return S.mean_average_precision(pred, truth, [60, 240, 720]).select("tolerance", F.round("mean_ap", 6).alias("mean_ap"))

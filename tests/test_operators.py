@@ -11,7 +11,7 @@ import pytest
 
 from matchlake.functions import sizes
 from matchlake.functions.ranks import ranked
-from matchlake.operators import alignment, packing, sampling, spotting
+from matchlake.operators import alignment, graph, packing, sampling, spotting
 from matchlake.sources import documents, sinks
 from matchlake.streaming import windows
 from pyspark.sql import functions as F
@@ -227,3 +227,28 @@ def test_stream_suppression(spark, tmp_path):
     stream = spark.readStream.schema(PRED).parquet(str(tmp_path / "in"))
     windows.suppress_batches(stream, 5, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert {r.ord for r in spark.read.parquet(str(tmp_path / "out")).collect()} >= {1, 2}
+
+
+def test_draws_carry_their_own_row(spark):
+    """Keys with many rows: each draw comes out once, with the row it drew, in proportion to the weights."""
+    rows = [(k % 7, k, "ab"[k % 3 == 0]) for k in range(210)]
+    events = spark.createDataFrame(rows, "video long, frame long, label string")
+    drawn = sampling.foreground_starts(events, "video", "frame", 10, 4000, 5).collect()
+    assert sorted(r.draw for r in drawn) == list(range(4000)) and all(any(0 <= f - r.start < 10 for v, f, _ in rows if v == r.video) for r in drawn)
+    assert max(abs(sum(r.video == v for r in drawn) / 4000 - 1 / 7) for v in range(7)) < 0.03
+    anchors = sampling.balanced_anchors(events, "label", "video", 4000, 5).collect()
+    assert sorted(r.draw for r in anchors) == list(range(4000)) and abs(sum(r.label == "a" for r in anchors) / 4000 - 0.5) < 0.04
+    skewed = spark.range(5000).selectExpr("id", "if(id = 3, 5000.0, 1.0) as w")
+    got = sampling.weighted_draws(skewed, "id", "w", 8000, 1, buckets=4).collect()
+    assert len(got) == 8000 and abs(sum(r.id == 3 for r in got) / 8000 - 0.5) < 0.03
+
+
+def test_feature_knn_against_all_distances(spark):
+    rng = np.random.default_rng(5)
+    v = np.vstack([rng.normal(size=(300, 6)), np.repeat(rng.normal(size=(1, 6)), 60, axis=0)])  # with more copies than neighbours
+    points = spark.createDataFrame([(int(k), x.tolist()) for k, x in enumerate(v)], "id long, v array<double>")
+    got = {(r.id, r["rank"]): r.neighbour for r in graph.feature_knn(points.where("id % 7 = 0"), points, 5, block=20).collect()}
+    for q in range(0, 360, 7):
+        d = ((v - v[q]) ** 2).sum(axis=1)
+        assert [got[q, k] for k in range(1, 6)] == sorted(range(360), key=lambda p: (d[p], p))[:5]
+    assert graph.feature_knn(points.where("false"), points, 5).count() == 0
