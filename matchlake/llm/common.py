@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.ranks import cut_lineage
+from ..functions.ranks import cut_lineage, shared_folder
 
 __all__ = ["cut_lineage", "fresh", "per_slice", "table", "utf8", "written"]
 
@@ -31,8 +30,7 @@ def fresh(df: DataFrame, name: str) -> str:
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a compressed table in the checkpoint folder: smaller than a checkpoint, for larger tables."""
     spark = df.sparkSession
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="matchlake-")
-    path = f"{folder}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
