@@ -28,19 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_slice
+from .common import cut_lineage, per_slice
 
 #: Hosts up to which the table of winning paths is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_HOSTS = 100_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-LEFT_OUT = frozenset("aside audio button canvas datalist dialog embed fieldset form head iframe input math menu nav noscript object option optgroup script select style svg template textarea title video".split())
+LEFT_OUT = frozenset("aside audio button datalist dialog embed form head iframe input menu nav noscript option optgroup script select style svg template textarea title video".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 OUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion promoted banner cookie cookies consent gdpr notice notices notification newsletter subscribe subscription signup "
     "popup modal overlay sidebar sidebars sidenav nav navbar navigation menu menus breadcrumb breadcrumbs masthead footer footers comment comments commentlist disqus respond replies share sharing shares social related recommended recommendations pagination pager toolbar widget widgets login search".split()
 )
+#: What may stand beside a word of those in the name of a part of an article that is left out.
+BESIDE_WORDS = frozenset("site page main post posts article articles entry blog top bottom left right inner outer header head title list item items link links button buttons bar box block area section container wrapper wrap content row slot unit text icon icons form panel card feed group set".split())
 MAIN_WORDS = frozenset("article articles content post posts entry story main text body".split())
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 
@@ -56,16 +58,17 @@ class Page:
         self.parents, self.names, self.out = [-1], [""], [False]
         self.tags, self.main = [""], [False]
         self.blocks: list[tuple[int, str, int]] = []
-        self._open, self._text, self._links, self._in_link = [0], [], 0, 0
+        #: Open elements, for each the innermost around it (itself included) that is no inline one, and for each tag where it stands open.
+        self._open, self._solid, self._at = [0], [0], {}
+        self._text, self._links, self._in_link = [], 0, 0
         self._read(source)
 
     def _end_block(self) -> None:
         if self._text:
             text = " ".join(entities.unescape("".join(self._text)).split())
             if text:
-                at = next(k for k in reversed(self._open) if self.tags[k] not in INLINE)
                 if not self.out[self._open[-1]]:
-                    self.blocks.append((at, text, min(self._links, len(text))))
+                    self.blocks.append((self._solid[-1], text, min(self._links, len(text))))
             self._text, self._links = [], 0
 
     def _start(self, tag: str, attributes: str) -> None:
@@ -82,42 +85,46 @@ class Page:
             return
         found = {k.lower(): entities.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes.strip(" /") else {}
         classes = [x for x in (re.sub(r"[\d_-]*\d[\d_-]*", "", c).lower() for c in found.get("class", "").split()) if x]
-        words = {x.lower() for x in _PARTS.findall(f"{found.get('class', '')} {found.get('id', '')}")}
+        named = [{x.lower() for x in _PARTS.findall(name)} for name in f"{found.get('class', '')} {found.get('id', '')}".split()]
+        words = set().union(*named)
         above = self._open[-1]
-        in_article = any(self.tags[k] in ("article", "main") for k in self._open)
+        in_article = bool(self._at.get("article") or self._at.get("main"))
         out = self.out[above] or tag in LEFT_OUT or found.get("role", "").lower() in OUT_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
         if tag not in ("html", "body", "main"):
-            out = out or tag == "footer" or (tag == "header" and not in_article) or bool(words & OUT_WORDS)
+            out = out or tag == "footer" or (tag == "header" and not in_article)
+            # In an article "share-price" or "related-work" may be content: there every word of a name has to speak for it.
+            out = out or (any(n & OUT_WORDS and n <= OUT_WORDS | BESIDE_WORDS for n in named) if in_article else bool(words & OUT_WORDS))
             out = out or ("header" in words and not (in_article or words & MAIN_WORDS))
         self.parents.append(above)
         self.names.append(".".join([tag, *sorted(set(classes))]))
         self.tags.append(tag)
         self.out.append(out)
         self.main.append(tag in ("article", "main") or bool(words & MAIN_WORDS))
+        self._at.setdefault(tag, []).append(len(self._open))
         self._open.append(len(self.names) - 1)
+        self._solid.append(self._solid[-1] if inline else len(self.names) - 1)
         self._in_link += tag == "a"
 
     def _pop(self, k: int) -> None:
         for at in self._open[k:]:
+            self._at[self.tags[at]].pop()
             self._in_link -= self.tags[at] == "a"
-        del self._open[k:]
+        del self._open[k:], self._solid[k:]
+
+    def _innermost(self, tags: tuple[str, ...] | list[str]) -> int:
+        return max((self._at[t][-1] for t in tags if self._at.get(t)), default=0)
 
     def _close(self, tags: tuple[str, ...] | list[str], within: tuple[str, ...]) -> None:
         """Closes the innermost open element of ``tags`` that no element of ``within`` lies around closer."""
-        for k in range(len(self._open) - 1, 0, -1):
-            if self.tags[self._open[k]] in tags:
-                self._pop(k)
-                return
-            if self.tags[self._open[k]] in within:
-                return
+        k = self._innermost(tags)
+        if k and k > self._innermost([t for t in within if t not in tags]):
+            self._pop(k)
 
     def _end(self, tag: str) -> None:
         if tag not in INLINE:
             self._end_block()
-        for k in range(len(self._open) - 1, 0, -1):
-            if self.tags[self._open[k]] == tag:
-                self._pop(k)
-                return
+        if k := self._innermost((tag,)):
+            self._pop(k)
 
     def _add(self, text: str) -> None:
         if text:
@@ -142,11 +149,20 @@ class Page:
         self._end_block()
 
     def path(self, at: int) -> str:
+        """The generalised names from the page down; no name holds a blank."""
         names = []
         while at > 0:
             names.append(self.names[at])
             at = self.parents[at]
-        return "/".join(reversed(names))
+        return " ".join(reversed(names))
+
+    def _on(self, path: str) -> set[int]:
+        """The elements at a path; one pass, as parents come before their children."""
+        names, depth = path.split(" "), [0] * len(self.names)  # how much of the path leads to an element, -1 if none does
+        for k in range(1, len(self.names)):
+            above = depth[self.parents[k]]
+            depth[k] = above + 1 if 0 <= above < len(names) and names[above] == self.names[k] else -1
+        return {k for k, d in enumerate(depth) if d == len(names)}
 
     def best(self) -> tuple[int, float]:
         """The container with the highest score (the first of equals), and the score; 0 is the page itself."""
@@ -163,8 +179,7 @@ class Page:
 
     def text(self, path: str | None) -> str:
         """The blocks in the containers at ``path``, or in the page's best one where there are none."""
-        inside = {k for k in range(1, len(self.names)) if self.path(k) == path} if path else set()
-        inside = inside or {self.best()[0]}
+        inside = (self._on(path) if path else set()) or {self.best()[0]}
         within = [False] * len(self.names)
         for k in range(len(self.names)):
             within[k] = k in inside or (k > 0 and within[self.parents[k]])
@@ -199,7 +214,7 @@ def winning_paths(pages: DataFrame) -> DataFrame:
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) for each row of ``pages`` (page_id, url, html)."""
-    winners = winning_paths(pages)
+    winners = cut_lineage(winning_paths(pages))  # it is counted and then joined, and each time would parse all pages
     few = winners.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     rows = pages.select("page_id", "url", F.col("html").cast("string"), host_of(F.col("url")).alias("host"))
     joined = rows.join(F.broadcast(winners) if few else winners, "host", "left").select("page_id", "url", "html", "path")

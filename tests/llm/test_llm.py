@@ -334,6 +334,30 @@ def test_html(spark):
         assert r.text == "\n\n".join(filter(None, blocks))
 
 
+def test_html_keeps_what_an_article_says(spark):
+    """Names that only hold a telling word, and fallback content, stay in an article; what is named as a whole goes."""
+    page = """<body><article><p class="share-price">Price, 5</p><div class="related-work"><p>Earlier, work</p></div><math><mi>x</mi></math><fieldset>Set, out</fieldset><canvas>drawn</canvas><object>thing</object>
+<div class="share">S</div><div class="related-posts">R</div><div id="cookie-notice">C</div><div class="social-share-buttons">B</div><form>F</form></article>"""
+    frame = spark.createDataFrame([(1, "http://k.x/1", page, "a", 7)], "page_id long, url string, html string, text string, path long")
+    assert html_extract.main_texts(frame).first().text == "Price, 5\n\nEarlier, work\n\nx\n\nSet, out\n\ndrawn\n\nthing"
+    empty = html_extract.main_texts(frame.where("false"))
+    assert empty.count() == 0 and empty.columns == ["page_id", "url", "text", "n_chars"]
+
+
+def test_html_of_deep_and_stray_markup():
+    import time
+
+    deep = "<div class='w-1/2'>" * 20_000 + "<p>deep</p>"
+    stray = "<body>" + "<b>" * 4000 + "</i></td>" * 20_000 + "<p>stray</p>"
+    items = "<ul>" + "<span>" * 4000 + "<li>x</li>" * 5000
+    began = time.time()
+    for source, text in ((deep, "deep"), (stray, "stray"), (items, "\n\n".join(["x"] * 5000))):
+        page = html_extract.Page(source)
+        at = page.best()[0]
+        assert page.text(None) == page.text(page.path(at)) == text
+    assert time.time() - began < 8
+
+
 # 8. languages
 
 
