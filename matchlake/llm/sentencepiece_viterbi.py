@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Stretches (of either age) and pairs that a worker remembers, and the longest stretch it does; characters between looks for a common boundary.
-MEMO, MEMO_CHARS, LOOK = 250_000, 48, 8
+MEMO, MEMO_CHARS, LOOK = 150_000, 48, 8
 SPACE = "▁"
 
 
@@ -244,5 +244,6 @@ def encoded(docs: DataFrame, model_file: str, rows: int = 500) -> DataFrame:
                     ends.append(ends[-1] + len(ids))
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(np.diff(ends), pa.int64()), pa.array(same)], names=schema.names)
+        model.older = {}  # an idle worker keeps less
 
     return kept.mapInArrow(run, schema)
