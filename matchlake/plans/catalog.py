@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from .base import ORACLES, QUERIES
-from . import alignment, annotations, classification, flows, graph, packing, sampling, scalars, spotting  # noqa: F401
+from . import alignment, annotations, classification, flows, graph, packing, records, sampling, scalars, spotting  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

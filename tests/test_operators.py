@@ -11,7 +11,7 @@ import pytest
 
 from matchlake.functions import sizes
 from matchlake.functions.ranks import ranked
-from matchlake.operators import alignment, graph, packing, sampling, spotting
+from matchlake.operators import alignment, graph, packing, records, sampling, spotting
 from matchlake.sources import documents, sinks
 from matchlake.streaming import windows
 from pyspark.sql import functions as F
@@ -252,3 +252,15 @@ def test_feature_knn_against_all_distances(spark):
         d = ((v - v[q]) ** 2).sum(axis=1)
         assert [got[q, k] for k in range(1, 6)] == sorted(range(360), key=lambda p: (d[p], p))[:5]
     assert graph.feature_knn(points.where("false"), points, 5).count() == 0
+
+
+def test_record_rules(spark):
+    rows = spark.createDataFrame([("12.0", True, 1.5, None), ("x", False, None, "a"), (None, None, 2.5, "b"), ("3e12", True, 0.1, "")], "n string, flag boolean, ms double, name string")
+    got = [tuple(r) for r in records.coerced(rows, ["n"], ["ms"]).collect()]
+    assert [r[:2] for r in got] == [(12, "True"), (-1, "False"), (-1, ""), (-1, "True")] and [r[3] for r in got] == ["", "a", "b", ""] and got[1][2] is None
+    clips = records.filled_clips(spark.createDataFrame([(1, 3), (2, 22)], "video long, n long"), "n", 10, 4, 4).orderBy("video", "place").collect()
+    assert [r.start for r in clips] == [1, 1, 1, 1, 1, 7, 13, 13]
+    texts = spark.createDataFrame([("Repository NOT Found",), ("not",), (None,)], "m string")
+    assert [r[0] for r in texts.select(records.says(F.col("m"), ("repository", "not found"), ("404",))).collect()] == [True, False, False]
+    empty = spark.createDataFrame([], "game string, split string, path string")
+    assert records.split_manifests(empty, empty.select("game", "path"), "video").count() == 0
