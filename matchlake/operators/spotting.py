@@ -112,9 +112,9 @@ class _Free:
         self.up[k], self.down[k + 1] = k + 1, k
 
 
-def _matched(takers: DataFrame, goods: DataFrame, reach: float, choose: Callable[[pd.DataFrame, pd.DataFrame], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(taker, good) ids of the pairs that sequential matching of each (video, label) makes; both sides: video, label, frame, confidence, ord, _id."""
-    keys, halo = ("video", "label"), math.ceil(2 * reach)
+def _matched(takers: DataFrame, goods: DataFrame, reach: float, choose: Callable[[pd.DataFrame, pd.DataFrame], tuple[np.ndarray, np.ndarray]], *more: str) -> DataFrame:
+    """(taker, good) ids of the pairs that sequential matching of each (video, label, more) makes; both sides: those, frame, confidence, ord, _id."""
+    keys, halo = (*more, "video", "label"), math.ceil(2 * reach)
     rows = cut_lineage(takers.withColumn("_good", F.lit(False)).unionByName(goods.withColumn("_good", F.lit(True))))
     width = _chunk_width(rows, keys, halo)
     pairs = None
@@ -140,8 +140,8 @@ def _named(rows: DataFrame) -> DataFrame:
     return cut_lineage(rows.withColumn("_id", F.monotonically_increasing_id()))
 
 
-def _plain(rows: DataFrame) -> DataFrame:
-    return rows.select("video", "label", "frame", F.col("confidence").cast("double").alias("confidence"), "ord", "_id").where("frame IS NOT NULL")
+def _plain(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select(*more, "video", "label", "frame", F.col("confidence").cast("double").alias("confidence"), "ord", "_id").where("frame IS NOT NULL")
 
 
 def _with_hits(named: DataFrame, hits: DataFrame) -> DataFrame:
@@ -197,9 +197,17 @@ def match_nearest(pred: DataFrame, truth: DataFrame, tolerance: int) -> DataFram
 
 def match_strongest(pred: DataFrame, truth: DataFrame, delta: float) -> DataFrame:
     """Predictions with ``hit``: truths in time order each take the strongest unused prediction within delta / 2."""
+    return match_strongest_each(pred, truth, [delta]).drop("delta")
+
+
+def match_strongest_each(pred: DataFrame, truth: DataFrame, deltas: list[float]) -> DataFrame:
+    """The rows of ``match_strongest`` for each delta, with ``delta``: all deltas are matched in the same rounds."""
 
     def choose(t: pd.DataFrame, g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         state, took = np.full(len(t), OPEN), np.full(len(t), -1)
+        if t.empty:
+            return state, took
+        delta = t["delta"].iloc[0]
         g = g.sort_values(["frame", "ord"], kind="stable")
         places, frames = g.index.to_numpy(), g["frame"].to_numpy()
         strength = np.empty(len(g), np.int64)
@@ -231,8 +239,9 @@ def match_strongest(pred: DataFrame, truth: DataFrame, delta: float) -> DataFram
                 took[row], free[best] = places[best], False
         return state, took
 
-    named = _named(pred)
-    pairs = _matched(_plain(_named(truth)), _plain(named), delta / 2, choose)
+    each = F.explode(F.array(*[F.lit(float(d)) for d in deltas])).alias("delta")
+    named = _named(pred.select("*", each))
+    pairs = _matched(_plain(_named(truth.select("*", each)), "delta"), _plain(named, "delta"), max(deltas) / 2, choose, "delta")
     return _with_hits(named, pairs.select("good"))
 
 
@@ -272,28 +281,71 @@ def precision_recall(matched: DataFrame, truth: DataFrame, steps: int = 200) ->
 
     Confidences fall into steps first, so each prediction is counted once and not once a threshold.
     """
+    return _curves(matched, truth.groupBy("label").agg(F.count("*").alias("truths")), ["label"], steps)
+
+
+def _curves(matched: DataFrame, totals: DataFrame, keys: list[str], steps: int = 200) -> DataFrame:
+    """The points of ``precision_recall`` for each row of ``totals`` (keys, truths)."""
     step = F.least(F.floor(F.col("confidence") * (steps - 1) + 1e-9), F.lit(steps - 1)).cast("int")
-    counts = matched.where("confidence >= 0").groupBy("label", step.alias("k")).agg(F.count("*").alias("n"), F.count_if("hit").alias("tp"))
-    totals = truth.groupBy("label").agg(F.count("*").alias("truths"))
-    grid = totals.select("label", "truths", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("k"))
-    above = Window.partitionBy("label").orderBy(F.desc("k"))
-    filled = grid.join(counts, ["label", "k"], "left")
-    summed = filled.select("label", "k", "truths", F.sum(F.coalesce("n", F.lit(0))).over(above).alias("n"), F.sum(F.coalesce("tp", F.lit(0))).over(above).alias("tp"))
+    counts = matched.where("confidence >= 0").groupBy(*keys, step.alias("k")).agg(F.count("*").alias("n"), F.count_if("hit").alias("tp"))
+    grid = totals.select(*keys, "truths", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("k"))
+    above = Window.partitionBy(*keys).orderBy(F.desc("k"))
+    filled = grid.join(counts, [*keys, "k"], "left")
+    summed = filled.select(*keys, "k", "truths", F.sum(F.coalesce("n", F.lit(0))).over(above).alias("n"), F.sum(F.coalesce("tp", F.lit(0))).over(above).alias("tp"))
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
-    return summed.select("label", (F.col("k") / float(steps - 1)).alias("threshold"), ratio("tp", "n").alias("precision"), ratio("tp", "truths").alias("recall"))
+    return summed.select(*keys, (F.col("k") / float(steps - 1)).alias("threshold"), ratio("tp", "n").alias("precision"), ratio("tp", "truths").alias("recall"))
 
 
-def eleven_points(curve: DataFrame) -> DataFrame:
-    """(label, ap): the mean, over recalls 0, 0.1, ..., 1, of the best precision at that recall or more."""
+def eleven_points(curve: DataFrame, *keys: str) -> DataFrame:
+    """(keys, label, ap): the mean, over recalls 0, 0.1, ..., 1, of the best precision at that recall or more."""
     points = [F.coalesce(F.max(F.when(F.col("recall") >= j / 10, F.col("precision"))), F.lit(0.0)) for j in range(11)]
-    return curve.groupBy("label").agg((sum(points[1:], points[0]) / 11).alias("ap"))
+    return curve.groupBy(*keys, "label").agg((sum(points[1:], points[0]) / 11).alias("ap"))
+
+
+def trapezoid_mean(rows: DataFrame, keys: str | list[str], x: str, y: str) -> DataFrame:
+    """(keys, area): the mean height of the trapezoids between values of ``y`` in the order of ``x``; a single one is itself."""
+    keys = [keys] if isinstance(keys, str) else keys
+    after = F.lead(y).over(Window.partitionBy(*keys).orderBy(x))
+    parts = rows.select(*keys, y, ((F.col(y) + after) / 2).alias("part"))
+    return parts.groupBy(*keys).agg(F.coalesce(F.avg("part"), F.first(y)).alias("area"))
 
 
-def trapezoid_mean(rows: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """(key, area): the mean height of the trapezoids between values of ``y`` in the order of ``x``; a single one is itself."""
-    after = F.lead(y).over(Window.partitionBy(key).orderBy(x))
-    parts = rows.select(key, y, ((F.col(y) + after) / 2).alias("part"))
-    return parts.groupBy(key).agg(F.coalesce(F.avg("part"), F.first(y)).alias("area"))
+#: The seconds of tolerance of each named metric.
+TOLERANCES = {"loose": list(range(5, 65, 5)), "tight": [1, 2, 3, 4, 5], "at1": [1], "at2": [2], "at3": [3], "at4": [4], "at5": [5]}
+
+#: Fixed value: the mean over unshown actions is stretched from all 17 classes to the 13 that have such.
+UNSHOWN_SCALE = 17 / 13
+
+KINDS = ("any", "visible", "unshown")
+
+
+def performances(pred: DataFrame, truth: DataFrame, metric: str, classes: list[str], fps: int = 2) -> DataFrame:
+    """(label, any, visible, unshown): the average over the metric's tolerances of the eleven-point precision of each class, and a row "Average mAP" over the classes.
+
+    pred: video, label, frame, confidence, ord; truth: video, label, frame, ord, visible (null counts as
+    visible), each with one row a cell. A prediction counts as visible or unshown as its closest truth is; as unshown where
+    its video has none of the label. A class without truths has 0. Of several tolerances the mean of
+    the trapezoids is taken; the unshown mean over classes is scaled by UNSHOWN_SCALE then.
+    """
+    if metric not in TOLERANCES:
+        raise ValueError(f"unknown metric {metric}; known are {', '.join(TOLERANCES)}")
+    deltas = [float(d * fps) for d in TOLERANCES[metric]]
+    shown = truth.withColumn("visible", F.coalesce("visible", F.lit(True)))
+    marks = shown.select("video", "label", F.col("frame").alias("closest"), "visible")
+    near = closest_event(pred.select("video", "label", "frame"), truth).distinct().join(marks, ["video", "label", "closest"], "left")
+    kind = lambda visible: F.when(visible, "visible").otherwise("unshown")
+    told = pred.join(near.select("video", "label", "frame", kind(F.col("visible")).alias("_kind")), ["video", "label", "frame"])
+    events = shown.withColumn("confidence", F.lit(0.0)).select("video", "label", "frame", "confidence", "ord")
+    matched = match_strongest_each(told, events, deltas).select("delta", "label", "confidence", "hit", F.explode(F.array(F.lit("any"), "_kind")).alias("kind"))
+    counts = shown.select("label", F.explode(F.array(F.lit("any"), kind(F.col("visible")))).alias("kind")).groupBy("label", "kind").agg(F.count("*").alias("truths"))
+    every = lambda values, name: F.explode(F.array(*[F.lit(v) for v in values])).alias(name)
+    cells = truth.sparkSession.range(1).select(every(classes, "label")).select("*", every(deltas, "delta")).select("*", every(KINDS, "kind"))
+    totals = cells.join(counts, ["label", "kind"], "left").fillna(0, ["truths"])
+    ap = cut_lineage(eleven_points(_curves(matched, totals, ["delta", "kind", "label"]), "delta", "kind"))
+    means = ap.groupBy("delta", "kind").agg(F.avg("ap").alias("ap")).withColumn("label", F.lit("Average mAP"))
+    area = trapezoid_mean(ap.unionByName(means), ["label", "kind"], "delta", "ap")
+    scale = F.when((F.col("label") == "Average mAP") & (F.col("kind") == "unshown"), UNSHOWN_SCALE if len(deltas) > 1 else 1.0).otherwise(1.0)
+    return area.groupBy("label").agg(*[F.max(F.when(F.col("kind") == k, F.col("area") * scale)).alias(k) for k in KINDS])
 
 
 def frame_averages(scores: DataFrame) -> DataFrame:

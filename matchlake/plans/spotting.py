@@ -108,6 +108,40 @@ def trapezoid_amap(spark, sf_dir):
     return S.trapezoid_mean(means, "label", "video", "y").select("label", F.round("area", 6).alias("area"))
 
 
+CLASSES = ["click", "error", "purchase", "signup", "view"]
+
+#: Cells of predictions and truths: the last row of each (video, label, frame); deltas are of 120 frames a second of tolerance.
+CELLS = """WITH e AS (SELECT user_id::BIGINT AS video, event_type AS label, (epoch_us(ts) // 60000000)::BIGINT AS frame, value::DOUBLE / 500 AS c, event_id::BIGINT AS o FROM events),
+pred AS (SELECT video, label, frame, coalesce(arg_max(c, o), -1) AS confidence, frame * 10 + 1 AS ord, false AS visible FROM e WHERE o % 5 <> 0 GROUP BY ALL
+ UNION ALL SELECT video, label, frame, 0, frame * 10, max(o) % 3 <> 0 FROM e WHERE o % 5 = 0 GROUP BY ALL)
+"""
+SCORED = CELLS + FOLDED.format(order="frame, ord", taker="ord % 10 = 0", good="ord % 10 = 1", tolerances="(60), (120), (180), (240), (300)", rank="-t.c", tie="t.f") + """, hits AS (SELECT tol, video, label, unnest(z.gave) AS ord FROM ends),
+s AS (SELECT video, label, frame AS event, visible, floor((lag(frame) OVER (PARTITION BY video, label ORDER BY frame) + frame) / 2)::BIGINT AS f FROM pred WHERE ord % 10 = 0),
+k AS (SELECT p.*, coalesce((SELECT arg_max(s.visible, event) FROM s WHERE s.video = p.video AND s.label = p.label AND coalesce(f, -1000) <= p.frame), false) AS shown FROM pred p WHERE ord % 10 = 1 AND confidence >= 0),
+m AS (SELECT t.tol, k.label, unnest(['any', CASE WHEN shown THEN 'visible' ELSE 'unshown' END]) AS kind, least(floor(confidence * 199 + 1e-9), 199)::BIGINT AS step, (h.ord IS NOT NULL)::INT AS hit
+ FROM k CROSS JOIN (VALUES (60), (120), (180), (240), (300)) t(tol) LEFT JOIN hits h ON h.tol = t.tol AND h.video = k.video AND h.label = k.label AND h.ord = k.ord),
+n AS (SELECT tol, label, kind, step, count(*) AS n, sum(hit) AS tp FROM m GROUP BY ALL),
+g AS (SELECT tol, label, kind, step, (SELECT count(*) FROM pred p WHERE p.ord % 10 = 0 AND p.label = l.label AND (kind = 'any' OR p.visible = (kind = 'visible'))) AS truths
+ FROM (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')) l(label), (VALUES (60), (120), (180), (240), (300)) t(tol), (VALUES ('any'), ('visible'), ('unshown')) q(kind), range(200) r(step)),
+c AS (SELECT g.*, sum(coalesce(n, 0)) OVER w AS n, sum(coalesce(tp, 0)) OVER w AS tp FROM g LEFT JOIN n USING (tol, label, kind, step) WINDOW w AS (PARTITION BY g.tol, g.label, g.kind ORDER BY g.step DESC)),
+curve AS (SELECT tol, label, kind, coalesce(tp::DOUBLE / nullif(n, 0), 0) AS precision, coalesce(tp::DOUBLE / nullif(truths, 0), 0) AS recall FROM c),
+ap AS (SELECT tol, label, kind, sum(p) / 11 AS ap FROM (SELECT tol, label, kind, j, coalesce(max(precision) FILTER (recall >= j / 10.0::DOUBLE), 0) AS p FROM curve, range(11) r(j) GROUP BY ALL) GROUP BY ALL),
+rows AS (SELECT * FROM ap UNION ALL SELECT tol, 'Average mAP', kind, avg(ap) FROM ap GROUP BY tol, kind),
+parts AS (SELECT label, kind, (ap + lead(ap) OVER (PARTITION BY label, kind ORDER BY tol)) / 2 AS p FROM rows),
+area AS (SELECT label, kind, avg(p) * CASE WHEN label = 'Average mAP' AND kind = 'unshown' THEN 17 / 13.0::DOUBLE ELSE 1 END AS a FROM parts GROUP BY label, kind)
+"""
+
+
+@query(SCORED + """SELECT label, round(max(a) FILTER (kind = 'any'), 6) AS "any", round(max(a) FILTER (kind = 'visible'), 6) AS visible, round(max(a) FILTER (kind = 'unshown'), 6) AS unshown FROM area GROUP BY label""")
+def spotting_performances(spark, sf_dir):
+    rows = predictions(spark, sf_dir)
+    cells = S.dense_grid(rows.where("ord % 5 <> 0"), F.col("frame"), F.col("confidence") / 500, 1 << 40)
+    pred = cells.select("video", "label", "frame", F.coalesce("value", F.lit(-1.0)).alias("confidence"), F.col("frame").alias("ord"))
+    truth = S.dense_grid(rows.where("ord % 5 = 0"), F.col("frame"), F.col("ord"), 1 << 40).select("video", "label", "frame", F.col("frame").alias("ord"), (F.col("value") % 3 != 0).alias("visible"))
+    found = S.performances(pred, truth, "tight", CLASSES, fps=120)
+    return found.select("label", *[F.round(k, 6).alias(k) for k in S.KINDS])
+
+
 AVERAGES = PREDICTIONS + """, a AS (SELECT video, frame // 1440 AS frame, label, avg(confidence) AS score, count(*) AS support FROM pred GROUP BY ALL)
 """
 

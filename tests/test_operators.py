@@ -264,3 +264,52 @@ def test_record_rules(spark):
     assert [r[0] for r in texts.select(records.says(F.col("m"), ("repository", "not found"), ("404",))).collect()] == [True, False, False]
     empty = spark.createDataFrame([], "game string, split string, path string")
     assert records.split_manifests(empty, empty.select("game", "path"), "video").count() == 0
+
+
+def _brute_performances(pred, truth, classes, deltas):
+    """Average precision by plain loops over rows (video, label, frame, confidence) and (video, label, frame, visible)."""
+
+    def ap(label, kind, delta):
+        scored = []
+        for video in {r[0] for r in pred if r[1] == label}:
+            events = sorted((t[2], t[3]) for t in truth if t[:2] == (video, label))
+            mine, used = sorted((p[2], p[3]) for p in pred if p[:2] == (video, label)), set()
+            for at, _ in events:
+                near = [p for p in mine if abs(p[0] - at) <= delta / 2 and p not in used]
+                if near:
+                    used.add(max(near, key=lambda p: (p[1], -p[0])))
+            for p in mine:
+                starts = [0] + [(a[0] + b[0]) // 2 for a, b in zip(events, events[1:])]
+                shown = events[max(k for k, s in enumerate(starts) if s <= p[0] or k == 0)][1] if events else False
+                scored.append((p[1], p in used, "visible" if shown else "unshown"))
+        scored = [s for s in scored if kind in ("any", s[2])]
+        total = sum(t[1] == label and kind in ("any", "visible" if t[3] else "unshown") for t in truth)
+        points = []
+        for k in range(200):
+            kept = [hit for c, hit, _ in scored if c >= k / 199 - 1e-9]
+            points.append((sum(kept) / len(kept) if kept else 0.0, sum(kept) / total if total else 0.0))
+        return sum(max((p for p, r in points if r >= j / 10), default=0.0) for j in range(11)) / 11
+
+    mean = lambda values: values[0] if len(values) == 1 else sum((a + b) / 2 for a, b in zip(values, values[1:])) / (len(values) - 1)
+    out = {c: [mean([ap(c, kind, d) for d in deltas]) for kind in spotting.KINDS] for c in classes}
+    out["Average mAP"] = [mean([sum(ap(c, kind, d) for c in classes) / len(classes) for d in deltas]) for kind in spotting.KINDS]
+    if len(deltas) > 1:
+        out["Average mAP"][2] *= 17 / 13
+    return out
+
+
+def test_performances(spark):
+    random.seed(5)
+    pred = sorted({(v, c, f): random.randint(0, 199) / 199 for v in range(3) for c in "ab" for f in random.sample(range(120), 25)}.items())
+    pred = [(*k, conf) for k, conf in pred]
+    truth = [(v, c, f, random.random() < 0.6) for v in range(2) for c in "ab" for f in random.sample(range(120), 12)]
+    p = spark.createDataFrame([(*r, r[2]) for r in pred], PRED)
+    t = spark.createDataFrame([(v, c, f, f, shown) for v, c, f, shown in truth], "video long, label string, frame long, ord long, visible boolean")
+    for metric, deltas in (("tight", [2, 4, 6, 8, 10]), ("at2", [4])):
+        got = {r.label: [r["any"], r.visible, r.unshown] for r in spotting.performances(p, t, metric, ["a", "b", "none"]).collect()}
+        expected = _brute_performances(pred, truth, ["a", "b", "none"], deltas)
+        assert got.keys() == expected.keys()
+        for label in expected:
+            assert got[label] == pytest.approx(expected[label]), (metric, label)
+    with pytest.raises(ValueError):
+        spotting.performances(p, t, "at9", ["a"])
