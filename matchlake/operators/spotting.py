@@ -81,6 +81,8 @@ def _by_chunk(rows: DataFrame, keys: tuple[str, ...], width: int, halo: int, set
     """``settle`` on each chunk's rows and those within ``halo`` of it (``_core`` false); by default only core rows are returned."""
     at = lambda shift: F.floor((F.col("frame") + shift) / width)
     laid = rows.withColumn("_chunk", F.explode(F.sequence(at(-halo), at(halo)))).withColumn("_core", F.col("_chunk") == at(0))
+    # A number given keeps small bytes of dear Python work from being put together in one task.
+    laid = laid.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_chunk")
     if schema is not None:
         return laid.groupBy(*keys, "_chunk").applyInPandas(settle, schema)
     names = rows.columns
