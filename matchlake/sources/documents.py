@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import tarfile
 import zipfile
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,27 +75,45 @@ def zip_member(spark: SparkSession, path: str, member: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "path string, text string")
 
 
-def tar_members(spark: SparkSession, path: str) -> DataFrame:
-    """(path, member, content) of tar files; a task holds one file at a time."""
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or address, and the path in it."""
+    plain = re.sub(r"^file:/+", "/", path)
+    return (fs.LocalFileSystem(), plain.rstrip("/")) if plain.startswith("/") else fs.FileSystem.from_uri(path.rstrip("/"))
+
+
+def tar_members(spark: SparkSession, path: str, pattern: str = "") -> DataFrame:
+    """(path, member, content) of the members of the tar files of a path or folder whose names match ``pattern``; a file is read as a stream, so a task holds one member at a time."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = re.compile(pattern)
         for frame in frames:
-            for name, content in zip(frame["path"], frame["content"], strict=True):
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+            for name in frame["path"]:
+                store, place = located(name)
+                with store.open_input_stream(place) as stream, tarfile.open(fileobj=stream, mode="r|") as tar:
                     for m in tar:
-                        if m.isfile():
+                        if m.isfile() and wanted.search(m.name):
                             yield pd.DataFrame({"path": [name], "member": [m.name], "content": [tar.extractfile(m).read()]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "path string, member string, content binary")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").load(path).select("path").mapInPandas(read, "path string, member string, content binary")
 
 
 def shards(spark: SparkSession, folder: str) -> DataFrame:
-    """The samples of a written data set (sample_id, sample_index, payload): the payload overlaid by the shard's sidecar."""
+    """The samples of a written data set (sample_id, sample_index, shard_name, header, payload): the payload overlaid by the shard's sidecar."""
     meta = spark.read.parquet(f"{folder}/metadata.parquet")
     missing = {"sample_id", "sample_index", "shard_name", "header"} - set(meta.columns)
     if missing:
-        raise ValueError(f"metadata lacks {', '.join(sorted(missing))}; legacy schemas are no longer supported")
-    sidecars = tar_members(spark, f"{folder}/shards/*.tar").where(F.col("member").rlike(r"^\d{9}\.json$"))
+        raise ValueError(f"metadata lacks {', '.join(sorted(missing))}; older layouts are not read")
+    sidecars = tar_members(spark, f"{folder}/shards", r"^\d{9}\.json$")
     side = sidecars.select(F.regexp_extract("member", r"^(\d{9})", 1).cast("long").alias("sample_index"), F.decode("content", "UTF-8").alias("sidecar"))
-    overlay = F.udf(lambda a, b: json.dumps({**json.loads(a or "{}"), **json.loads(b or "{}")}, separators=(",", ":"), ensure_ascii=False), "string")
-    return meta.join(side, "sample_index", "left").select("sample_id", "sample_index", overlay("sample_payload", "sidecar").alias("payload"))
+
+    @F.pandas_udf("string")
+    def overlay(names: pd.Series, payloads: pd.Series, sides: pd.Series) -> pd.Series:
+        out = []
+        for name, payload, sidecar in zip(names, payloads, sides, strict=True):
+            if payload is None and sidecar is None:
+                raise ValueError(f"sample {name} has neither payload nor sidecar; older layouts are not read")
+            out.append(json.dumps({**json.loads(payload or "{}"), **json.loads(sidecar or "{}")}, separators=(",", ":"), ensure_ascii=False))
+        return pd.Series(out, dtype=object)
+
+    payload = F.col("sample_payload") if "sample_payload" in meta.columns else F.lit(None).cast("string")
+    return meta.join(side, "sample_index", "left").select("sample_id", "sample_index", "shard_name", "header", overlay("sample_id", payload, "sidecar").alias("payload"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import io
 import tarfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.spotting import game_time
@@ -27,11 +28,11 @@ def write_documents(docs: DataFrame, folder: str, compression: str = "none") ->
     docs.select("video", F.col("document").alias("value")).write.partitionBy("video").option("compression", compression).text(folder)
 
 
-def dataset_rows(samples: DataFrame, header: str) -> DataFrame:
+def dataset_rows(samples: DataFrame, header: str | Column) -> DataFrame:
     """Metadata rows of samples (sample_index, sample_id, payload JSON, inputs, shard); a sample without id gets one from its index."""
     kept = F.filter(F.coalesce("inputs", F.array()), lambda x: F.coalesce(x["path"], F.lit("")) != "")
     name = F.coalesce("sample_id", F.format_string("sample_%06d", "sample_index"))
-    return samples.select(name.alias("sample_id"), F.col("sample_index").cast("long").alias("sample_index"), F.size(kept).cast("long").alias("num_inputs"), F.col("payload").alias("sample_payload"), F.format_string("shard-%06d.tar", "shard").alias("shard_name"), F.lit(header).alias("header"))
+    return samples.select(name.alias("sample_id"), F.col("sample_index").cast("long").alias("sample_index"), F.size(kept).cast("long").alias("num_inputs"), F.col("payload").alias("sample_payload"), F.format_string("shard-%06d.tar", "shard").alias("shard_name"), (F.lit(header) if isinstance(header, str) else header).alias("header"))
 
 
 def tar_shards(members: DataFrame) -> DataFrame:
@@ -49,6 +50,16 @@ def tar_shards(members: DataFrame) -> DataFrame:
     return members.groupBy("shard").applyInPandas(pack, "shard string, content binary")
 
 
+def write_through(store, path: str, content) -> None:
+    """A stream's bytes as a file, under another name until it is whole."""
+    folder, draft = path.rsplit("/", 1)[0], f"{path}.{uuid.uuid4().hex}"
+    store.create_dir(folder, recursive=True)
+    with store.open_output_stream(draft) as out:
+        while piece := content.read(1 << 20):
+            out.write(piece)
+    store.move(draft, path)
+
+
 def write_shards(shards: DataFrame, folder: str) -> None:
     """Each shard as a file of its name, written by the task that holds it through Hadoop's file systems, so any store will do."""
 
