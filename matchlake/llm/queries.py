@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .chat_format import format_paths, linear_tree, read_back, reply_paths
 from .common import table
 from .decontaminate import contamination_report
+from .divergence import DIVERGENCE_SQL, divergence
 from .html_extract import main_texts
 from .importance import resampled
 from .language_id import identify_languages
@@ -86,6 +87,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
@@ -97,5 +102,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
+    "op11_source_divergence": op11_source_divergence,
 }
-ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL, "op11_source_divergence": DIVERGENCE_SQL}
