@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.ranks import cut_lineage, shared_folder
 
-__all__ = ["cut_lineage", "fresh", "per_slice", "table", "utf8", "written"]
+__all__ = ["cut_lineage", "fresh", "per_slice", "shared_folder", "table", "utf8", "written"]
 
 #: Rows that a Python task turns into Python objects at a time; bounds the memory of a worker.
 ROWS_AT_A_TIME = 1000

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import format_paths, linear_tree, read_back, reply_paths
-from .common import table
+from .common import shared_folder, table
 from .decontaminate import contamination_report
 from .divergence import DIVERGENCE_SQL, divergence
 from .html_extract import main_texts
@@ -20,6 +21,7 @@ from .sentencepiece_viterbi import encoded
 from .simhash import simhash_components
 from .token_counts import token_counts
 from .toxicity import toxicity
+from .warc import WARC_SQL, page_of, read_records, write_archives
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +93,13 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = write_archives(table(spark, sf_dir, "pages"), f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}")
+    return read_records(index, payloads=False).select(
+        page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), page_of("refers_to").alias("refers_to")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
@@ -103,5 +112,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
     "op11_source_divergence": op11_source_divergence,
+    "op12_warc": op12_warc,
 }
-ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL, "op11_source_divergence": DIVERGENCE_SQL}
+ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL, "op11_source_divergence": DIVERGENCE_SQL, "op12_warc": WARC_SQL}
