@@ -22,6 +22,7 @@ from .simhash import simhash_components
 from .token_counts import token_counts
 from .toxicity import toxicity
 from .warc import WARC_SQL, page_of, read_records, write_archives
+from .whitening import whitened
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +101,10 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
@@ -113,5 +118,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
     "op11_source_divergence": op11_source_divergence,
     "op12_warc": op12_warc,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL, "op11_source_divergence": DIVERGENCE_SQL, "op12_warc": WARC_SQL}
