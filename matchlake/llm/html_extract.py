@@ -8,8 +8,10 @@
    such container is read at its own best one.
 
 What stands in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments is left out, known by tags, roles and words in classes and ids. Character
-references are decoded once, white space in a block becomes one space, blocks are joined by two
+reader comments is left out, known by tags, roles, hiding styles and the words of an element's own classes and ids. A
+name is a hint only: words that may be content ("share", "related") count if the whole name speaks so, and an element that holds
+most of the page's running text stays whatever its name has beside. A title (h1) in front of the winning container
+is kept. Character references are decoded once, white space in a block becomes one space, blocks are joined by two
 line ends in page order.
 
 Defined cases: null, empty and text-free pages give an empty text; broken or cut markup is read
@@ -35,20 +37,43 @@ BROADCAST_HOSTS = 100_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-LEFT_OUT = frozenset("aside audio button datalist dialog embed form head iframe input menu nav noscript option optgroup script select style svg template textarea title video".split())
+LEFT_OUT = frozenset("aside audio button datalist dialog embed head iframe input menu nav noscript option optgroup script select style svg template textarea title video".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-OUT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion promoted banner cookie cookies consent gdpr notice notices notification newsletter subscribe subscription signup "
-    "popup modal overlay sidebar sidebars sidenav nav navbar navigation menu menus breadcrumb breadcrumbs masthead footer footers comment comments commentlist disqus respond replies share sharing shares social related recommended recommendations pagination pager toolbar widget widgets login search".split()
+#: One of these in a name speaks for a part that is left out, whatever stands beside it, unless a word of ``NOT_SO`` does.
+SURE_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adsbygoogle adslot advertorial sponsored cookie cookies gdpr newsletter popup sidebar sidebars sidenav nav navbar navigation menu menus "
+    "breadcrumb breadcrumbs footer footers comment comments commentlist disqus pagination pager".split()
 )
-#: What may stand beside a word of those in the name of a part of an article that is left out.
-BESIDE_WORDS = frozenset("site page main post posts article articles entry blog top bottom left right inner outer header head title list item items link links button buttons bar box block area section container wrapper wrap content row slot unit text icon icons form panel card feed group set".split())
+#: These may also name what an article is about, so every word of a name has to be one of them or of ``BESIDE_WORDS``.
+OUT_WORDS = SURE_WORDS | frozenset(
+    "sponsor sponsors promo promos promotion promoted banner consent notice notices notification notifications subscribe subscription signup modal overlay masthead respond replies share sharing shares social related recommended recommendations toolbar widget widgets login search".split()
+)
+#: What may stand beside a word of those in the name of a part that is left out.
+BESIDE_WORDS = frozenset("site page main post posts article articles entry blog top bottom left right inner outer header head title list item items link links button buttons bar box block area section container wrapper wrap content row slot unit text icon icons form panel card feed group set stories story news topics media prompt message user google".split())
+NOT_SO = frozenset("with without has no not is enabled disabled layout".split())
 MAIN_WORDS = frozenset("article articles content post posts entry story main text body".split())
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 
 _MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)|</[^>]*+(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+#: How a name speaks for leaving its element out: in all its words, in all but with none of ``SURE_WORDS``, or in some.
+FULLY, UNSURE, PARTLY = 1, 2, 3
+#: Characters of running text that a page must have without what is named in part, else the largest of that is read.
+LEAST_TEXT = 25
+
+
+def named_out(names: list[list[str]]) -> int:
+    """Whether one of an element's names (in words) speaks for leaving it out, and how."""
+    found = 0
+    for words in names:
+        told = [w for w in words if len(w) > 1]
+        if any(w in OUT_WORDS for w in told) and all(w in OUT_WORDS or w in BESIDE_WORDS for w in told):
+            return FULLY if any(w in SURE_WORDS for w in told) else UNSURE
+        if any(w in SURE_WORDS for w in told) and not any(w in NOT_SO for w in told):
+            found = PARTLY
+    return found
 
 
 class Page:
@@ -56,19 +81,46 @@ class Page:
 
     def __init__(self, source: str) -> None:
         self.parents, self.names, self.out = [-1], [""], [False]
-        self.tags, self.main = [""], [False]
+        self.tags, self.main, self.named = [""], [False], [0]
         self.blocks: list[tuple[int, str, int]] = []
         #: Open elements, for each the innermost around it (itself included) that is no inline one, and for each tag where it stands open.
         self._open, self._solid, self._at = [0], [0], {}
         self._text, self._links, self._in_link = [], 0, 0
         self._read(source)
+        self._leave_out()
+
+    def _leave_out(self) -> None:
+        """Drops the blocks of elements that are left out by their names.
+
+        A name is a hint: an element whose name speaks in part only stays if it holds over half of
+        the running text, and so does the largest of those where nothing else has text.
+        """
+        if not any(self.named):
+            return
+        mass, headed = [0] * len(self.names), [tag in ("article", "main", "h1") for tag in self.tags]
+        for at, text, links in self.blocks:
+            mass[at] += len(text) - links
+        own = mass[:]
+        for k in range(len(mass) - 1, 0, -1):
+            mass[self.parents[k]] += mass[k]
+            headed[self.parents[k]] |= headed[k]
+        hints = [k for k, n in enumerate(self.named) if n == PARTLY or n == UNSURE and headed[k]]
+        left_out = {k for k, n in enumerate(self.named) if n} - {k for k in hints if 2 * mass[k] > mass[0]}
+        while True:
+            out = [False] * len(mass)
+            for k in range(1, len(mass)):
+                out[k] = k in left_out or out[self.parents[k]]
+            most = max((mass[k] for k in hints if k in left_out), default=0)
+            if not most or sum(m for m, gone in zip(own, out, strict=True) if not gone) >= LEAST_TEXT:
+                break
+            left_out -= {k for k in hints if mass[k] == most}
+        self.blocks = [block for block in self.blocks if not out[block[0]]]
 
     def _end_block(self) -> None:
         if self._text:
             text = " ".join(entities.unescape("".join(self._text)).split())
             if text:
-                if not self.out[self._open[-1]]:
-                    self.blocks.append((self._solid[-1], text, min(self._links, len(text))))
+                self.blocks.append((self._solid[-1], text, min(self._links, len(text))))
             self._text, self._links = [], 0
 
     def _start(self, tag: str, attributes: str) -> None:
@@ -85,16 +137,17 @@ class Page:
             return
         found = {k.lower(): entities.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes.strip(" /") else {}
         classes = [x for x in (re.sub(r"[\d_-]*\d[\d_-]*", "", c).lower() for c in found.get("class", "").split()) if x]
-        named = [{x.lower() for x in _PARTS.findall(name)} for name in f"{found.get('class', '')} {found.get('id', '')}".split()]
-        words = set().union(*named)
+        parts = [[x.lower() for x in _PARTS.findall(name)] for name in f"{found.get('class', '')} {found.get('id', '')}".split()]
+        words = {w for part in parts for w in part}
         above = self._open[-1]
         in_article = bool(self._at.get("article") or self._at.get("main"))
-        out = self.out[above] or tag in LEFT_OUT or found.get("role", "").lower() in OUT_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
+        out = self.out[above] or tag in LEFT_OUT or found.get("role", "").lower() in OUT_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(_UNSEEN.search(found.get("style", "")))
+        named = 0
         if tag not in ("html", "body", "main"):
             out = out or tag == "footer" or (tag == "header" and not in_article)
-            # In an article "share-price" or "related-work" may be content: there every word of a name has to speak for it.
-            out = out or (any(n & OUT_WORDS and n <= OUT_WORDS | BESIDE_WORDS for n in named) if in_article else bool(words & OUT_WORDS))
-            out = out or ("header" in words and not (in_article or words & MAIN_WORDS))
+            named = named_out(parts) or (PARTLY if tag == "form" or ("header" in words and not (in_article or words & MAIN_WORDS)) else 0)
+        self.named.append(named)
+        out = out or (inline and named == FULLY)
         self.parents.append(above)
         self.names.append(".".join([tag, *sorted(set(classes))]))
         self.tags.append(tag)
@@ -127,7 +180,7 @@ class Page:
             self._pop(k)
 
     def _add(self, text: str) -> None:
-        if text:
+        if text and not self.out[self._open[-1]]:
             self._text.append(text)
             if self._in_link:
                 self._links += len(text)
@@ -178,12 +231,21 @@ class Page:
         return max(((k, s * (1.5 if self.main[k] else 1)) for k, s in scores.items()), key=lambda x: (x[1], -x[0]), default=(0, 0.0))
 
     def text(self, path: str | None) -> str:
-        """The blocks in the containers at ``path``, or in the page's best one where there are none."""
+        """The blocks in the containers at ``path``, or in the page's best one where there are none; before them the page's title, if it stands beside."""
         inside = (self._on(path) if path else set()) or {self.best()[0]}
         within = [False] * len(self.names)
         for k in range(len(self.names)):
             within[k] = k in inside or (k > 0 and within[self.parents[k]])
-        return "\n\n".join(text for at, text, _ in self.blocks if within[at])
+        kept = [k for k, (at, _, _) in enumerate(self.blocks) if within[at]]
+        titles = [k for k, (at, _, _) in enumerate(self.blocks) if self._in_title(at)]
+        if kept and titles and not any(within[self.blocks[k][0]] for k in titles):
+            kept = [k for k in titles if k < kept[0]][-1:] + kept
+        return "\n\n".join(self.blocks[k][1] for k in kept)
+
+    def _in_title(self, at: int) -> bool:
+        while at > 0 and self.tags[at] != "h1":
+            at = self.parents[at]
+        return at > 0
 
 
 def host_of(url):
