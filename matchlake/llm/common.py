@@ -6,14 +6,17 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.ranks import cut_lineage, shared_folder
 
-__all__ = ["cut_lineage", "fresh", "per_slice", "shared_folder", "table", "utf8", "written"]
+__all__ = ["cut_lineage", "fresh", "per_slice", "shared_folder", "slices", "table", "utf8", "written"]
 
 #: Rows that a Python task turns into Python objects at a time; bounds the memory of a worker.
 ROWS_AT_A_TIME = 1000
+#: And so many bytes of text, as some operators hold arrays of eighty bytes a character.
+TEXT_AT_A_TIME = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,13 +38,30 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def per_slice(f: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = ROWS_AT_A_TIME) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def slices(batch: pa.RecordBatch, rows: int = ROWS_AT_A_TIME, text_bytes: int = TEXT_AT_A_TIME) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of so many rows and bytes of text at most, of one row at least."""
+    import numpy as np
+
+    ends = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            ends += np.asarray(pc.binary_length(column).fill_null(0), np.int64)
+    ends = np.cumsum(ends)
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + text_bytes, "right"))))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def per_slice(f: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = ROWS_AT_A_TIME, text_bytes: int = TEXT_AT_A_TIME) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``f`` on slices of each Arrow batch, as mapInArrow takes it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                yield f(batch.slice(start, rows))
+            for part in slices(batch, rows, text_bytes):
+                yield f(part)
 
     return run
 

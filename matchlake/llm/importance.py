@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, per_slice, utf8
+from .common import cut_lineage, per_slice, slices, utf8
 
 #: Buckets of each kind of n-gram, and values of the repeat count.
 CHAR2, CHAR3, WORD, REPEAT = 1 << 16, 1 << 16, 1 << 16, 4
@@ -86,8 +86,8 @@ def gram_counts(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_STARTS[-1], np.int64)
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                for first, size, (buckets, _) in zip(_STARTS, SIZES, _grams(*utf8(batch.slice(start, 500).column(0))), strict=False):
+            for part in slices(batch, 500):
+                for first, size, (buckets, _) in zip(_STARTS, SIZES, _grams(*utf8(part.column(0))), strict=False):
                     total[first : first + size] += np.bincount(buckets, minlength=size)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found], pa.int64())], names=["bucket", "n"])

@@ -8,7 +8,7 @@ each change of language costs a penalty; stretches of one language are the docum
 The document's language is the one with most letters on that path.
 
 Learning reads only text and non-null lang of the rows that ``train`` selects, at most
-``train_documents`` of them (by a hash of the id); prediction reads only the text.
+``train_documents`` of them (by a hash of the id) and ``least_documents`` of each language more, so that rare languages are learnt; prediction reads only the text.
 
 Defined cases: null text and text without a letter give ``und``, score 0 and no spans. Words of
 a script that no learnt language uses count for all languages alike. Ties go to the language
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_slice
+from .common import per_slice, slices
 
 #: First and last code point of the letters of each script.
 SCRIPT_RANGES = [
@@ -47,6 +47,8 @@ KINDS = 3
 @dataclass(frozen=True)
 class LanguageRules:
     train_documents: int = 60_000
+    #: Of each language so many are learnt from, where there are as many, beyond its share.
+    least_documents: int = 500
     #: Share of a language's letters that must be in a script for the language to be a candidate for its words.
     script_share: float = 0.001
     switch_penalty: float = 12.0
@@ -121,16 +123,17 @@ def fit(docs: DataFrame, train: Column, rules: LanguageRules) -> LanguageModel:
     rows = docs.where(train & F.col("lang").isNotNull())
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
-    share = min(1.0, rules.train_documents / max(1, sum(sizes.values())))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < share * (1 << 20)).select(F.col("text").cast("string"), "lang")
+    share = rules.train_documents / max(1, sum(sizes.values()))
+    # of each language at least so many, so that rare ones are learnt
+    shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, max(share, rules.least_documents / n)))]) if sizes else F.lit(None)
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < (shares[F.col("lang")] if sizes else F.lit(0.0)) * (1 << 20)).select(F.col("text").cast("string"), "lang")
     width = len(languages)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(KINDS * BUCKETS * width + len(SCRIPTS) * width, np.int64)
         number = {x: k for k, x in enumerate(languages)}
         for batch in batches:
-            for start in range(0, batch.num_rows, 300):
-                part = batch.slice(start, 300)
+            for part in slices(batch, 300):
                 words = words_of(part.column(0).to_pylist())
                 language = np.array([number[x] for x in part.column(1).to_pylist()], np.int64)[words.doc]
                 letters = words.end - words.begin
@@ -150,7 +153,7 @@ def fit(docs: DataFrame, train: Column, rules: LanguageRules) -> LanguageModel:
         counts = cells[k * BUCKETS * width : (k + 1) * BUCKETS * width].reshape(BUCKETS, width)
         # A whole form that was never seen says nothing, so its table is a ratio to the mean of the languages.
         rates = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * BUCKETS))
-        if k == KINDS - 1:
+        if k == KINDS - 1 and width:
             rates = np.where(counts.sum(axis=1, keepdims=True) > 0, rates - rates.mean(axis=1, keepdims=True), 0.0)
         tables.append(rates.astype(np.float32))
     scripts = cells[KINDS * BUCKETS * width :].reshape(len(SCRIPTS), width)
