@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import slices
+
 #: Stretches (of either age) and pairs that a worker remembers, and the longest stretch it does; characters between looks for a common boundary.
 MEMO, MEMO_CHARS, LOOK = 220_000, 48, 8
 SPACE = "▁"
@@ -235,8 +237,7 @@ def encoded(docs: DataFrame, model_file: str, rows: int = 500) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_file)
         for batch in batches:
-            for first in range(0, batch.num_rows, rows):
-                part = batch.slice(first, rows)
+            for part in slices(batch, rows):
                 flat, ends, same = [], [0], []
                 for text in part.column(at).to_pylist():
                     ids = model.encode(text)
@@ -247,3 +248,29 @@ def encoded(docs: DataFrame, model_file: str, rows: int = 500) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(np.diff(ends), pa.int64()), pa.array(same)], names=schema.names)
 
     return kept.mapInArrow(run, schema)
+
+
+def decoded(rows: DataFrame, model_file: str, ids: str = "ids", text: str = "text") -> DataFrame:
+    """``rows`` with the text of their ids in the column ``text``, in place of one of that name.
+
+    Null ids give a null text, none an empty one; an id that the model lacks, or a null one, is an error. Ids of
+    unknown characters give the model's mark for them, and bytes that are no UTF-8 give replacement characters.
+    """
+    kept = rows.select(*[rows[f"`{c}`"] for c in rows.columns if c != text])
+    schema = T.StructType([*kept.schema.fields, T.StructField(text, T.StringType())])
+    at = kept.columns.index(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pieces(model_file)
+        for batch in batches:
+            texts = [None if found is None else model.decode(_checked(found, len(model.raw))) for found in (x.as_py() for x in batch.column(at))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
+
+    return kept.mapInArrow(run, schema)
+
+
+def _checked(ids: list[int | None], size: int) -> list[int]:
+    for k in ids:
+        if k is None or not 0 <= k < size:
+            raise ValueError(f"the model has no piece {k}")
+    return ids

@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import slices, written
 
 #: The pre-token pattern of the vocabulary (fixed by it).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -90,8 +90,7 @@ def _frequencies(hot: Broadcast) -> Callable[[Batches], Batches]:
         split, known, key = _splitter(), hot.value, TaskContext.get().partitionId() << 33
         names = ["key", "token", "n", "doc_id", "n_bytes"]
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for part in slices(batch, 500):
                 keys, tokens, counts, own = [], [], [], []
                 for text in part.column(1).to_pylist():
                     text, key = text or "", key + 1
@@ -130,5 +129,7 @@ def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = 512, hot: in
     known = rows.sparkSession.sparkContext.broadcast({r.token: r.pieces for r in pieces.where(frequent).select("token", "pieces").toLocalIterator()})
     each = rows.mapInArrow(_frequencies(known), "key long, token string, n long, doc_id long, n_bytes long")
     joined = each.join(pieces.where(~frequent).select("token", "pieces"), "token", "left")
-    summed = joined.groupBy("key").agg(F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("n_tokens"), F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"))
+    # what a document adds up itself comes under a mark and counts as it is; any other pre-token has been counted
+    pieces_of = F.when(F.col("token").rlike(r"^\x00[0-9]+$"), F.lit(1)).otherwise(F.coalesce("pieces", F.raise_error(F.concat(F.lit("pre-token without a count: "), "token")).cast("long")))
+    summed = joined.groupBy("key").agg(F.sum(F.col("n") * pieces_of).alias("n_tokens"), F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"))
     return summed.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

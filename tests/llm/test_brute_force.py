@@ -125,3 +125,27 @@ print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
 """
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=300)
     assert int(done.stdout) < 500, done.stdout
+
+
+def test_sentencepiece_decoding_is_an_operator(spark):
+    """Texts come back from their ids; ids that no text gives have a defined result."""
+    import public_tokenizers
+
+    from matchlake.llm import sentencepiece_viterbi as S
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(-1, ""), (-2, " two  blanks "), (-3, "中文 😀 ▁x"), (-4, None), (-5, "\n\t")], docs.schema)
+    rows = S.encoded(docs.unionByName(odd), model)
+    back = S.decoded(rows.withColumnRenamed("text", "before"), model)
+    wrong = back.where("NOT (text <=> coalesce(before, '')) AND round_trip").count()
+    assert back.count() == docs.count() + 5 and wrong == 0 and back.where("round_trip").count() >= docs.count() + 3
+    assert S.decoded(rows, model).columns.count("text") == 1
+    import sentencepiece
+
+    real = sentencepiece.SentencePieceProcessor(model_file=model)
+    ids = spark.createDataFrame([([],), (None,), ([0, 5],), (real.encode("Hello there"),)], "ids array<int>")
+    got = [r.text for r in S.decoded(ids, model).collect()]
+    assert got[0] == "" and got[1] is None and got[3] == "Hello there"
+    with pytest.raises(Exception, match="no piece"):
+        S.decoded(spark.createDataFrame([([1_000_000],)], "ids array<int>"), model).collect()
