@@ -1,13 +1,13 @@
 """Source divergence audit: how far the words of each source stray from those of the other sources of its language.
 
-A language's vocabulary is what ``CountVectorizer`` keeps of its documents with ``minDF`` and the
-largest ``vocabSize`` there is, so nothing is cut off. Its model turns each document into an exact
+A language's vocabulary is what ``CountVectorizer`` keeps of its documents with ``minDF`` and a ``vocabSize``
+that it doesn't fill, so nothing is cut off. Its model turns each document into an exact
 sparse vector, and the vectors of a (lang, source) group are added up entry by entry, where a summary
-of dense vectors would hold the whole vocabulary for every group. Languages of moderate vocabulary share
+of dense vectors would hold the whole vocabulary for every group. Small languages share
 a fit: their terms carry the language, so one fit over several languages keeps for each what a fit of
-its own would (a test holds them together), and the documents are read once for all of them. A fit's
-vocabulary goes through the driver, so fits are packed by a sketch of each language's distinct terms to
-``fit_terms`` at most; a language with more than that is counted by shuffles instead, with the same result.
+its own would (a test holds them together). A fit's
+vocabulary goes through the driver, so ``vocabSize`` is what a driver can take; a fit that has more to keep than that is not used,
+and its languages are counted by shuffles instead, with the same result.
 
 Shares are whole numbers p = 1 + floor(10^9 (count + 1) / (N + V)), and the distance of two
 sources sums floor((p - q)^2 / q) over the V terms. Only the terms that a source has are looked
@@ -23,12 +23,14 @@ rows count as documents of their own; an empty table gives no row.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import ranked
 from .common import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -41,10 +43,12 @@ MARK = "\x00"
 @dataclass(frozen=True)
 class DivergenceRules:
     min_documents: int = 3
-    #: Terms of a fit at most, by a sketch with an error of two in a hundred; they pass through the driver.
-    fit_terms: int = 400_000
-    #: Languages, those with most documents, that are fitted; those beyond are counted by shuffles.
+    #: Terms that a fit may keep, as they pass through the driver; where it keeps more, the fit is not used.
+    fit_terms: int = 500_000
+    #: Languages, those with most documents, with a fit of their own; as many more as are fitted at all; and how many of those share a fit.
+    own_fits: int = 16
     fit_languages: int = 1_000
+    shared_fit: int = 100
     ranks: int = 200
 
 
@@ -55,53 +59,54 @@ def terms(text: Column) -> Column:
 
 
 def fits(docs: DataFrame, rules: DivergenceRules) -> list[list[str]]:
-    """Languages packed so that the vocabularies of a fit stay within bounds; languages in no fit are too large, too many or without documents enough."""
+    """Languages to fit: those with most documents on their own, then ever so many smaller ones together. Those beyond, or without documents enough, are in no fit."""
     sizes = docs.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= rules.min_documents).orderBy(F.desc("n"), "lang").limit(rules.fit_languages)
     known = [r["lang"] for r in sizes.collect()]
-    words = docs.where(F.col("lang").isin(known)).select("lang", F.explode(terms(F.col("text"))).alias("term")).groupBy("lang").agg(F.approx_count_distinct("term", 0.02).alias("n"))
-    packed, free = [], []
-    for n, lang in sorted((-(r["n"] * 11 // 10), r["lang"]) for r in words.collect()):
-        if -n > rules.fit_terms:
-            continue
-        k = next((k for k, left in enumerate(free) if left >= -n), len(free))
-        if k == len(free):
-            packed.append([])
-            free.append(rules.fit_terms)
-        packed[k].append(lang)
-        free[k] += n
-    return packed
-
-
-def vector_sums(docs: DataFrame, langs: list[str], rules: DivergenceRules) -> DataFrame:
-    """(lang, source, term, n) of the kept terms of some languages: sums of the document vectors of one CountVectorizer."""
-    own = F.transform(terms(F.col("text")), lambda t: F.concat(t, F.lit(MARK), F.col("lang")))
+    rest = known[rules.own_fits :]
+    return [[lang] for lang in known[: rules.own_fits]] + [rest[k : k + rules.shared_fit] for k in range(0, len(rest), rules.shared_fit)]
+
+
+def vector_sums(docs: DataFrame, langs: list[str], rules: DivergenceRules) -> tuple[DataFrame, DataFrame] | None:
+    """Sums (lang, source, id, n) of the document vectors of one CountVectorizer over some languages, and its vocabulary (lang, id, term); None if that is too large."""
+    found = terms(F.col("text"))
+    if len(langs) > 1:
+        found = F.transform(found, lambda t: F.concat(t, F.lit(MARK), F.col("lang")))
     # the mark alone stands in each document, so that no vocabulary is empty
-    named = docs.where(F.col("lang").isin(langs)).select("lang", "source", F.concat(F.array(F.lit(MARK)), own).alias("_terms"))
-    model = CountVectorizer(inputCol="_terms", outputCol="_vector", minDF=float(rules.min_documents), vocabSize=2**31 - 1).fit(named.select("_terms"))
-    vocabulary = pa.table({"_index": pa.array(range(len(model.vocabulary)), pa.int32()), "_word": pa.array(model.vocabulary, pa.string())})
-    words = docs.sparkSession.createDataFrame(vocabulary).where(F.col("_word") != MARK).select("_index", F.split("_word", MARK, 2)[0].alias("term"))
+    named = docs.where(F.col("lang").isin(langs)).select("lang", "source", F.array_append(found, F.lit(MARK)).alias("_terms"))
+    model = CountVectorizer(inputCol="_terms", outputCol="_vector", minDF=float(rules.min_documents), vocabSize=min(rules.fit_terms, 2**31 - 3) + 2).fit(named.select("_terms"))
+    vocabulary = model.vocabulary
+    if len(vocabulary) > rules.fit_terms + 1:
+        return None
+    kept = pa.table({"id": pa.array(range(len(vocabulary)), pa.int64()), "word": pa.array(vocabulary, pa.string())})
+    parts = F.split("word", MARK, 2)
+    words = docs.sparkSession.createDataFrame(kept).where(F.col("word") != MARK).select((F.get(parts, 1) if len(langs) > 1 else F.lit(langs[0])).alias("lang"), "id", parts[0].alias("term"))
     vector = F.unwrap_udt("_vector")
     entries = model.transform(named).select("lang", "source", F.explode(F.arrays_zip(vector["indices"].alias("i"), vector["values"].alias("v"))).alias("_e"))
-    sums = entries.groupBy("lang", "source", F.col("_e.i").alias("_index")).agg(F.sum(F.col("_e.v").cast("long")).alias("n"))
-    return sums.join(words, "_index").select("lang", "source", "term", "n")
+    entries = entries.select("lang", "source", F.col("_e.i").cast("long").alias("id"), F.col("_e.v").cast("long").alias("n")).where(F.col("id") != vocabulary.index(MARK))
+    return entries.groupBy("lang", "source", "id").agg(F.sum("n").alias("n")), words
 
 
-def shuffled_sums(docs: DataFrame, rules: DivergenceRules) -> DataFrame:
+def shuffled_sums(docs: DataFrame, rules: DivergenceRules) -> tuple[DataFrame, DataFrame]:
     """The same by shuffles, for vocabularies of any size."""
     found = terms(F.col("text"))
     each = F.concat(F.transform(found, lambda t: F.struct(t.alias("t"), F.lit(1).alias("n"), F.lit(0).alias("d"))), F.transform(F.array_distinct(found), lambda t: F.struct(t.alias("t"), F.lit(0).alias("n"), F.lit(1).alias("d"))))
-    sums = docs.select("lang", "source", F.explode(each).alias("_e")).groupBy("lang", "source", F.col("_e.t").alias("term")).agg(F.sum("_e.n").alias("n"), F.sum("_e.d").alias("_d"))
-    return sums.withColumn("_all", F.sum("_d").over(Window.partitionBy("lang", "term"))).where(F.col("_all") >= rules.min_documents).select("lang", "source", "term", "n")
+    sums = docs.select("lang", "source", F.explode(each).alias("_e")).groupBy("lang", "source", F.col("_e.t").alias("term")).agg(F.sum("_e.n").alias("n"), F.sum("_e.d").alias("d"))
+    sums = written(sums)
+    words = sums.groupBy("lang", "term").agg(F.sum("d").alias("d")).where(F.col("d") >= rules.min_documents)
+    words = written(ranked(words.select("lang", "term"), "lang", "term").select("lang", F.col("rank").alias("id"), "term"))
+    return sums.join(words, ["lang", "term"]).select("lang", "source", "id", "n"), words
 
 
-def term_sums(docs: DataFrame, rules: DivergenceRules = DivergenceRules()) -> DataFrame:
-    """(lang, source, term, n): occurrences of each language's kept terms in each of its sources that has them."""
+def term_sums(docs: DataFrame, rules: DivergenceRules = DivergenceRules()) -> tuple[DataFrame, DataFrame]:
+    """Sums (lang, source, id, n): occurrences of each language's kept terms in each of its sources that has them; and the terms (lang, id, term)."""
     docs = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    packed = fits(docs, rules)
-    sums = shuffled_sums(docs.where(~F.col("lang").isin([lang for langs in packed for lang in langs])), rules)
-    for langs in packed:
-        sums = sums.union(vector_sums(docs, langs, rules))
-    return sums
+    fitted = {tuple(langs): vector_sums(docs, langs, rules) for langs in fits(docs, rules)}
+    done = [lang for langs, found in fitted.items() if found for lang in langs]
+    parts = [found for found in fitted.values() if found]
+    if len(done) < sum(map(len, fitted)) or len(done) >= rules.fit_languages or not done:
+        parts.append(shuffled_sums(docs.where(~F.col("lang").isin(done)), rules))
+    sums, words = zip(*parts, strict=True)
+    return reduce(DataFrame.union, sums), reduce(DataFrame.union, words)
 
 
 def _share(count: Column) -> Column:
@@ -121,14 +126,15 @@ def divergence(docs: DataFrame, rules: DivergenceRules = DivergenceRules()) -> D
     The pair part has as many rows as there are ordered pairs of sources in a language.
     """
     group = ["lang", "source"]
-    by_term = Window.partitionBy("lang", "term")
-    sums = written(term_sums(docs, rules).withColumn("in_lang", F.sum("n").over(by_term)).withColumn("_first", F.row_number().over(by_term.orderBy("source")) == 1))
-    langs = sums.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.count_if("_first").alias("v"))
+    sums, words = term_sums(docs, rules)
+    sums = written(sums)
+    totals = written(sums.groupBy("lang", "id").agg(F.sum("n").alias("in_lang")))
+    langs = totals.groupBy("lang").agg(F.sum("in_lang").alias("lang_total"), F.count("*").alias("v"))
     named = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in group]).distinct()
     groups = named.join(sums.groupBy(*group).agg(F.sum("n").alias("total")), group, "left").join(langs, "lang", "left").fillna(0)
     groups = written(groups.withColumn("p0", _share(F.lit(0))))
-    shares = sums.join(groups, group).withColumn("p", _share(F.col("n"))).withColumn("total", F.col("lang_total"))
-    shares = written(shares.select(*group, "term", "p", "p0", _share(F.col("in_lang")).alias("q")))
+    shares = sums.join(totals, ["lang", "id"]).join(groups, group).withColumn("p", _share(F.col("n"))).withColumn("total", F.col("lang_total"))
+    shares = written(shares.select(*group, "id", "p", "p0", _share(F.col("in_lang")).alias("q")))
 
     other = groups.select("lang", F.col("source").alias("item"), F.col("p0").alias("q0"))
     pairs = groups.where("v > 0").select("lang", "source", "p0", "v").join(other, "lang").where("source <> item").withColumn("f00", _f("p0", "q0"))
@@ -136,8 +142,8 @@ def divergence(docs: DataFrame, rules: DivergenceRules = DivergenceRules()) -> D
     exact = lambda c: F.sum(c.cast("decimal(38,0)")).alias("value")
     mine = pairs.join(histogram, group).groupBy(*group, "item").agg(exact(F.col("n") * (_f("p", "q0") - F.col("f00"))))
     theirs = pairs.join(histogram.withColumnRenamed("source", "item"), ["lang", "item"]).groupBy(*group, "item").agg(exact(F.col("n") * (_f("p0", "p") - F.col("f00"))))
-    left, right = shares.drop("q"), shares.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"), F.col("p0").alias("q0"))
-    both = left.join(right, ["lang", "term"]).where("source < item")
+    left, right = shares.drop("q"), shares.select("lang", "id", F.col("source").alias("item"), F.col("p").alias("q"), F.col("p0").alias("q0"))
+    both = left.join(right, ["lang", "id"]).where("source < item")
     forth, back = _f("p", "q") - _f("p", "q0") - _f("p0", "q") + _f("p0", "q0"), _f("q", "p") - _f("q", "p0") - _f("q0", "p") + _f("q0", "p0")
     shared = both.groupBy(*group, "item").agg(F.sum(forth).alias("forth"), F.sum(back).alias("back"))
     shared = shared.select("lang", F.explode(F.array(F.struct("source", "item", F.col("forth").alias("value")), F.struct(F.col("item").alias("source"), F.col("source").alias("item"), F.col("back").alias("value")))).alias("_e")).select("lang", "_e.*")
@@ -145,8 +151,11 @@ def divergence(docs: DataFrame, rules: DivergenceRules = DivergenceRules()) -> D
     summed = none.union(mine).union(theirs).union(shared.select(*group, "item", F.col("value").cast("decimal(38,0)"))).groupBy(*group, "item").agg(F.sum("value").cast("long").alias("value"))
     order = Window.partitionBy(*group).orderBy(F.desc("value"), "item")
     pair = summed.select(*group, F.lit("pair").alias("part"), "item", "value", F.row_number().over(order).alias("rank"))
-    above = shares.where("p > q").select(*group, F.lit("term").alias("part"), F.col("term").alias("item"), _f("p", "q").alias("value"))
-    return pair.union(above.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rules.ranks))
+    above = shares.where("p > q").select(*group, "id", _f("p", "q").alias("value"))
+    # ties at the last rank stay until the terms are known
+    first = above.withColumn("rank", F.rank().over(Window.partitionBy(*group).orderBy(F.desc("value")))).where(F.col("rank") <= rules.ranks)
+    named = first.join(words, ["lang", "id"]).select(*group, F.lit("term").alias("part"), F.col("term").alias("item"), "value")
+    return pair.union(named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rules.ranks))
 
 
 #: The same in SQL, over every pair of sources and every term.

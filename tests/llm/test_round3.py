@@ -54,7 +54,7 @@ def divergent(spark, rows=ODD):
     return spark.createDataFrame([(*r, "t", 1, 2.0) for r in rows], "doc_id long, lang string, source string, text string, term string, n int, p double")
 
 
-@pytest.mark.parametrize("rules", [divergence.DivergenceRules(), divergence.DivergenceRules(fit_terms=0), divergence.DivergenceRules(fit_terms=8), divergence.DivergenceRules(ranks=2)])
+@pytest.mark.parametrize("rules", [divergence.DivergenceRules(), divergence.DivergenceRules(fit_terms=0), divergence.DivergenceRules(fit_terms=4), divergence.DivergenceRules(own_fits=1, shared_fit=3), divergence.DivergenceRules(fit_languages=1), divergence.DivergenceRules(ranks=2)])
 def test_divergence_odd_rows(spark, rules):
     """In one fit, by shuffles alone, and with languages dealt to fits and shuffles."""
     docs = divergent(spark)
@@ -72,13 +72,15 @@ def test_divergence_fits(spark):
     """One fit over several languages gives what a fit of each language gives, and what shuffles give."""
     docs = table(spark, "documents").select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
     rules = divergence.DivergenceRules()
-    packed = divergence.fits(docs, rules)
-    assert sum(len(langs) for langs in packed) == docs.select("lang").distinct().count() and len(packed) == 1
-    rows = lambda df: sorted(map(tuple, df.collect()))
-    together = rows(divergence.vector_sums(docs, packed[0], rules))
-    assert together == sorted(r for lang in packed[0] for r in rows(divergence.vector_sums(docs, [lang], rules))) == rows(divergence.shuffled_sums(docs, rules))
-    most = max(n for n in divergence.fits(docs, divergence.DivergenceRules(fit_languages=2)))
-    assert len(most) == 2
+    langs = [lang for one in divergence.fits(docs, rules) for lang in one]
+    assert len(langs) == docs.select("lang").distinct().count() == 4
+    assert [len(one) for one in divergence.fits(docs, divergence.DivergenceRules(own_fits=1, shared_fit=2, fit_languages=4))] == [1, 2, 1]
+    rows = lambda found: sorted(map(tuple, found[0].join(found[1], ["lang", "id"]).select("lang", "source", "term", "n").collect()))
+    together = rows(divergence.vector_sums(docs, langs, rules))
+    assert together == sorted(r for lang in langs for r in rows(divergence.vector_sums(docs, [lang], rules))) == rows(divergence.shuffled_sums(docs, rules))
+    kept = len({r[:1] + r[2:3] for r in together if r[0] == "en"})
+    assert divergence.vector_sums(docs, ["en"], divergence.DivergenceRules(fit_terms=kept)) is not None
+    assert divergence.vector_sums(docs, ["en"], divergence.DivergenceRules(fit_terms=kept - 1)) is None
 
 
 # 12. WARC
