@@ -77,12 +77,13 @@ def vector_sums(docs: DataFrame, langs: list[str], rules: DivergenceRules) -> tu
     vocabulary = model.vocabulary
     if len(vocabulary) > rules.fit_terms + 1:
         return None
+    mark = vocabulary.index(MARK)
     kept = pa.table({"id": pa.array(range(len(vocabulary)), pa.int64()), "word": pa.array(vocabulary, pa.string())})
     parts = F.split("word", MARK, 2)
     words = docs.sparkSession.createDataFrame(kept).where(F.col("word") != MARK).select((F.get(parts, 1) if len(langs) > 1 else F.lit(langs[0])).alias("lang"), "id", parts[0].alias("term"))
     vector = F.unwrap_udt("_vector")
     entries = model.transform(named).select("lang", "source", F.explode(F.arrays_zip(vector["indices"].alias("i"), vector["values"].alias("v"))).alias("_e"))
-    entries = entries.select("lang", "source", F.col("_e.i").cast("long").alias("id"), F.col("_e.v").cast("long").alias("n")).where(F.col("id") != vocabulary.index(MARK))
+    entries = entries.select("lang", "source", F.col("_e.i").cast("long").alias("id"), F.col("_e.v").cast("long").alias("n")).where(F.col("id") != mark)
     return entries.groupBy("lang", "source", "id").agg(F.sum("n").alias("n")), words
 
 
@@ -110,8 +111,10 @@ def term_sums(docs: DataFrame, rules: DivergenceRules = DivergenceRules()) -> tu
 
 
 def _share(count: Column) -> Column:
-    """p of a count where ``total`` is N and ``v`` is V."""
-    return 1 + F.call_function("div", F.lit(10**9).cast("decimal(10,0)") * (count + 1).cast("decimal(20,0)"), F.nullif((F.col("total") + F.col("v")).cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)")))
+    """p of a count where ``total`` is N and ``v`` is V; null where both are 0. Counts beyond nine digits are multiplied as decimals."""
+    n, all_of = (count + 1).cast("long"), F.nullif(F.col("total") + F.col("v"), F.lit(0))
+    wide = F.call_function("div", F.lit(10**9).cast("decimal(10,0)") * n.cast("decimal(20,0)"), all_of.cast("decimal(20,0)"))
+    return 1 + F.when(n <= 9 * 10**9, F.call_function("div", F.lit(10**9).cast("long") * n, all_of)).otherwise(wide)
 
 
 def _f(p: str, q: str) -> Column:
