@@ -84,7 +84,8 @@ def vector_sums(docs: DataFrame, langs: list[str], rules: DivergenceRules) -> tu
     vector = F.unwrap_udt("_vector")
     entries = model.transform(named).select("lang", "source", F.explode(F.arrays_zip(vector["indices"].alias("i"), vector["values"].alias("v"))).alias("_e"))
     entries = entries.select("lang", "source", F.col("_e.i").cast("long").alias("id"), F.col("_e.v").cast("long").alias("n")).where(F.col("id") != mark)
-    return entries.groupBy("lang", "source", "id").agg(F.sum("n").alias("n")), words
+    # written at once, so that the driver lets go of the vocabulary and the model before the next fit
+    return written(entries.groupBy("lang", "source", "id").agg(F.sum("n").alias("n"))), written(words)
 
 
 def shuffled_sums(docs: DataFrame, rules: DivergenceRules) -> tuple[DataFrame, DataFrame]:
@@ -95,7 +96,7 @@ def shuffled_sums(docs: DataFrame, rules: DivergenceRules) -> tuple[DataFrame, D
     sums = written(sums)
     words = sums.groupBy("lang", "term").agg(F.sum("d").alias("d")).where(F.col("d") >= rules.min_documents)
     words = written(ranked(words.select("lang", "term"), "lang", "term").select("lang", F.col("rank").alias("id"), "term"))
-    return sums.join(words, ["lang", "term"]).select("lang", "source", "id", "n"), words
+    return written(sums.join(words, ["lang", "term"]).select("lang", "source", "id", "n")), words
 
 
 def term_sums(docs: DataFrame, rules: DivergenceRules = DivergenceRules()) -> tuple[DataFrame, DataFrame]:
@@ -130,7 +131,6 @@ def divergence(docs: DataFrame, rules: DivergenceRules = DivergenceRules()) -> D
     """
     group = ["lang", "source"]
     sums, words = term_sums(docs, rules)
-    sums = written(sums)
     totals = written(sums.groupBy("lang", "id").agg(F.sum("n").alias("in_lang")))
     langs = totals.groupBy("lang").agg(F.sum("in_lang").alias("lang_total"), F.count("*").alias("v"))
     named = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in group]).distinct()
