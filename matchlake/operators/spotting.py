@@ -26,13 +26,32 @@ CHUNK_ROWS = 100_000
 def suppress_window(pred: DataFrame, window: int, *keys: str) -> DataFrame:
     """Predictions without those that have a stronger one of their key at another frame within ``window``.
 
-    A suppressed prediction still suppresses others; predictions of one frame leave each other be.
+    A suppressed prediction still suppresses others; predictions of one frame leave each other be. Those without a
+    frame are kept, those without a confidence are not.
+
+    Frames are cut into blocks of window width, which also split a hot key. A window around a frame is the rest of its
+    block on either side, and the end of the block before and the beginning of the one after; a prediction
+    asks for the last two where they are. So all maxima run from a block's border, and none slides.
     """
-    by = Window.partitionBy(*keys).orderBy("frame")
-    before = F.max("confidence").over(by.rangeBetween(-window, -1))
-    after = F.max("confidence").over(by.rangeBetween(1, window))
-    strongest = F.coalesce(F.greatest(before, after), F.lit(float("-inf")))
-    return pred.withColumn("_near", strongest).where("confidence >= _near").drop("_near")
+    if window < 1:
+        return pred.where("confidence IS NOT NULL")
+    row = F.struct(*[F.col(f"`{c}`") for c in pred.columns])
+    none = F.lit(None).cast(pred.select(row.alias("_row")).schema["_row"].dataType)
+    asked = F.array(*[F.struct(F.lit(side).alias("side"), (row if side == 0 else none).alias("row")) for side in (0, -1, 1)])
+    own = [F.col(f"`{k}`").alias(f"_key{i}") for i, k in enumerate(keys)]
+    names = [f"_key{i}" for i in range(len(keys))]
+    laid = pred.select(*own, F.col("frame").cast("long").alias("_frame"), F.col("confidence").alias("_confidence"), F.explode(asked).alias("_a")).select(
+        *names, "_frame", F.col("_a.side").alias("_side"), F.col("_a.row").alias("_row"), (F.col("_frame") + window * F.col("_a.side")).alias("_at"), F.when(F.col("_a.side") == 0, F.col("_confidence")).alias("_value")
+    )
+    block = F.call_function("div", F.col("_at") - F.pmod("_at", F.lit(window)), F.lit(window))
+    up = Window.partitionBy(*names, "_block").orderBy("_at")
+    down = Window.partitionBy(*names, "_block").orderBy(F.desc("_at"))
+    reach = lambda by, to: F.max("_value").over(by.rangeBetween(Window.unboundedPreceding, to))
+    beside = F.when(F.col("_side") == 0, F.greatest(reach(up, -1), reach(down, -1))).when(F.col("_side") < 0, reach(down, 0)).otherwise(reach(up, 0))
+    near = laid.where("_frame IS NOT NULL").withColumn("_block", block).withColumn("_near", beside)
+    strongest = F.max("_near").over(Window.partitionBy(*names, "_frame"))
+    kept = near.withColumn("_near", strongest).where("_side = 0").where("_row.confidence >= coalesce(_near, double('-infinity'))")
+    return kept.select("_row.*").union(pred.where("frame IS NULL AND confidence IS NOT NULL"))
 
 
 def suppress_greedy(pred: DataFrame, window: int, least: float, *keys: str) -> DataFrame:

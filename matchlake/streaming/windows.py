@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.spotting import suppress_window
-
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """The events files at ``path`` as a stream; time as a timestamp, which watermarks need."""
@@ -31,15 +29,6 @@ def sessions(events: DataFrame, gap: str = "2 hours", late: str = "1 hour") -> D
     return counted.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
 
 
-def suppress_batches(pred: DataFrame, window: int, folder: str, checkpoint: str):
-    """Starts a query that suppresses each micro-batch's predictions and adds the survivors to a Parquet folder."""
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        suppress_window(batch, window, "video", "label").withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(folder)
-
-    return pred.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def latest(stream: DataFrame, folder: str, checkpoint: str) -> None:
     """Runs an aggregating stream over all that is there, each result replacing the one before in a Parquet folder."""
 

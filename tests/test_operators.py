@@ -13,7 +13,6 @@ from matchlake.functions import sizes
 from matchlake.functions.ranks import ranked
 from matchlake.operators import alignment, graph, packing, records, sampling, spotting
 from matchlake.sources import documents, sinks
-from matchlake.streaming import windows
 from pyspark.sql import functions as F
 
 PRED = "video long, label string, frame long, confidence double, ord long"
@@ -221,14 +220,6 @@ def test_shards_round_trip(spark, tmp_path):
     assert back == {"s0": {"id": "s0", "n": 5}, "sample_000001": {"n": 2}}
 
 
-def test_stream_suppression(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "a", 10, 0.5, 0), (1, "a", 12, 0.9, 1), (2, "a", 10, 0.2, 2)], PRED)
-    rows.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(PRED).parquet(str(tmp_path / "in"))
-    windows.suppress_batches(stream, 5, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    assert {r.ord for r in spark.read.parquet(str(tmp_path / "out")).collect()} >= {1, 2}
-
-
 def test_draws_carry_their_own_row(spark):
     """Keys with many rows: each draw comes out once, with the row it drew, in proportion to the weights."""
     rows = [(k % 7, k, "ab"[k % 3 == 0]) for k in range(210)]
