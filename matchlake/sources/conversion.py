@@ -22,37 +22,31 @@ from pyspark.sql import functions as F
 from ..functions import sizes
 from ..functions.ranks import cut_lineage
 from ..operators import packing
+from . import large_json
 from .documents import located, shards
 from .sinks import dataset_rows, write_through
 
 SAMPLE = "header string, sample_index long, sample_id string, payload string, sidecar_bytes long, inputs array<struct<type: string, path: string>>"
-#: Samples that a task hands on at once.
-SLICE = 1000
 
 
 def samples(spark: SparkSession, path: str) -> DataFrame:
     """(header, sample_index, sample_id, payload, sidecar_bytes, inputs) of a document; inputs without a path are left out.
 
-    A JSON document is read in one task; ``payload`` is the sample as it stands, in compact JSON.
+    The document is read by ranges of its bytes; ``payload`` is the sample as it stands, in compact JSON.
     """
+    header, rows = large_json.elements(spark, path)
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compact = lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"))
         for frame in frames:
-            for text in frame["value"]:
-                document = json.loads(text)
-                data = document.pop("data", [])
-                if not isinstance(data, list):
-                    raise ValueError("the document's data must be a list")
-                header = compact(document)
-                for start in range(0, len(data), SLICE):
-                    rows = []
-                    for k, sample in enumerate(data[start : start + SLICE], start):
-                        inputs = [{"type": str(i.get("type", "")).strip(), "path": str(i["path"])} for i in _named_inputs(sample)]
-                        rows.append((header, k, sample.get("id", f"sample_{k:06d}"), compact(sample), len(_sidecar(sample)), inputs))
-                    yield pd.DataFrame(rows, columns=["header", "sample_index", "sample_id", "payload", "sidecar_bytes", "inputs"])
-
-    return spark.read.text(path, wholetext=True).mapInPandas(read, SAMPLE)
+            out = []
+            for k, value in zip(frame["element"].tolist(), frame["value"], strict=True):
+                sample = json.loads(value)
+                inputs = [{"type": str(i.get("type", "")).strip(), "path": str(i["path"])} for i in _named_inputs(sample)]
+                out.append((header, k, sample.get("id", f"sample_{k:06d}"), compact(sample), len(_sidecar(sample)), inputs))
+            yield pd.DataFrame(out, columns=["header", "sample_index", "sample_id", "payload", "sidecar_bytes", "inputs"])
+
+    return rows.mapInPandas(read, SAMPLE)
 
 
 def _sidecar(sample: dict) -> bytes:
