@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import alignment as A
-from .base import PREDICTIONS, predictions, query, table
+from ..sources import games
+from .base import PREDICTIONS, micros, predictions, query, table
 
 
 @query("""WITH l AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_id % 5 = 0), r AS (SELECT event_id AS o, user_id, epoch_us(ts) AS t FROM events WHERE event_id % 5 <> 0),
@@ -133,3 +134,27 @@ def stitch_chunks(spark, sf_dir):
     chunks = videos.select("video", number(6).alias("k")).select("video", "k", number(20).alias("offset"))
     chunks = chunks.select("video", (F.col("k") * 12).alias("start"), "offset", ((F.col("video") * 7 + F.col("k") * 31 + F.col("offset")) % 97).alias("value"))
     return A.stitch(chunks, 20, 4)
+
+
+#: Users as games: odd events in the second half, a half ends a day before its last event, every third event is not shown.
+HALVES = """WITH l AS (SELECT user_id AS game, event_id AS ord, event_type AS label, (event_id % 2 + 1)::INTEGER AS half, (epoch_us(ts) // 60000000)::BIGINT AS t, event_id % 3 > 0 AS visible FROM events),
+z AS (SELECT *, t - min(t) OVER (PARTITION BY game, half) AS frame FROM l), n AS (SELECT game, half, max(frame) - 1440 AS frames FROM z GROUP BY ALL)
+"""
+
+
+def _halves(spark, sf_dir):
+    minute, half = F.floor(micros() / 60_000_000).cast("long"), (F.col("event_id") % 2 + 1).cast("int")
+    labels = table(spark, sf_dir, "events").select(F.col("user_id").alias("game"), F.col("event_id").alias("ord"), F.col("event_type").alias("label"), half.alias("half"), minute.alias("t"), (F.col("event_id") % 3 > 0).alias("visible"))
+    first = labels.groupBy("game", "half").agg(F.min("t").alias("t0"), (F.max("t") - F.min("t") - 1440).alias("frames"))
+    return labels.join(first, ["game", "half"]).withColumn("frame", F.col("t") - F.col("t0")).drop("frames", "t", "t0"), first.select("game", "half", "frames")
+
+
+@query(HALVES + """SELECT game, half, frame, label, arg_max(CASE WHEN visible THEN 1 ELSE -1 END, ord)::INTEGER AS value FROM (SELECT game, half, label, ord, visible, least(frame, frames - 1) AS frame FROM z JOIN n USING (game, half) WHERE frames > 0) GROUP BY ALL""")
+def half_frame_labels(spark, sf_dir):
+    return games.half_frame_labels(*_halves(spark, sf_dir))
+
+
+@query(HALVES + """, c AS (SELECT game, half, unnest(range(ceil((frames - 1) / 720.0)::BIGINT)) AS clip FROM n WHERE frames > 1)
+SELECT DISTINCT game, half, clip, coalesce(z.label, 'background') AS label FROM c LEFT JOIN (SELECT game, half, frame // 720 AS clip, label FROM z) z USING (game, half, clip)""")
+def half_clip_labels(spark, sf_dir):
+    return games.half_clip_labels(*_halves(spark, sf_dir), 720)
