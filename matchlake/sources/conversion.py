@@ -23,6 +23,7 @@ from ..functions import sizes
 from ..functions.ranks import cut_lineage
 from ..operators import packing
 from . import large_json
+from .datasets import replaced
 from .documents import located, shards
 from .sinks import dataset_rows, write_through
 
@@ -82,7 +83,7 @@ def to_shards(
     Shards hold ``per_shard`` samples, or as many as fit ``shard_size`` bytes (a larger sample has one of its own).
     A missing file raises FileNotFoundError, or with missing="skip" is left out and listed as missing.
     With relative=False the payloads of the metadata name the resolved files.
-    An existing folder is refused unless ``overwrite``.
+    An existing folder is refused unless ``overwrite``; the new set takes its place when it is whole.
     """
     if missing not in ("raise", "skip"):
         raise ValueError("missing must be raise or skip")
@@ -98,10 +99,6 @@ def to_shards(
     lost = found.where("length IS NULL")
     if missing == "raise" and not lost.isEmpty():
         raise FileNotFoundError(", ".join(r.path for r in lost.select("path").limit(5).collect()))
-    if there:
-        store.delete_dir(place)
-    store.create_dir(f"{place}/shards", recursive=True)
-
     held = found.groupBy("sample_index").agg(F.sum(sizes.tar_member(F.col("length"))).alias("media"))
     sized = read.join(held, "sample_index", "left").select("sample_index", (sizes.tar_member(F.col("sidecar_bytes")) + F.coalesce("media", F.lit(0))).cast("long").alias("bytes"))
     if per_shard is not None:
@@ -121,12 +118,12 @@ def to_shards(
     members = cut_lineage(members)
     files = members.where("status = 'ok'").groupBy("sample_index").agg(F.array_sort(F.collect_list(F.struct("input_index", F.col("wds_member").alias("member"), F.col("full").alias("path")))).alias("files"))
     whole = cut_lineage(read.join(packed, "sample_index").join(files, "sample_index", "left"))
-    written = _write_tars(whole.select(name.alias("shard_name"), "sample_index", "payload", "files"), f"{folder.rstrip('/')}/shards")
-
     rows = whole if relative else _resolved(whole)
     meta = dataset_rows(rows, F.col("header")).withColumn("suggested_shard_pattern", F.lit("shard-%06d.tar"))
-    meta.write.option("compression", compression).parquet(f"{folder.rstrip('/')}/metadata.parquet")
-    members.drop("full", "sample_index").write.option("compression", compression).parquet(f"{folder.rstrip('/')}/shard_manifest.parquet")
+    with replaced(folder) as made:
+        written = _write_tars(whole.select(name.alias("shard_name"), "sample_index", "payload", "files"), f"{made}/shards")
+        meta.write.option("compression", compression).parquet(f"{made}/metadata.parquet")
+        members.drop("full", "sample_index").write.option("compression", compression).parquet(f"{made}/shard_manifest.parquet")
     done = members.agg(F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") != "ok").alias("lost")).first()
     return {"num_samples": read.count(), "num_shards": written, "input_files_added": done.ok, "missing_input_files": done.lost}
 
@@ -136,7 +133,6 @@ def _write_tars(rows: DataFrame, folder: str) -> int:
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, place = located(folder)
-        store.create_dir(place, recursive=True)
         current, tar, out, draft = None, None, None, None
 
         def close() -> None:
@@ -167,6 +163,8 @@ def _write_tars(rows: DataFrame, folder: str) -> int:
             yield pd.DataFrame({"shard_name": names})
         close()
 
+    store, place = located(folder)
+    store.create_dir(place, recursive=True)
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(tasks, "shard_name").sortWithinPartitions("shard_name", "sample_index").mapInPandas(write, "shard_name string").count()
 

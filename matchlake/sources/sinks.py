@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import io
-import tarfile
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,21 +31,6 @@ def dataset_rows(samples: DataFrame, header: str | Column) -> DataFrame:
     return samples.select(name.alias("sample_id"), F.col("sample_index").cast("long").alias("sample_index"), F.size(kept).cast("long").alias("num_inputs"), F.col("payload").alias("sample_payload"), F.format_string("shard-%06d.tar", "shard").alias("shard_name"), (F.lit(header) if isinstance(header, str) else header).alias("header"))
 
 
-def tar_shards(members: DataFrame) -> DataFrame:
-    """(shard, content): a tar file of each shard's members (shard, member, content), by name. A shard is bounded by how it was packed."""
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with tarfile.open(fileobj=out, mode="w") as tar:
-            for name, content in sorted(zip(rows["member"], rows["content"], strict=True)):
-                info = tarfile.TarInfo(name)
-                info.size = len(content)
-                tar.addfile(info, io.BytesIO(content))
-        return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "content": [out.getvalue()]})
-
-    return members.groupBy("shard").applyInPandas(pack, "shard string, content binary")
-
-
 def write_through(store, path: str, content) -> None:
     """A stream's bytes as a file, under another name until it is whole."""
     folder, draft = path.rsplit("/", 1)[0], f"{path}.{uuid.uuid4().hex}"
@@ -60,23 +41,6 @@ def write_through(store, path: str, content) -> None:
     store.move(draft, path)
 
 
-def write_shards(shards: DataFrame, folder: str) -> None:
-    """Each shard as a file of its name, written by the task that holds it through Hadoop's file systems, so any store will do."""
-
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow.fs as fs
-
-        store, path = fs.FileSystem.from_uri(folder)
-        store.create_dir(path, recursive=True)
-        for frame in frames:
-            for name, content in zip(frame["shard"], frame["content"], strict=True):
-                with store.open_output_stream(f"{path}/{name}") as out:
-                    out.write(content)
-            yield frame[["shard"]]
-
-    shards.mapInPandas(write, "shard string").count()
-
-
 def report(classes: DataFrame, labels: list[str]) -> DataFrame:
     """(metric, one column a label) with two decimals, from per-class rows (label, precision, recall, f1)."""
     long = classes.select("label", F.explode(F.create_map(*[x for m in ("precision", "recall", "f1") for x in (F.lit(m), F.col(m))])).alias("metric", "value"))
