@@ -67,7 +67,7 @@ def labels_of(kind: Column, body: Column, height: Column, passing: Column, outco
         F.when(kind == "PA", F.when(header, "HEADER").when(height == "A", "HIGH PASS").when(passing == "H", "THROW IN").otherwise("PASS")),
         F.when(kind == "CR", "CROSS"),
         F.when((kind == "SH") & header, "HEADER"), F.when(kind == "SH", "SHOT"), F.when((kind == "SH") & (outcome == "G"), "GOAL"),
-        F.when((kind == "CH") & winner.isNotNull(), "PLAYER SUCCESSFUL TACKLE"), F.when((kind == "CL") & header, "HEADER"),
+        F.when((kind == "CH") & ~F.coalesce(winner.cast("string"), F.lit("")).isin("", "0"), "PLAYER SUCCESSFUL TACKLE"), F.when((kind == "CL") & header, "HEADER"),
         F.when(game == "OUT", "OUT"), F.when(setpiece == "T", "THROW IN"), F.when(setpiece == "F", "FREE KICK"),
     ]
     return F.filter(F.array(*labels), lambda x: x.isNotNull())

@@ -62,10 +62,16 @@ def clip_windows(videos: DataFrame, frames: str, stride: int, length: int, befor
     return cells.withColumn("frame", F.greatest(F.lit(0), F.least(F.col("start") + F.col("slot") - before, n - 1))).drop("start")
 
 
-def clip_starts(videos: DataFrame, frames: str, length: int, overlap: int, pad: int) -> DataFrame:
-    """(..., start): every length - overlap from -pad while before max(0, frames - overlap)."""
-    end = F.greatest(F.lit(0), F.col(frames) - overlap)
-    return videos.select("*", F.explode(F.sequence(F.lit(-pad).cast("long"), end - 1, F.lit(length - overlap).cast("long"))).alias("start"))
+def clip_starts(videos: DataFrame, frames: str, length: int, overlap: int, pad: int, stride: int = 1, partial_end: bool = False) -> DataFrame:
+    """(..., start): every (length - overlap) strides from pad strides before the video, while before max(0, frames - overlap strides).
+
+    With ``partial_end`` starts go on to the video's end. A video that gives no clip, as it is no longer than the overlap and nothing is padded, has no rows.
+    """
+    if overlap >= length:
+        raise ValueError("clips have to be longer than their overlap")
+    end = F.greatest(F.lit(0), F.col(frames) - (0 if partial_end else overlap * stride)).cast("long")
+    first = F.lit(-pad * stride).cast("long")
+    return videos.select("*", F.explode(F.when(end > first, F.sequence(first, end - 1, F.lit((length - overlap) * stride).cast("long")))).alias("start"))
 
 
 def deltas(rows: DataFrame, keys: list[str], time: str, values: list[str], missing: float) -> DataFrame:
@@ -89,16 +95,28 @@ def tumbling_labels(events: DataFrame, size: int) -> DataFrame:
     return events.select("video", F.floor(F.col("frame") / size).alias("clip"), "label").distinct()
 
 
-def shift_labels(frames: DataFrame, events: DataFrame, k: tuple[int, int, int, int]) -> DataFrame:
-    """(video, label, frame, shift): the signed distance to the last or the next event, by four bounds k1 < k2 <= 0 < k3 < k4.
+Bounds = tuple[int, int, int, int]
+
+
+def _by_label(of: dict[str, Bounds] | Bounds, k: int) -> Column:
+    """The k-th bound, of the row's label if each has its own; the labels are few, as the caller lists them."""
+    if not isinstance(of, dict):
+        return F.lit(of[k])
+    return F.create_map(*[F.lit(x) for label, bounds in of.items() for x in (label, bounds[k])])[F.col("label")]
+
+
+def shift_labels(frames: DataFrame, events: DataFrame, k: dict[str, Bounds] | Bounds) -> DataFrame:
+    """(video, label, frame, shift): the signed distance to the last or the next event, by four bounds k1 < k2 <= 0 < k3 < k4, the same for all labels or by label.
 
     No event: k1 everywhere. One event: the plain offset. Otherwise the last event holds while it
     is nearer than k3; up to k4 it holds while the next is k1 away or more, or while its part of
     the way from k3 to k4 is less than the next one's from k2 to k1; then the next one holds.
     Before the first event the last is taken to be k4 before the video, after the last event the
-    next is taken to be k1 behind its end.
+    next is taken to be k1 behind its end. A label without bounds is an error.
     """
-    k1, k2, k3, k4 = k
+    if isinstance(k, dict):
+        frames = frames.where(F.when(F.col("label").isin(list(k)), True).otherwise(F.raise_error(F.concat(F.lit("no bounds for "), "label")).cast("boolean")))
+    k1, k2, k3, k4 = (_by_label(k, j) for j in range(4))
     spots = events.select("video", "label", "frame").distinct().withColumn("e", F.col("frame"))
     spine = frames.join(spots, ["video", "label", "frame"], "left")
     by, whole = Window.partitionBy("video", "label").orderBy("frame"), Window.partitionBy("video", "label")
@@ -106,16 +124,17 @@ def shift_labels(frames: DataFrame, events: DataFrame, k: tuple[int, int, int, i
     back = Window.partitionBy("video", "label").orderBy(F.desc("frame"))  # the frame grows this way
     after = F.last("e", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     read = spine.select("video", "label", "frame", last.alias("last"), after.alias("after"), F.count("e").over(whole).alias("n"), (F.max("frame").over(whole) + 1).alias("frames"))
-    a = F.col("frame") - F.coalesce("last", F.lit(-k4))
+    a = F.col("frame") - F.coalesce("last", -k4)
     b = F.col("frame") - F.coalesce(F.col("after"), F.col("frames") - k1)
-    holds = (a < k3) | ((a < k4) & ((b <= k1) | ((a - k3) / float(k4 - k3) < (k2 - b) / float(k2 - k1))))
+    holds = (a < k3) | ((a < k4) & ((b <= k1) | ((a - k3) / (k4 - k3).cast("double") < (k2 - b) / (k2 - k1).cast("double"))))
     one = F.col("frame") - F.coalesce("last", "after")
-    return read.select("video", "label", "frame", F.when(F.col("n") == 0, F.lit(k1)).when(F.col("n") == 1, one).otherwise(F.when(holds, a).otherwise(b)).cast("long").alias("shift"))
+    return read.select("video", "label", "frame", F.when(F.col("n") == 0, k1).when(F.col("n") == 1, one).otherwise(F.when(holds, a).otherwise(b)).cast("long").alias("shift"))
 
 
-def quiet_islands(shifts: DataFrame, low: int, high: int, least: int) -> DataFrame:
-    """(video, start, stop): maximal runs of frames where every label's shift is at or beyond a bound, at least so long."""
-    quiet = shifts.groupBy("video", "frame").agg(F.bool_and((F.col("shift") <= low) | (F.col("shift") >= high)).alias("quiet")).where("quiet")
+def quiet_islands(shifts: DataFrame, low: dict[str, int] | int, high: dict[str, int] | int, least: int) -> DataFrame:
+    """(video, start, stop): maximal runs of frames where every label's shift is at or beyond a bound, the same for all or by label, at least so long."""
+    bound = lambda of: _by_label({x: (v,) for x, v in of.items()} if isinstance(of, dict) else (of,), 0)
+    quiet = shifts.groupBy("video", "frame").agg(F.bool_and((F.col("shift") <= bound(low)) | (F.col("shift") >= bound(high))).alias("quiet")).where("quiet")
     run = quiet.withColumn("run", F.col("frame") - F.row_number().over(Window.partitionBy("video").orderBy("frame")))
     found = run.groupBy("video", "run").agg(F.min("frame").alias("start"), (F.max("frame") + 1).alias("stop"))
     return found.where(F.col("stop") - F.col("start") >= least).select("video", "start", "stop")

@@ -58,11 +58,12 @@ def group_events(events: DataFrame, game: str, position: str, label: str, ordina
 
 
 def label_shares(samples: DataFrame, split: str, label: str) -> DataFrame:
-    """(split, label, n, percent): by split and over all (split null); labels a split lacks count 0 there."""
+    """(split, label, n, percent): by split and over all (split null); labels a split lacks count 0 there. Samples without a split count over all only."""
     counts = samples.groupBy(split, label).count()
-    every = samples.select(split).distinct().crossJoin(F.broadcast(samples.select(label).distinct()))  # both are few
-    filled = every.join(counts, [split, label], "left").select(split, label, F.coalesce("count", F.lit(0)).alias("n"))
-    rolled = filled.unionByName(filled.groupBy(label).agg(F.sum("n").alias("n")).withColumn(split, F.lit(None).cast(samples.schema[split].dataType)))
+    every = samples.where(F.col(split).isNotNull()).select(split).distinct().crossJoin(F.broadcast(samples.select(label).distinct()))  # both are few
+    mine = counts.select(F.col(split).alias("_s"), F.col(label).alias("_l"), "count")
+    filled = every.join(mine, F.col(split).eqNullSafe(F.col("_s")) & F.col(label).eqNullSafe(F.col("_l")), "left").select(split, label, F.coalesce("count", F.lit(0)).alias("n"))
+    rolled = filled.unionByName(counts.groupBy(label).agg(F.sum("count").alias("n")).withColumn(split, F.lit(None).cast(samples.schema[split].dataType)))
     total = F.sum("n").over(Window.partitionBy(split))
     return rolled.select(split, label, "n", F.coalesce(F.try_divide(F.col("n") * 100.0, total), F.lit(0.0)).alias("percent"))
 

@@ -13,15 +13,24 @@ def flat_frames(frames: DataFrame, ids: list[str], event: str, event_fields: lis
     return frames.select(*ids, *inside, F.coalesce(F.col(other)[other_field].cast("string"), F.lit("")).alias(other_field), *texts)
 
 
-def with_positions(frames: DataFrame, players: str, team: str, positions: DataFrame) -> DataFrame:
+def with_positions(frames: DataFrame, players: str, team: str | Column, positions: DataFrame) -> DataFrame:
     """``frames`` whose players (struct with jersey) carry the ``position`` of (game, team, jersey), null where it isn't known.
 
-    positions: (game, team, jersey, position); a game's are one map, as it has no more players than its squads.
+    ``team``: each frame's team, a column or its name; where it is null, no position is known. positions: (game, team,
+    jersey, position); a game's are one map, as it has no more players than its squads.
     """
     known = positions.groupBy("game", F.col("team").alias("_team")).agg(F.map_from_entries(F.collect_list(F.struct("jersey", "position"))).alias("_known"))
-    met = frames.join(known, (frames["game"] == known["game"]) & (F.lit(team) == known["_team"]), "left").drop(known["game"])
+    named = frames.withColumn("_own", F.col(team) if isinstance(team, str) else team)
+    met = named.join(known, (named["game"] == known["game"]) & (F.col("_own") == F.col("_team")), "left").drop(known["game"])
     placed = F.transform(players, lambda p: p.withField("position", F.try_element_at("_known", p["jersey"])))
-    return met.withColumn(players, placed).drop("_team", "_known")
+    return met.withColumn(players, placed).drop("_team", "_known", "_own")
+
+
+def sided_positions(frames: DataFrame, event: str, home: str, away: str, positions: DataFrame) -> DataFrame:
+    """``frames`` with the positions of the side whose team their event (struct with home_team and team_id) names: the home players of home_team, else the away players."""
+    at_home = F.coalesce(F.col(event)["home_team"], F.lit(False))
+    own = F.col(event)["team_id"]
+    return with_positions(with_positions(frames, home, F.when(at_home, own), positions), away, F.when(~at_home, own), positions)
 
 
 def coerced(rows: DataFrame, integers: list[str], floats: list[str]) -> DataFrame:
@@ -50,8 +59,8 @@ def clip_labels(events: DataFrame, clips: DataFrame, frame: str, size: int) -> D
 
 
 def clips_with_events(labels: DataFrame, clips: DataFrame) -> DataFrame:
-    """(video, clip, n_labels, has_event) of every clip."""
-    every = clips.select("video", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_clips") - 1)).alias("clip"))
+    """(video, clip, n_labels, has_event) of every clip; a video without clips has none."""
+    every = clips.where("n_clips > 0").select("video", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_clips") - 1)).alias("clip"))
     counted = labels.groupBy("video", "clip").agg(F.count("*").alias("n_labels"))
     n = F.coalesce("n_labels", F.lit(0)).cast("long")
     return every.join(counted, ["video", "clip"], "left").select("video", "clip", n.alias("n_labels"), (n > 0).alias("has_event"))
@@ -60,6 +69,8 @@ def clips_with_events(labels: DataFrame, clips: DataFrame) -> DataFrame:
 def filled_clips(videos: DataFrame, frames: str, length: int, overlap: int, batch: int) -> DataFrame:
     """(video, place, start): clips from frame 1 on, the last one repeated until the batch is full."""
     step = length - overlap
+    if step < 1:
+        raise ValueError("clips have to be longer than their overlap")
     many = F.greatest(F.lit(1), F.ceil((F.col(frames) - overlap) / step)).cast("long")
     full = (F.ceil(many / batch) * batch).cast("long")
     rows = videos.select("video", many.alias("_n"), F.explode(F.sequence(F.lit(0).cast("long"), full - 1)).alias("place"))
@@ -95,6 +106,12 @@ def stamped(header: Column, repository: Column, branch: Column, split: Column) -
     return F.map_concat(F.map_filter(header, lambda k, _: ~F.array_contains(names, k)), mine)
 
 
+def stamp(header: Column) -> Column:
+    """Where a dataset's header says that it came from: repository, branch and split without blanks around, null where empty or missing."""
+    told = lambda name: F.nullif(F.trim(F.try_element_at(header, F.lit(name))), F.lit(""))
+    return F.struct(told("hf_repo_id").alias("repository"), told("hf_branch").alias("branch"), told("hf_split").alias("split"))
+
+
 def says(message: Column, *alternatives: tuple[str, ...]) -> Column:
     """Whether an error text holds, whatever its case, all words of one of the alternatives."""
     low = F.lower(F.coalesce(message, F.lit("")))

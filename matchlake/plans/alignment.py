@@ -56,6 +56,14 @@ def clip_enumeration(spark, sf_dir):
     return A.clip_starts(_videos(spark, sf_dir), "n", 10, 4, 5).select("video", "start")
 
 
+@query("""WITH v AS (SELECT l_orderkey AS video, l_quantity::BIGINT % 7 AS n FROM lineitem WHERE l_linenumber = 1) SELECT video, 12 * k AS start FROM v, range(3) r(k) WHERE 12 * k < greatest(0, n - 3)
+UNION ALL SELECT video, -4 + 12 * k FROM v, range(3) r(k) WHERE -4 + 12 * k < n""")
+def clip_enumeration_short(spark, sf_dir):
+    """Videos of 0 to 6 frames, at stride 1 without padding, and at stride 2 with padding and a partial end."""
+    videos = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("video"), (F.col("l_quantity").cast("long") % 7).alias("n"))
+    return A.clip_starts(videos, "n", 15, 3, 0).union(A.clip_starts(videos, "n", 9, 3, 2, stride=2, partial_end=True)).select("video", "start")
+
+
 @query(PREDICTIONS + """, x AS (SELECT video, ord, CASE WHEN ord % 11 = 0 THEN -200 ELSE confidence END AS x FROM pred), l AS (SELECT *, lag(x) OVER (PARTITION BY video ORDER BY ord) AS p FROM x)
 SELECT ord, round(CASE WHEN x = -200 THEN -200 WHEN p IS NULL OR p = -200 THEN 0 ELSE x - p END, 6) AS dx FROM l""")
 def deltas_lag(spark, sf_dir):
@@ -90,14 +98,30 @@ s AS (SELECT video, label, frame, (CASE WHEN n = 0 THEN -12 WHEN n = 1 THEN coal
 BOUNDS = (-12, -2, 4, 10)
 
 
-def _shifts(spark, sf_dir):
+def _shifts(spark, sf_dir, bounds=BOUNDS):
     quarter = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 21_600_000_000)
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("video"), F.col("event_type").alias("label"), quarter.alias("t"))
     videos = events.groupBy("video").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
     spots = events.join(videos, "video").select("video", "label", (F.col("t") - F.col("t0")).alias("frame"))
     labels = F.broadcast(events.select("label").distinct())  # the event types
     spine = videos.crossJoin(labels).select("video", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t1") - F.col("t0"))).alias("frame"))
-    return A.shift_labels(spine, spots, BOUNDS)
+    return A.shift_labels(spine, spots, bounds)
+
+
+#: Other bounds for two of the labels.
+OWN_BOUNDS = {"click": (-20, -3, 2, 7), "error": (-6, -1, 5, 8)}
+BY_LABEL = SHIFTS[: SHIFTS.index("o AS")] + """b AS (SELECT label, CASE label WHEN 'click' THEN -20 WHEN 'error' THEN -6 ELSE -12 END AS k1, CASE label WHEN 'click' THEN -3 WHEN 'error' THEN -1 ELSE -2 END AS k2,
+ CASE label WHEN 'click' THEN 2 WHEN 'error' THEN 5 ELSE 4 END AS k3, CASE label WHEN 'click' THEN 7 WHEN 'error' THEN 8 ELSE 10 END AS k4 FROM (SELECT DISTINCT event_type AS label FROM events)),
+o AS (SELECT *, frame - l AS a, frame - r AS c, coalesce(frame - l, frame + k4) AS s1, coalesce(frame - r, frame - frames + k1) AS s2 FROM x JOIN b USING (label))
+SELECT video, label, frame, (CASE WHEN n = 0 THEN k1 WHEN n = 1 THEN coalesce(a, c) WHEN s1 < k3 THEN s1 WHEN s1 < k4 AND s2 <= k1 THEN s1
+ WHEN s1 < k4 AND (s1 - k3) / (k4 - k3)::DOUBLE < (k2 - s2) / (k2 - k1)::DOUBLE THEN s1 ELSE s2 END)::BIGINT AS shift FROM o
+"""
+
+
+@query(BY_LABEL)
+def shift_labels_by_class(spark, sf_dir):
+    kinds = [r["event_type"] for r in table(spark, sf_dir, "events").select("event_type").distinct().collect()]
+    return _shifts(spark, sf_dir, {kind: OWN_BOUNDS.get(kind, BOUNDS) for kind in kinds})
 
 
 @query(SHIFTS + "SELECT * FROM s")

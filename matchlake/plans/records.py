@@ -21,7 +21,7 @@ def flat_frames(spark, sf_dir):
     frames = orders.join(players, F.col("o_orderkey") == F.col("l_orderkey")).select("l_orderkey", game, possession, "players", (F.col("o_orderkey") % 2).alias("game"))
     lines = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2")
     squad = lines.select((F.col("l_orderkey") % 2).alias("game"), F.lit("home").alias("team"), F.col("l_linenumber").cast("int").alias("jersey"), F.lit("GK").alias("position")).distinct()
-    flat = R.flat_frames(R.with_positions(frames, "players", "home", squad), ["l_orderkey"], "game_event", ["status", "customer"], "possession", "kind", ["players"])
+    flat = R.flat_frames(R.with_positions(frames, "players", F.lit("home"), squad), ["l_orderkey"], "game_event", ["status", "customer"], "possession", "kind", ["players"])
     read = F.from_json("players", "array<struct<jersey: int, x: double, position: string>>")
     total = F.aggregate(read, F.lit(0.0), lambda s, p: s + p["x"]).cast("long")
     return flat.select("l_orderkey", "status", "customer", "kind", F.size(read).cast("long").alias("n_players"), total.alias("sum_x"), F.size(F.filter(read, lambda p: p["position"] == "GK")).cast("long").alias("known"))

@@ -43,7 +43,7 @@ def gametime_compose(spark, sf_dir):
 LABELS = """WITH e AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'PA' WHEN 1 THEN 'CR' WHEN 2 THEN 'SH' WHEN 3 THEN 'CH' ELSE 'CL' END AS k, CASE WHEN event_id % 4 = 0 THEN 'HE' ELSE 'RF' END AS b, CASE WHEN event_id % 7 = 0 THEN 'A' ELSE 'G' END AS h,
  CASE WHEN event_id % 6 = 0 THEN 'H' ELSE 'S' END AS p, CASE WHEN event_id % 3 = 0 THEN 'G' ELSE 'S' END AS o, CASE WHEN event_id % 2 = 0 THEN user_id END AS w, CASE WHEN event_type = 'error' THEN 'OUT' END AS g, CASE event_type WHEN 'click' THEN 'T' WHEN 'signup' THEN 'F' END AS s FROM events)
 , labels AS (SELECT event_id, 'HEADER' AS label FROM e WHERE b = 'HE' AND k IN ('PA', 'SH', 'CL') UNION ALL SELECT event_id, CASE WHEN h = 'A' THEN 'HIGH PASS' WHEN p = 'H' THEN 'THROW IN' ELSE 'PASS' END FROM e WHERE k = 'PA' AND b <> 'HE'
-UNION ALL SELECT event_id, 'CROSS' FROM e WHERE k = 'CR' UNION ALL SELECT event_id, 'SHOT' FROM e WHERE k = 'SH' UNION ALL SELECT event_id, 'GOAL' FROM e WHERE k = 'SH' AND o = 'G' UNION ALL SELECT event_id, 'PLAYER SUCCESSFUL TACKLE' FROM e WHERE k = 'CH' AND w IS NOT NULL
+UNION ALL SELECT event_id, 'CROSS' FROM e WHERE k = 'CR' UNION ALL SELECT event_id, 'SHOT' FROM e WHERE k = 'SH' UNION ALL SELECT event_id, 'GOAL' FROM e WHERE k = 'SH' AND o = 'G' UNION ALL SELECT event_id, 'PLAYER SUCCESSFUL TACKLE' FROM e WHERE k = 'CH' AND coalesce(w, 0) <> 0
 UNION ALL SELECT event_id, 'OUT' FROM e WHERE g = 'OUT' UNION ALL SELECT event_id, 'THROW IN' FROM e WHERE s = 'T' UNION ALL SELECT event_id, 'FREE KICK' FROM e WHERE s = 'F')
 """
 

@@ -34,3 +34,35 @@ def test_packing_equals_the_fold(spark, monkeypatch, limit, shards):
 
 def test_packing_of_nothing(spark):
     assert packing.pack_by_size(spark.createDataFrame([], "g string, k long, m long"), "g", "k", "m", 40_960).count() == 0
+
+
+def test_short_videos(spark):
+    """Videos shorter than a clip or its overlap have no clips rather than wrong ones."""
+    from matchlake.operators import alignment, records
+
+    videos = spark.createDataFrame([(n, n) for n in (0, 1, 3, 4, 9)], "video long, n long")
+    starts = lambda **k: sorted((r.video, r.start) for r in alignment.clip_starts(videos, "n", 5, 3, **k).collect())
+    assert starts(pad=0) == [(4, 0), (9, 0), (9, 2), (9, 4)]
+    loop = lambda n, pad, stride, whole: list(range(-pad * stride, max(0, n - 3 * stride * whole), 2 * stride))
+    for pad, stride, partial in ((1, 1, False), (2, 2, True), (0, 3, True)):
+        assert starts(pad=pad, stride=stride, partial_end=partial) == [(n, k) for n in (0, 1, 3, 4, 9) for k in loop(n, pad, stride, not partial)]
+    clips = spark.createDataFrame([(1, 0), (2, 2)], "video long, n_clips long")
+    labels = spark.createDataFrame([(2, 1, "x")], "video long, clip long, label string")
+    assert sorted(tuple(r) for r in records.clips_with_events(labels, clips).collect()) == [(2, 0, 0, False), (2, 1, 1, True)]
+    for call in (lambda: alignment.clip_starts(videos, "n", 3, 3, 0), lambda: records.filled_clips(videos, "n", 3, 3, 8)):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_positions_of_the_side_that_the_event_names(spark):
+    from matchlake.operators import annotations, records
+    from pyspark.sql import functions as F
+
+    frames = spark.createDataFrame([(1, "g", (True, "t1"), [("7",)], [("7",)]), (2, "g", (False, "t2"), [("7",)], [("7",)]), (3, "g", None, [("7",)], [("9",)])], "n int, game string, game_event struct<home_team: boolean, team_id: string>, homePlayers array<struct<jersey: string>>, awayPlayers array<struct<jersey: string>>")
+    squad = spark.createDataFrame([("g", "t1", "7", "GK"), ("g", "t2", "7", "CB")], "game string, team string, jersey string, position string")
+    got = {r.n: (r.homePlayers[0].position, r.awayPlayers[0].position) for r in records.sided_positions(frames, "game_event", "homePlayers", "awayPlayers", squad).collect()}
+    assert got == {1: ("GK", None), 2: (None, "CB"), 3: (None, None)}
+    header = spark.createDataFrame([({"hf_repo_id": " a/b ", "hf_branch": "", "x": "y"},)], "h map<string,string>")
+    assert tuple(header.select(records.stamp(F.col("h")).alias("s")).first().s) == ("a/b", None, None)
+    shares = annotations.label_shares(spark.createDataFrame([("a", "x"), ("a", "y"), (None, "x"), (None, None)], "split string, label string"), "split", "label")
+    assert sorted((str(r.split), str(r.label), r.n, r.percent) for r in shares.collect()) == [("None", "None", 1, 25.0), ("None", "x", 2, 50.0), ("None", "y", 1, 25.0), ("a", "None", 0, 0.0), ("a", "x", 1, 50.0), ("a", "y", 1, 50.0)]
