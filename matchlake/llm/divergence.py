@@ -22,16 +22,16 @@ rows count as documents of their own; an empty table gives no row.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import ranked
-from .common import written
+from .common import shared_folder, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What lies between terms: controls, blanks, digits and signs of ASCII.
@@ -74,13 +74,16 @@ def vector_sums(docs: DataFrame, langs: list[str], rules: DivergenceRules) -> tu
     # the mark alone stands in each document, so that no vocabulary is empty
     named = docs.where(F.col("lang").isin(langs)).select("lang", "source", F.array_append(found, F.lit(MARK)).alias("_terms"))
     model = CountVectorizer(inputCol="_terms", outputCol="_vector", minDF=float(rules.min_documents), vocabSize=min(rules.fit_terms, 2**31 - 3) + 2).fit(named.select("_terms"))
-    vocabulary = model.vocabulary
-    if len(vocabulary) > rules.fit_terms + 1:
+    # the vocabulary goes from the model's own file to a table, and never through Python
+    place = f"{shared_folder(docs.sparkSession)}/model-{uuid.uuid4().hex}"
+    model.save(place)
+    saved = docs.sparkSession.read.parquet(f"{place}/data")
+    if saved.select(F.size("vocabulary")).first()[0] > rules.fit_terms + 1:
         return None
-    mark = vocabulary.index(MARK)
-    kept = pa.table({"id": pa.array(range(len(vocabulary)), pa.int64()), "word": pa.array(vocabulary, pa.string())})
+    kept = saved.select(F.posexplode("vocabulary").alias("id", "word")).select(F.col("id").cast("long"), "word")
+    mark = kept.where(F.col("word") == MARK).first()["id"]
     parts = F.split("word", MARK, 2)
-    words = docs.sparkSession.createDataFrame(kept).where(F.col("word") != MARK).select((F.get(parts, 1) if len(langs) > 1 else F.lit(langs[0])).alias("lang"), "id", parts[0].alias("term"))
+    words = kept.where(F.col("word") != MARK).select((F.get(parts, 1) if len(langs) > 1 else F.lit(langs[0])).alias("lang"), "id", parts[0].alias("term"))
     vector = F.unwrap_udt("_vector")
     entries = model.transform(named).select("lang", "source", F.explode(F.arrays_zip(vector["indices"].alias("i"), vector["values"].alias("v"))).alias("_e"))
     entries = entries.select("lang", "source", F.col("_e.i").cast("long").alias("id"), F.col("_e.v").cast("long").alias("n")).where(F.col("id") != mark)
