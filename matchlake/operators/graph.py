@@ -116,6 +116,61 @@ def _nearest_points(shared: Broadcast, k: int, slice_rows: int = 1024) -> Callab
     return run
 
 
+def neighbour_features(found: DataFrame, points: DataFrame, style: str = "offset") -> DataFrame:
+    """(id, rank, feature) of neighbours (id, neighbour, rank): the neighbour's vector less the own and then the own ("offset"), the neighbour's and the own ("both"), or the neighbour's ("neighbour")."""
+    theirs = found.join(points.select(F.col("id").alias("neighbour"), F.col("v").alias("_theirs")), "neighbour")
+    own = points.select("id", F.col("v").alias("_own"))
+    parts = {"offset": F.concat(F.zip_with("_theirs", "_own", lambda x, y: x - y), "_own"), "both": F.concat("_theirs", "_own"), "neighbour": F.col("_theirs")}
+    return theirs.join(own, "id").select("id", "rank", parts[style].alias("feature"))
+
+
+def attention_pooled(vectors: DataFrame, keys: list[str], vector: str, score: str) -> DataFrame:
+    """(keys, dim, value): the rows of a key added up, weighted by the softmax of their scores in it. A row without a score weighs nothing."""
+    most = F.max(score).over(Window.partitionBy(*keys))
+    weighed = vectors.where(F.col(score).isNotNull()).withColumn("_w", F.exp(F.col(score) - most))
+    each = weighed.select(*keys, "_w", F.posexplode(vector).alias("dim", "x"))
+    return each.groupBy(*keys, "dim").agg((F.sum(F.col("x") * F.col("_w")) / F.sum("_w")).alias("value"))
+
+
+def vlad_pooled(vectors: DataFrame, keys: list[str], vector: str, centres: DataFrame, residual: bool = True) -> DataFrame:
+    """(keys, centre, dim, value): soft assignments of the rows of a key to given centres, summed, of length 1 for each centre and then for the key.
+
+    centres: (centre, w, b, c), whose assignment scores are w x + b and, softmaxed over the centres, weigh x - c, or x
+    without ``residual``. They are a model's parameters and go to every task; sums are added up by batch before they are shuffled.
+    """
+    rows = centres.select("centre", "w", "b", "c").orderBy("centre").collect()
+    names, w, b, c = [r["centre"] for r in rows], np.array([r["w"] for r in rows], float), np.array([r["b"] for r in rows], float), np.array([r["c"] for r in rows], float)
+    types = dict(vectors.dtypes)
+    own = [f"_k{i}" for i in range(len(keys))]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(len(own)).flatten().to_numpy().astype(float).reshape(batch.num_rows, -1)
+            scores = x @ w.T + b
+            share = np.exp(scores - scores.max(axis=1, keepdims=True))
+            share /= share.sum(axis=1, keepdims=True)
+            table = pa.Table.from_batches([batch.select(own)]).append_column("_at", pa.array(np.arange(batch.num_rows)))
+            groups = table.group_by(own).aggregate([("_at", "list")])
+            sums = []
+            for at in groups["_at_list"].to_pylist():
+                part = share[at].T @ x[at]
+                sums += list(part - share[at].sum(axis=0)[:, None] * c if residual else part)
+            which = np.repeat(np.arange(groups.num_rows), len(names))
+            out = [groups[k].combine_chunks().take(pa.array(which)) for k in own]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(np.tile(np.arange(len(names)), groups.num_rows)), pa.array(sums, pa.list_(pa.float64()))], [*own, "_c", "part"])
+
+    schema = ", ".join([*(f"{o} {types[k]}" for o, k in zip(own, keys, strict=True)), "_c long, part array<double>"])
+    laid = vectors.where(F.col(vector).isNotNull()).select(*[F.col(k).alias(o) for o, k in zip(own, keys, strict=True)], vector).mapInArrow(add, schema)
+    summed = laid.select(*own, "_c", F.posexplode("part").alias("dim", "x")).groupBy(*own, "_c", "dim").agg(F.sum("x").alias("x"))
+    length = lambda *by: F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(*by)))
+    inner = summed.withColumn("x", F.coalesce(F.try_divide("x", length(*own, "_c")), F.lit(0.0)))
+    whole = inner.withColumn("value", F.coalesce(F.try_divide("x", length(*own)), F.lit(0.0)))
+    named = F.element_at(F.array(*map(F.lit, names)), (F.col("_c") + 1).cast("int")).alias("centre")
+    return whole.select(*[F.col(o).alias(k) for o, k in zip(own, keys, strict=True)], named, "dim", "value")
+
+
 def pooled(vectors: DataFrame, keys: list[str], vector: str, how: str) -> DataFrame:
     """(keys, dim, value): elementwise mean or max over the rows of a key."""
     each = vectors.select(*keys, F.posexplode(vector).alias("dim", "value"))

@@ -94,3 +94,30 @@ def player_slots(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
     frames = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_partkey").cast("string").alias("jersey")))).alias("players"))
     return frames.select("l_orderkey", F.explode(G.slots_of(F.col("players"), 1, 4)).alias("s")).select("l_orderkey", F.col("s.p.l_linenumber").alias("l_linenumber"), F.col("s.slot").cast("long").alias("slot"))
+
+
+@query("""WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[64] AS v FROM embeddings), d AS (SELECT a.id, b.id AS neighbour, a.v AS own, b.v AS theirs, array_distance(a.v, b.v) AS d FROM e a, e b WHERE a.id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, neighbour) AS rank FROM d) SELECT id, rank, i - 1 AS dim, round(CASE WHEN i <= 64 THEN theirs[i] - own[i] ELSE own[i - 64] END, 6) AS x FROM r, range(1, 129) q(i) WHERE rank <= 4""")
+def neighbour_features(spark, sf_dir):
+    points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    gathered = G.neighbour_features(G.feature_knn(points.where("id % 50 = 0"), points, 4), points)
+    return gathered.select("id", F.col("rank").cast("long").alias("rank"), F.posexplode("feature").alias("dim", "x")).select("id", "rank", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
+
+
+@query("""WITH s AS (SELECT vec_id % 40 AS clip, embedding::DOUBLE[] AS v, exp(4 * embedding[1]::DOUBLE) AS w FROM embeddings)
+SELECT clip, i - 1 AS dim, round(sum(w * v[i]) / sum(w), 5) AS value FROM s, range(1, 65) r(i) GROUP BY ALL""")
+def attention_pool(spark, sf_dir):
+    views = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 40).alias("clip"), F.col("embedding").cast("array<double>").alias("v")).withColumn("score", 4 * F.col("v")[0])
+    return G.attention_pooled(views, ["clip"], "v", "score").select("clip", F.col("dim").cast("long").alias("dim"), F.round("value", 5).alias("value"))
+
+
+@query("""WITH e AS (SELECT vec_id, vec_id % 20 AS clip, label, i, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 65) r(i)), c AS (SELECT label AS centre, i, avg(x) AS c FROM e GROUP BY ALL),
+a AS (SELECT vec_id, clip, centre, exp(8 * sum(x * c) - 4 * sum(c * c)) AS a FROM e JOIN c USING (i) GROUP BY ALL), s AS (SELECT *, a / sum(a) OVER (PARTITION BY vec_id) AS p FROM a),
+v AS (SELECT s.clip, centre, i, sum(p * (x - c)) AS x FROM s JOIN e USING (vec_id) JOIN c USING (centre, i) GROUP BY ALL), n AS (SELECT *, x / sqrt(sum(x * x) OVER (PARTITION BY clip, centre)) AS y FROM v)
+SELECT clip, centre, i - 1 AS dim, round(y / sqrt(sum(y * y) OVER (PARTITION BY clip)), 5) AS value FROM n""")
+def vlad_pool(spark, sf_dir):
+    """Centres are the labels' means."""
+    rows = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 20).alias("clip"), "label", F.col("embedding").cast("array<double>").alias("v"))
+    means = G.pooled(rows, ["label"], "v", "mean").groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"]).alias("c"))
+    centres = means.select(F.col("label").alias("centre"), F.transform("c", lambda x: 8 * x).alias("w"), (-4 * F.aggregate("c", F.lit(0.0), lambda s, x: s + x * x)).alias("b"), "c")
+    return G.vlad_pooled(rows, ["clip"], "v", centres).select("clip", "centre", F.col("dim").cast("long").alias("dim"), F.round("value", 5).alias("value"))
