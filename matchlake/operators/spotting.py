@@ -19,8 +19,9 @@ from pyspark.sql import types as T
 
 from ..functions.ranks import cut_lineage, in_ranges
 
-#: Rows of a chunk, where they do not lie closer than a reach.
+#: Rows of a chunk, where they do not lie closer than a reach; and how many times as many it may hold in later rounds.
 CHUNK_ROWS = 100_000
+CHUNK_GROWTH = 16
 
 
 def suppress_window(pred: DataFrame, window: int, *keys: str) -> DataFrame:
@@ -80,8 +81,9 @@ def suppress_greedy(pred: DataFrame, window: int, least: float, *keys: str) -> D
     best = strong.groupBy(*keys, "frame").agg(F.max_by(F.struct("confidence", "_id"), F.struct("confidence", -F.col("ord"), -F.col("_id"))).alias("b"))
     left = best.select(*keys, "frame", "b.*")
     left = cut_lineage(left.withColumn("_state", F.lit(OPEN)))
-    width = _chunk_width(left, keys, max(back, ahead))
+    done = 0
     while not left.where(F.col("_state") == OPEN).isEmpty():
+        width, done = _chunk_width(left, keys, max(back, ahead), done), done + 1
         left = cut_lineage(_by_chunk(left, keys, width, max(back, ahead), settle).where(F.col("_state") != LOST))
     return named.join(left.select("_id"), "_id", "left_semi").drop("_id")
 
@@ -89,11 +91,15 @@ def suppress_greedy(pred: DataFrame, window: int, least: float, *keys: str) -> D
 OPEN, KEPT, LOST = 0, 1, 2
 
 
-def _chunk_width(rows: DataFrame, keys: tuple[str, ...], halo: int) -> int:
-    """Frames of a chunk: as many halos as hold CHUNK_ROWS rows where they lie closest, at least one."""
+def _chunk_width(rows: DataFrame, keys: tuple[str, ...], halo: int, done: int = 0) -> int:
+    """Frames of a chunk: as many halos as hold CHUNK_ROWS rows where they lie closest, at least one.
+
+    With each round that is done chunks double, up to CHUNK_GROWTH times: where each chunk waits for the next one, as with
+    strengths that rise over time, so much fewer rounds are needed, and a task's rows stay bounded.
+    """
     cell = max(1, halo)
     most = rows.groupBy(*keys, F.floor(F.col("frame") / cell).alias("_cell")).count().agg(F.max("count")).first()[0] or 1
-    return cell * max(1, CHUNK_ROWS // most)
+    return cell * max(1, CHUNK_ROWS * min(1 << done, CHUNK_GROWTH) // most)
 
 
 def _by_chunk(rows: DataFrame, keys: tuple[str, ...], width: int, halo: int, settle: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | None = None) -> DataFrame:
@@ -137,8 +143,7 @@ def _matched(takers: DataFrame, goods: DataFrame, reach: float, choose: Callable
     """(taker, good) ids of the pairs that sequential matching of each (video, label, more) makes; both sides: those, frame, confidence, ord, _id."""
     keys, halo = (*more, "video", "label"), math.ceil(2 * reach)
     rows = cut_lineage(takers.withColumn("_good", F.lit(False)).unionByName(goods.withColumn("_good", F.lit(True))))
-    width = _chunk_width(rows, keys, halo)
-    pairs = None
+    pairs, done = None, 0
 
     def settle(x: pd.DataFrame) -> pd.DataFrame:
         t, g = x[~x["_good"]].reset_index(drop=True), x[x["_good"]].reset_index(drop=True)
@@ -149,8 +154,10 @@ def _matched(takers: DataFrame, goods: DataFrame, reach: float, choose: Callable
 
     answer = T.StructType([T.StructField("taker", T.LongType()), T.StructField("good", T.LongType())])
     while True:
+        width, done = _chunk_width(rows, keys, halo, done), done + 1
         now = cut_lineage(_by_chunk(rows, keys, width, halo, settle, answer))
-        pairs = now.where("good IS NOT NULL") if pairs is None else pairs.unionByName(now.where("good IS NOT NULL"))
+        made = now.where("good IS NOT NULL")
+        pairs = made if pairs is None else cut_lineage(pairs.unionByName(made)) if done % 8 == 0 else pairs.unionByName(made)
         gone = now.select(F.col("taker").alias("_id"), F.lit(False).alias("_good")).unionByName(now.where("good IS NOT NULL").select(F.col("good").alias("_id"), F.lit(True).alias("_good")))
         rows = cut_lineage(rows.join(gone, ["_id", "_good"], "left_anti"))
         if rows.where("NOT _good").isEmpty():

@@ -66,3 +66,24 @@ def test_positions_of_the_side_that_the_event_names(spark):
     assert tuple(header.select(records.stamp(F.col("h")).alias("s")).first().s) == ("a/b", None, None)
     shares = annotations.label_shares(spark.createDataFrame([("a", "x"), ("a", "y"), (None, "x"), (None, None)], "split string, label string"), "split", "label")
     assert sorted((str(r.split), str(r.label), r.n, r.percent) for r in shares.collect()) == [("None", "None", 1, 25.0), ("None", "x", 2, 50.0), ("None", "y", 1, 25.0), ("a", "None", 0, 0.0), ("a", "x", 1, 50.0), ("a", "y", 1, 50.0)]
+
+
+def test_rising_confidences_take_few_rounds(spark, monkeypatch):
+    """Each prediction can take its own truth or the next one's, so every chunk waits for the one behind it."""
+    from matchlake.operators import spotting
+
+    rounds = []
+    inner = spotting._by_chunk
+    monkeypatch.setattr(spotting, "CHUNK_ROWS", 40)
+    monkeypatch.setattr(spotting, "_by_chunk", lambda *a: rounds.append(a[3]) or inner(*a))
+    n = 800
+    kind = "video long, label string, frame long, confidence double, ord long"
+    pred = spark.createDataFrame([(1, "a", 10 * k, k / n, k) for k in range(n)], kind)
+    truth = spark.createDataFrame([(1, "a", 10 * k + 5, 1.0, k) for k in range(n)], kind)
+    hits = {r.ord: r.hit for r in spotting.match_nearest(pred, truth, 6).select("ord", "hit").collect()}
+    free, want = set(range(n)), {}
+    for k in reversed(range(n)):
+        near = [g for g in (k - 1, k) if g in free]
+        want[k] = bool(near)
+        free -= set(near[:1])
+    assert hits == want and len(rounds) <= 12
