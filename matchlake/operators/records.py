@@ -134,3 +134,16 @@ def prediction_record(half: Column, position_ms: Column, label: Column, confiden
     seconds = F.floor(position_ms / 1000)
     clock = F.format_string("%s - %02d:%02d", half.cast("string"), F.floor(seconds / 60), seconds % 60)
     return F.struct(clock.alias("gameTime"), label.alias("label"), position_ms.cast("string").alias("position"), half.cast("string").alias("half"), confidence.cast("string").alias("confidence"))
+
+
+def spotting_record(frame: Column, fps: Column, label: Column, confidence: Column, half: Column | None = None, padded: bool = True) -> Column:
+    """A spotting record of a frame: clock, label, position in whole milliseconds and confidence, as numbers; with a half also that, as text.
+
+    The clock is MM:SS, with a half H - MM:SS, or H - M:S if not padded.
+    """
+    seconds = F.floor(frame / fps)
+    clock = F.format_string("%02d:%02d" if padded else "%d:%d", F.floor(seconds / 60), seconds % 60)
+    rest = [label.alias("label"), (frame / fps * 1000).cast("long").alias("position"), confidence.cast("double").alias("confidence")]
+    if half is None:
+        return F.struct(clock.alias("gameTime"), *rest)
+    return F.struct(half.cast("string").alias("half"), F.concat(half.cast("string"), F.lit(" - "), clock).alias("gameTime"), *rest)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import records as R
+from ..sources import datasets
 from .base import PREDICTIONS, predictions, query, table
 
 
@@ -111,3 +112,24 @@ def vertical_and_team_flip(spark, sf_dir):
 def prediction_records(spark, sf_dir):
     record = R.prediction_record(1 + F.col("ord") % 2, F.col("position_ms") % 5_400_000, F.col("label"), F.col("confidence"))
     return predictions(spark, sf_dir).select("ord", record["gameTime"].alias("clock"), record["position"].alias("position"))
+
+
+@query(PREDICTIONS + """, s AS (SELECT ord, label, confidence, frame % 90000 AS f, (frame % 90000) // 25 AS s, 1 + ord % 2 AS h FROM pred), c AS (SELECT *, lpad((s // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS clock FROM s)
+SELECT ord, clock AS plain, h || ' - ' || clock AS padded, h || ' - ' || (s // 60) || ':' || (s % 60) AS short, h::VARCHAR AS half, label, trunc((f / 25.0::DOUBLE) * 1000)::BIGINT AS position, confidence FROM c""")
+def spotting_records(spark, sf_dir):
+    frame, half = F.col("frame") % 90_000, 1 + F.col("ord") % 2
+    made = lambda *more: R.spotting_record(frame, F.lit(25), F.col("label"), F.col("confidence"), *more)
+    rows = predictions(spark, sf_dir).select("ord", made().alias("a"), made(half).alias("b"), made(half, False).alias("c"))
+    return rows.select("ord", F.col("a.gameTime").alias("plain"), F.col("b.gameTime").alias("padded"), F.col("c.gameTime").alias("short"), "c.half", "a.label", "b.position", "c.confidence")
+
+
+@query("""SELECT c_custkey::VARCHAR AS game_id, c_mktsegment AS split, 'videos/' || c_custkey || '.mp4' AS path, 25.0::DOUBLE AS fps, n, first, last FROM customer
+LEFT JOIN (SELECT o_custkey, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
+def manifest_entries(spark, sf_dir):
+    """Customers as games, their orders as annotations; entries read back whole."""
+    games = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("game_id"), F.col("c_mktsegment").alias("split"))
+    notes = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("game_id"), F.col("o_orderkey").alias("ord"), F.col("o_orderkey").alias("position"))
+    entry = F.from_json("entry", "path string, source_fps double, gameId string, annotations array<struct<position: long>>")
+    read = datasets.manifest_entries(games, notes, "mp4", 25.0).select("split", entry.alias("e"))
+    positions = F.transform("e.annotations", lambda a: a["position"])
+    return read.select(F.col("e.gameId").alias("game_id"), "split", "e.path", F.col("e.source_fps").alias("fps"), F.when(F.col("e.annotations").isNotNull(), F.size(positions)).cast("long").alias("n"), F.try_element_at(positions, F.lit(1)).alias("first"), F.try_element_at(positions, F.lit(-1)).alias("last"))

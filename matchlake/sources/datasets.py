@@ -187,12 +187,12 @@ def replaced(folder: str) -> Iterator[str]:
         store.delete_dir(old)
 
 
-def documents(entries: DataFrame, header: Column, order: list[str]) -> DataFrame:
-    """(path, part, content) of a JSON document for each path: the members of ``header`` (JSON), then the entries (JSON) in order as ``data``."""
+def documents(entries: DataFrame, header: Column, order: list[str], field: str = "data") -> DataFrame:
+    """(path, part, content) of a JSON document for each path: the members of ``header`` (JSON), then the entries (JSON) in order as ``field``."""
     placed = entries.withColumn("part", F.row_number().over(Window.partitionBy("path").orderBy(*order)))
     each = placed.select("path", F.col("part").cast("long").alias("part"), F.concat(F.when(F.col("part") > 1, ",\n    ").otherwise("\n    "), F.col("entry")).alias("content"))
     heads = entries.select("path", header.alias("_h")).distinct().select("path", F.explode(F.array(
-        F.struct(F.lit(0).cast("long").alias("part"), F.concat(F.regexp_replace("_h", r"\}\s*$", ""), F.when(F.col("_h").rlike(r"^\s*\{\s*\}\s*$"), "").otherwise(","), F.lit('\n  "data": [')).alias("content")),
+        F.struct(F.lit(0).cast("long").alias("part"), F.concat(F.regexp_replace("_h", r"\}\s*$", ""), F.when(F.col("_h").rlike(r"^\s*\{\s*\}\s*$"), "").otherwise(","), F.lit(f'\n  "{field}": [')).alias("content")),
         F.struct(F.lit((1 << 63) - 1).alias("part"), F.lit("\n  ]\n}\n").alias("content")),
     )).alias("x")).select("path", "x.*")
     return each.unionByName(heads)
@@ -263,3 +263,18 @@ def save_spotting(events: DataFrame, tracking: DataFrame, folder: str, labels: l
         header = _header(F.concat(F.lit("SoccerNet GAR Spotting ("), "split", F.lit(")")), "action_spotting", labels, date, metadata=F.struct("split"))
         save(documents(entries, header, ["game_id"]), place, "part")
     return lost
+
+
+def manifest_entries(games: DataFrame, annotations: DataFrame, kind: str, fps: float) -> DataFrame:
+    """(path, game_id, split, entry) of each game (game_id, split): its video and, where there are any, its annotations (game_id, ord and their fields) in order."""
+    fields = [c for c in annotations.columns if c not in ("game_id", "ord")]
+    noted = annotations.groupBy("game_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(*fields).alias("e")))), lambda x: x["e"]).alias("annotations"))
+    ending = ".parquet" if kind == "parquet" else ".mp4"
+    video = [F.concat(F.lit("videos/"), "game_id", F.lit(ending)).alias("path"), F.lit(kind).alias("input_type"), F.lit(fps).alias("source_fps"), F.col("game_id").alias("gameId"), "annotations"]
+    return games.join(noted, "game_id", "left").select(F.format_string("%s/%s.json", "split", "split").alias("path"), "game_id", "split", F.to_json(F.struct(*video)).alias("entry"))
+
+
+def save_manifests(games: DataFrame, annotations: DataFrame, folder: str, kind: str, fps: float, labels: list[str]) -> None:
+    """Writes ``<split>/<split>.json`` for each split that has games."""
+    header = F.to_json(F.struct(F.lit(1).alias("version"), F.lit(kind).alias("format"), F.array(*map(F.lit, labels)).alias("labels")))
+    save(documents(manifest_entries(games, annotations, kind, fps), header, ["game_id"], "videos"), folder, "part")

@@ -109,3 +109,16 @@ def test_spotting_data_set(spark, tmp_path):
     train = json.loads((tmp_path / "set/annotations_train.json").read_text())
     assert train["data"] == [{"inputs": [{"type": "tracking", "path": "train/g1.parquet", "fps": 25.0}], "events": [{"label": "PASS", "position_ms": 100, "gameTime": "1 - 00:00", "team": None}, {"label": "SHOT", "position_ms": 900, "gameTime": "1 - 00:00", "team": "home"}]}]
     assert pd.read_parquet(tmp_path / "set/train/g1.parquet").to_dict("list") == {"videoTimeMs": [10.0, 20.0, 30.0], "frameNum": [1, 2, 3], "balls": ["a", "b", "c"]}
+
+
+def test_split_manifests(spark, tmp_path):
+    games = spark.createDataFrame([("g2", "train"), ("g1", "train"), ("g3", "valid")], "game_id string, split string")
+    notes = spark.createDataFrame([("g1", 1, "SHOT", 90), ("g1", 0, "PASS", 10)], "game_id string, ord long, label string, position long")
+    datasets.save_manifests(games, notes, str(tmp_path), "parquet", 29.97, ["PASS", "SHOT"])
+    assert files(tmp_path) == ["train/train.json", "valid/valid.json"]
+    assert json.loads((tmp_path / "train/train.json").read_text()) == {
+        "version": 1, "format": "parquet", "labels": ["PASS", "SHOT"], "videos": [
+            {"path": "videos/g1.parquet", "input_type": "parquet", "source_fps": 29.97, "gameId": "g1", "annotations": [{"label": "PASS", "position": 10}, {"label": "SHOT", "position": 90}]},
+            {"path": "videos/g2.parquet", "input_type": "parquet", "source_fps": 29.97, "gameId": "g2"},
+        ],
+    }
