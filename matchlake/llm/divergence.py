@@ -44,7 +44,7 @@ MARK = "\x00"
 class DivergenceRules:
     min_documents: int = 3
     #: Terms that a fit may keep, as they pass through the driver; where it keeps more, the fit is not used.
-    fit_terms: int = 500_000
+    fit_terms: int = 250_000
     #: Languages, those with most documents, with a fit of their own; as many more as are fitted at all; and how many of those share a fit.
     own_fits: int = 16
     fit_languages: int = 1_000
