@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,9 @@ from ..functions.ranks import cut_lineage, in_ranges
 CHUNK_ROWS = 100_000
 CHUNK_GROWTH = 16
 
+#: Rows up to which a task settles small chunks together.
+TOGETHER_ROWS = 20_000
+
 
 def suppress_window(pred: DataFrame, window: int, *keys: str) -> DataFrame:
     """Predictions without those that have a stronger one of their key at another frame within ``window``.
@@ -91,27 +95,85 @@ def suppress_greedy(pred: DataFrame, window: int, least: float, *keys: str) -> D
 OPEN, KEPT, LOST = 0, 1, 2
 
 
-def _chunk_width(rows: DataFrame, keys: tuple[str, ...], halo: int, done: int = 0) -> int:
-    """Frames of a chunk: as many halos as hold CHUNK_ROWS rows where they lie closest, at least one.
+def _chunk_width(rows: DataFrame, keys: tuple[str, ...], halo: int, done: int = 0) -> int | None:
+    """Frames of a chunk: as many halos as hold CHUNK_ROWS rows where they lie closest, at least one; None if every key is small enough for one chunk.
 
     With each round that is done chunks double, up to CHUNK_GROWTH times: where each chunk waits for the next one, as with
     strengths that rise over time, so much fewer rounds are needed, and a task's rows stay bounded.
     """
+    size = CHUNK_ROWS * min(1 << done, CHUNK_GROWTH)
+    if (rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= size:
+        return None
     cell = max(1, halo)
     most = rows.groupBy(*keys, F.floor(F.col("frame") / cell).alias("_cell")).count().agg(F.max("count")).first()[0] or 1
-    return cell * max(1, CHUNK_ROWS * min(1 << done, CHUNK_GROWTH) // most)
+    return cell * max(1, size // most)
+
 
+def _by_chunk(rows: DataFrame, keys: tuple[str, ...], width: int | None, halo: int, settle: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | None = None) -> DataFrame:
+    """``settle`` on chunks of rows and those within ``halo`` of them (``_core`` false); by default core rows are returned, with the ``_state`` it gives them.
 
-def _by_chunk(rows: DataFrame, keys: tuple[str, ...], width: int, halo: int, settle: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | None = None) -> DataFrame:
-    """``settle`` on each chunk's rows and those within ``halo`` of it (``_core`` false); by default only core rows are returned."""
+    A task settles many small chunks in one call. They are laid on one axis of time, more than a halo apart, so no row touches one of another chunk.
+    ``settle`` sees the numbers of the rows, not their keys' texts.
+    """
     at = lambda shift: F.floor((F.col("frame") + shift) / width)
-    laid = rows.withColumn("_chunk", F.explode(F.sequence(at(-halo), at(halo)))).withColumn("_core", F.col("_chunk") == at(0))
+    rows = rows.where("frame IS NOT NULL")
+    if width is None:
+        laid = rows.withColumn("_chunk", F.lit(0).cast("long")).withColumn("_core", F.lit(True))
+    else:
+        laid = rows.withColumn("_chunk", F.explode(F.sequence(at(-halo), at(halo)))).withColumn("_core", F.col("_chunk") == at(0))
     # A number given keeps small bytes of dear Python work from being put together in one task.
     laid = laid.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_chunk")
-    if schema is not None:
-        return laid.groupBy(*keys, "_chunk").applyInPandas(settle, schema)
-    names = rows.columns
-    return laid.groupBy(*keys, "_chunk").applyInPandas(lambda x: (y := settle(x))[y["_core"]][names], rows.schema)
+    place = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy("frame"))
+    laid = laid.withColumn("_new", place == 1).drop("_chunk")
+    numbers = [f.name for f in laid.schema.fields if isinstance(f.dataType, (T.NumericType, T.BooleanType))]
+    return laid.mapInArrow(_settle_together(settle, numbers, halo, None if schema is not None else rows.columns), schema if schema is not None else rows.schema)
+
+
+def _settle_together(settle: Callable[[pd.DataFrame], pd.DataFrame], numbers: list[str], halo: int, names: list[str] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's part of ``_by_chunk``: chunks come one after the other, ``_new`` marks the first row of each, and their rows are in the order of frames."""
+    together = TOGETHER_ROWS
+
+    def settled(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(parts)
+        x = pd.DataFrame({c: whole.column(c).to_numpy() for c in numbers})
+        first = np.flatnonzero(x["_new"].to_numpy(bool))
+        frames, last = x["frame"].to_numpy(), np.append(first[1:], len(x)) - 1
+        spans = frames[last].astype(float) - frames[first].astype(float)
+        if len(first) == 1 or frames.dtype.kind in "iu" and spans.sum() + len(first) * (halo + 1.0) < 2**52:
+            if len(first) > 1:
+                low, high = frames[first].astype(np.int64), frames[last].astype(np.int64)
+                shift = np.append(0, np.cumsum(high - low + halo + 1)[:-1]) - low
+                x["frame"] = frames + np.repeat(shift, last - first + 1)
+            yield from told(whole, x)
+        else:
+            for a, b in zip(first, last + 1, strict=True):
+                yield from told(whole.slice(a, b - a), x.iloc[a:b].reset_index(drop=True))
+
+    def told(whole: pa.Table, x: pd.DataFrame) -> Iterator[pa.RecordBatch]:
+        y = settle(x)
+        if names is None:
+            yield pa.RecordBatch.from_pandas(y, preserve_index=False)
+            return
+        y = y[y["_core"]]
+        out = whole.select(names).take(pa.array(y.index.to_numpy()))
+        k = names.index("_state")
+        out = out.set_column(k, out.schema.field(k), pa.chunked_array([pa.array(y["_state"].to_numpy(), out.schema.field(k).type)]))
+        yield from out.combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            starts = np.flatnonzero(batch.column("_new").to_numpy(zero_copy_only=False))
+            if len(starts) and n + starts[-1] >= together:
+                cut = int(starts[-1])
+                yield from settled([*held, batch.slice(0, cut)])
+                held, n, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            n += batch.num_rows
+        if n:
+            yield from settled(held)
+
+    return run
 
 
 class _Free:
@@ -142,21 +204,23 @@ class _Free:
 def _matched(takers: DataFrame, goods: DataFrame, reach: float, choose: Callable[[pd.DataFrame, pd.DataFrame], tuple[np.ndarray, np.ndarray]], *more: str) -> DataFrame:
     """(taker, good) ids of the pairs that sequential matching of each (video, label, more) makes; both sides: those, frame, confidence, ord, _id."""
     keys, halo = (*more, "video", "label"), math.ceil(2 * reach)
-    rows = cut_lineage(takers.withColumn("_good", F.lit(False)).unionByName(goods.withColumn("_good", F.lit(True))))
+    rows = takers.withColumn("_good", F.lit(False)).unionByName(goods.withColumn("_good", F.lit(True)))
     pairs, done = None, 0
 
     def settle(x: pd.DataFrame) -> pd.DataFrame:
         t, g = x[~x["_good"]].reset_index(drop=True), x[x["_good"]].reset_index(drop=True)
         state, took = choose(t, g)
-        ids = g["_id"].to_numpy()
         sure = (state != OPEN) & t["_core"].to_numpy(bool)
-        return pd.DataFrame({"taker": t["_id"].to_numpy()[sure], "good": [int(ids[k]) if k >= 0 else None for k in took[sure]]}).astype({"good": "Int64"})
+        ids = np.append(g["_id"].to_numpy(np.int64), 0)[took[sure]]
+        return pd.DataFrame({"taker": t["_id"].to_numpy(np.int64)[sure], "good": pd.arrays.IntegerArray(ids, took[sure] < 0)})
 
     answer = T.StructType([T.StructField("taker", T.LongType()), T.StructField("good", T.LongType())])
     while True:
         width, done = _chunk_width(rows, keys, halo, done), done + 1
         now = cut_lineage(_by_chunk(rows, keys, width, halo, settle, answer))
         made = now.where("good IS NOT NULL")
+        if pairs is None and now.count() == takers.count():
+            return made
         pairs = made if pairs is None else cut_lineage(pairs.unionByName(made)) if done % 8 == 0 else pairs.unionByName(made)
         gone = now.select(F.col("taker").alias("_id"), F.lit(False).alias("_good")).unionByName(now.where("good IS NOT NULL").select(F.col("good").alias("_id"), F.lit(True).alias("_good")))
         rows = cut_lineage(rows.join(gone, ["_id", "_good"], "left_anti"))
@@ -179,29 +243,37 @@ def _with_hits(named: DataFrame, hits: DataFrame) -> DataFrame:
 
 def match_nearest(pred: DataFrame, truth: DataFrame, tolerance: int) -> DataFrame:
     """Predictions with ``hit``: strongest first, each takes its nearest truth of the same (video, label) not taken yet, if within the tolerance."""
+    return match_nearest_each(pred, truth, [tolerance]).drop("tolerance")
+
+
+def match_nearest_each(pred: DataFrame, truth: DataFrame, tolerances: list[int]) -> DataFrame:
+    """The rows of ``match_nearest`` for each tolerance, with ``tolerance``: all are matched in the same rounds."""
 
     def choose(t: pd.DataFrame, g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         state, took = np.full(len(t), OPEN), np.full(len(t), -1)
         g = g.sort_values(["frame", "ord"], kind="stable")
-        places, ords = g.index.to_numpy(), g["ord"].to_numpy()
-        frames, first, count = np.unique(g["frame"].to_numpy(), return_index=True, return_counts=True)
-        nexts, ends, free, doubt = first.copy(), first + count, _Free(len(frames)), np.zeros(len(frames), bool)
+        places, ords = g.index.tolist(), g["ord"].tolist()
+        at, first, count = np.unique(g["frame"].to_numpy(), return_index=True, return_counts=True)
+        frames, nexts, ends, free, doubt = at.tolist(), first.tolist(), (first + count).tolist(), _Free(len(at)), np.zeros(len(at), bool)
         t = t.sort_values(["confidence", "ord"], ascending=[False, True], kind="stable")
-        for row, frame, core in zip(t.index, t["frame"], t["_core"], strict=True):
+        own, reach = t["frame"].to_numpy(), t["tolerance"].to_numpy()
+        lows, mids, highs = np.searchsorted(at, own - reach).tolist(), np.searchsorted(at, own).tolist(), np.searchsorted(at, own + reach, "right").tolist()
+        for row, frame, core, low, right, high in zip(t.index.tolist(), own.tolist(), t["_core"].tolist(), lows, mids, highs, strict=True):
             if not core:  # it may take any truth in its reach
-                doubt[np.searchsorted(frames, frame - tolerance) : np.searchsorted(frames, frame + tolerance, "right")] = True
+                doubt[low:high] = True
                 continue
-            right = left = int(np.searchsorted(frames, frame))
-            doubtful = False
-            left -= 1
+            left, doubtful = right - 1, False
             while True:
                 right, left = free.at_or_after(right), free.at_or_before(left) if left >= 0 else -1
-                near = [k for k in (left, right) if 0 <= k < len(frames) and abs(frames[k] - frame) <= tolerance]
-                best = min(near, key=lambda k: (abs(frames[k] - frame), ords[nexts[k]]), default=None)
-                if best is None:
-                    break
-                level = [k for k in near if abs(frames[k] - frame) == abs(frames[best] - frame)]
-                if not any(doubt[k] for k in level):
+                best = left if left >= low else None
+                level = [] if best is None else [left]
+                if right < high:
+                    further = -1 if best is None else (frames[right] - frame) - (frame - frames[left])
+                    if further < 0 or further == 0 and ords[nexts[right]] < ords[nexts[left]]:
+                        best = right
+                    if further <= 0:
+                        level = [right] if further < 0 else [left, right]
+                if best is None or not any(doubt[k] for k in level):
                     break
                 doubtful = True
                 right, left = right + (right in level), left - (left in level)
@@ -218,8 +290,9 @@ def match_nearest(pred: DataFrame, truth: DataFrame, tolerance: int) -> DataFram
                     free.take(best)
         return state, took
 
-    named = _named(pred)
-    pairs = _matched(_plain(named), _plain(_named(truth)), tolerance, choose)
+    each = F.explode(F.array(*[F.lit(t) for t in tolerances])).alias("tolerance")
+    named = _named(pred.select("*", each))
+    pairs = _matched(_plain(named, "tolerance"), _plain(_named(truth.select("*", each)), "tolerance"), max(tolerances), choose, "tolerance")
     return _with_hits(named, pairs.select("taker"))
 
 
@@ -235,20 +308,21 @@ def match_strongest_each(pred: DataFrame, truth: DataFrame, deltas: list[float])
         state, took = np.full(len(t), OPEN), np.full(len(t), -1)
         if t.empty:
             return state, took
-        delta = t["delta"].iloc[0]
         g = g.sort_values(["frame", "ord"], kind="stable")
         places, frames = g.index.to_numpy(), g["frame"].to_numpy()
         strength = np.empty(len(g), np.int64)
         strength[np.lexsort((np.arange(len(g)), -g["confidence"].to_numpy(float)))] = np.arange(len(g))
+        places, strength = places.tolist(), strength.tolist()
         strong, doubt, free, behind = [], np.zeros(len(g), bool), np.ones(len(g), bool), 0
         t = t.sort_values(["frame", "ord"], kind="stable")
-        lows, highs = np.searchsorted(frames, t["frame"].to_numpy() - delta / 2), np.searchsorted(frames, t["frame"].to_numpy() + delta / 2, "right")
-        for row, core, low, high in zip(t.index, t["_core"], lows, highs, strict=True):
+        own, half = t["frame"].to_numpy(), t["delta"].to_numpy() / 2
+        lows, highs = np.searchsorted(frames, own - half).tolist(), np.searchsorted(frames, own + half, "right").tolist()
+        for row, core, low, high in zip(t.index.tolist(), t["_core"].tolist(), lows, highs, strict=True):
             if not core:
                 doubt[low:high] = True
                 continue
             while behind < high:  # truths come in time order, so predictions enter once and leave once
-                heapq.heappush(strong, (int(strength[behind]), behind))
+                heapq.heappush(strong, (strength[behind], behind))
                 behind += 1
             passed = []
             while strong and (strong[0][1] < low or not free[strong[0][1]] or doubt[strong[0][1]]):
@@ -273,35 +347,34 @@ def match_strongest_each(pred: DataFrame, truth: DataFrame, deltas: list[float])
     return _with_hits(named, pairs.select("good"))
 
 
-def average_precision(matched: DataFrame, truth: DataFrame, order: list[Column]) -> DataFrame:
-    """(label, ap): precision at each hit, raised to the greatest at any later one, over the number of truths.
+def average_precision(matched: DataFrame, truth: DataFrame, order: list[Column], *more: str) -> DataFrame:
+    """(more, label, ap): precision at each hit, raised to the greatest at any later one, over the number of truths.
 
     Rows are sorted by ranges; what a label has in the ranges before or after is added by range.
     """
-    laid = in_ranges(matched, F.col("label"), *order).select("label", F.coalesce(F.col("hit").cast("int"), F.lit(0)).alias("hit"), "_part", "_at")
-    ranges, place = Window.partitionBy("label").orderBy("_part"), Window.partitionBy("_part", "label").orderBy("_at")
+    keys = [*more, "label"]
+    laid = in_ranges(matched, *[F.col(k) for k in keys], *order).select(*keys, F.coalesce(F.col("hit").cast("int"), F.lit(0)).alias("hit"), "_part", "_at")
+    ranges, place = Window.partitionBy(*keys).orderBy("_part"), Window.partitionBy("_part", *keys).orderBy("_at")
     before = ranges.rowsBetween(Window.unboundedPreceding, -1)
-    sizes = laid.groupBy("_part", "label").agg(F.count("*").alias("n"), F.sum("hit").alias("h"))
-    starts = sizes.select("_part", "label", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"), F.coalesce(F.sum("h").over(before), F.lit(0)).alias("h"))
+    sizes = laid.groupBy("_part", *keys).agg(F.count("*").alias("n"), F.sum("hit").alias("h"))
+    starts = sizes.select("_part", *keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"), F.coalesce(F.sum("h").over(before), F.lit(0)).alias("h"))
     places = laid.select("*", F.row_number().over(place).alias("rank"), F.sum("hit").over(place.rowsBetween(Window.unboundedPreceding, 0)).alias("found")).where("hit = 1")
-    points = places.join(starts, ["_part", "label"]).select("_part", "label", "_at", ((F.col("found") + F.col("h")) / (F.col("rank") + F.col("n"))).alias("precision"))
-    tops = points.groupBy("_part", "label").agg(F.max("precision").alias("top"))
-    after = tops.select("_part", "label", F.max("top").over(ranges.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
-    backwards = Window.partitionBy("_part", "label").orderBy(F.desc("_at"))  # a frame that grows is added to, one that shrinks is read anew for each row
+    points = places.join(starts, ["_part", *keys]).select("_part", *keys, "_at", ((F.col("found") + F.col("h")) / (F.col("rank") + F.col("n"))).alias("precision"))
+    tops = points.groupBy("_part", *keys).agg(F.max("precision").alias("top"))
+    after = tops.select("_part", *keys, F.max("top").over(ranges.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    backwards = Window.partitionBy("_part", *keys).orderBy(F.desc("_at"))  # a frame that grows is added to, one that shrinks is read anew for each row
     later = F.max("precision").over(backwards.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    raised = points.withColumn("later", later).join(after, ["_part", "label"]).select("label", F.greatest("later", "after").alias("p"))
-    area = raised.groupBy("label").agg(F.sum("p").alias("area"))
-    totals = truth.groupBy("label").agg(F.count("*").alias("n"))
-    return totals.join(area, "label", "left").select("label", (F.coalesce("area", F.lit(0.0)) / F.col("n")).alias("ap"))
+    raised = points.withColumn("later", later).join(after, ["_part", *keys]).select(*keys, F.greatest("later", "after").alias("p"))
+    area = raised.groupBy(*keys).agg(F.sum("p").alias("area"))
+    totals = truth.groupBy(*keys).agg(F.count("*").alias("n"))
+    return totals.join(area, keys, "left").select(*keys, (F.coalesce("area", F.lit(0.0)) / F.col("n")).alias("ap"))
 
 
 def mean_average_precision(pred: DataFrame, truth: DataFrame, tolerances: list[int]) -> DataFrame:
     """(tolerance, mean_ap) over the labels of the truth."""
-    parts = [average_precision(match_nearest(pred, truth, t), truth, [F.desc("confidence"), F.col("ord")]).agg(F.avg("ap").alias("mean_ap")).select(F.lit(t).alias("tolerance"), "mean_ap") for t in tolerances]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    each = F.explode(F.array(*[F.lit(t) for t in tolerances])).alias("tolerance")
+    found = average_precision(match_nearest_each(pred, truth, tolerances), truth.select("label", each), [F.desc("confidence"), F.col("ord")], "tolerance")
+    return found.groupBy("tolerance").agg(F.avg("ap").alias("mean_ap"))
 
 
 def precision_recall(matched: DataFrame, truth: DataFrame, steps: int = 200) -> DataFrame:
