@@ -110,7 +110,7 @@ def sample_weights(spark, sf_dir):
     return A.sample_weights(table(spark, sf_dir, "events"), "event_type").select("event_id", F.round("weight", 9).alias("weight"))
 
 
-@query("""SELECT l_partkey, arg_min(l_suppkey, l_orderkey * 100 + l_linenumber) AS first, count(*) AS n, count(DISTINCT l_suppkey) AS n_values FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1""")
+@query("""SELECT l_partkey, arg_min(l_suppkey, struct_pack(at := l_orderkey * 100 + l_linenumber, v := l_suppkey)) AS first, count(*) AS n, count(DISTINCT l_suppkey) AS n_values FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1""")
 def conflict_detect(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").withColumn("at", F.col("l_orderkey") * 100 + F.col("l_linenumber"))
     return A.conflicts(rows, "l_partkey", "l_suppkey", "at")
