@@ -31,8 +31,10 @@ def session_windows(spark, sf_dir):
     return windows.sessions(events).select("user_id", F.unix_micros("start").alias("start_us"), "n")
 
 
-#: Parts in which the predictions of a stream arrive.
+#: Parts in which the predictions of a stream arrive, the files of each, and the predictions to a bucket.
 ARRIVALS = 5
+ARRIVAL_FILES = 12
+BUCKET_ROWS = 10_000
 
 
 @query(PREDICTIONS + """, s AS (SELECT *, max(confidence) OVER (PARTITION BY video, label ORDER BY frame RANGE BETWEEN 720 PRECEDING AND 1 PRECEDING) AS a,
@@ -40,14 +42,14 @@ ARRIVALS = 5
 SELECT video, label, frame, ord FROM s WHERE confidence >= coalesce(greatest(a, b), confidence)""")
 def stream_suppression(spark, sf_dir):
     folder, pred = _folder(spark), predictions(spark, sf_dir)
-    first, last = pred.agg(F.min("frame"), F.max("frame")).first()
+    first, last, n = pred.agg(F.min("frame"), F.max("frame"), F.count("*")).first()
     for k in range(ARRIVALS):  # one part after the other, and within each part in no order
         low, high = (first + (last + 1 - first) * j // ARRIVALS for j in (k, k + 1))
-        pred.where((F.col("frame") >= low) & (F.col("frame") < high)).write.mode("append").parquet(f"{folder}/in")
+        pred.where((F.col("frame") >= low) & (F.col("frame") < high)).repartition(ARRIVAL_FILES).write.mode("append").parquet(f"{folder}/in")
     spark.range(1).select(F.lit(None).cast("long").alias("video"), F.lit("end").alias("label"), F.lit(last + 100_000).alias("frame"), F.lit(0).cast("long").alias("position_ms"), F.lit(0.0).alias("confidence"), F.lit(0).cast("long").alias("ord")).write.mode("append").parquet(f"{folder}/in")
     arriving = spark.readStream.schema(pred.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
     width = -(-(last + 1 - first) // ARRIVALS)
-    found = suppression.suppress_stream(arriving, 720, 60_000, f"{2 * width + 1} minutes", "video", "label")
+    found = suppression.suppress_stream(arriving, 720, 60_000, f"{2 * width + 1} minutes", "video", "label", buckets=max(ARRIVAL_FILES, n // BUCKET_ROWS))
     suppression.write_epochs(found, f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.schema(found.schema).parquet(f"{folder}/out").where("video IS NOT NULL").select("video", "label", "frame", "ord")
 
