@@ -36,8 +36,9 @@ def distance_edges(nodes: DataFrame, radius: float) -> DataFrame:
 def knn_edges(nodes: DataFrame, k: int) -> DataFrame:
     """Each node and its ``k`` nearest (the lower slot on ties), both ways, each edge once."""
     by = Window.partitionBy(*KEYS, "src").orderBy("distance", "dst")
-    near = _pairs(nodes).withColumn("r", F.row_number().over(by)).where(F.col("r") <= k).select(*KEYS, "src", "dst")
-    return near.union(near.select(*KEYS, "dst", "src")).distinct()
+    near = _pairs(nodes).withColumn("r", F.row_number().over(by)).where(F.col("r") <= k)
+    ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))  # a union would make the pairs twice, and deal them out again
+    return near.select(*KEYS, F.explode(ways).alias("e")).select(*KEYS, "e.src", "e.dst").distinct()
 
 
 def ball_edges(nodes: DataFrame, ball: int, k: int | None = None, radius: float | None = None) -> DataFrame:

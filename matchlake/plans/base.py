@@ -12,6 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a task where a query makes many rows of each that it reads.
+TASK_ROWS = 250_000
+
+
+def task_count(spark: SparkSession, rows: int) -> int:
+    """Tasks to deal so many rows to: as many as the session has, and more where they would hold over TASK_ROWS each."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
 def micros() -> Column:
     return F.unix_micros(F.col("ts").cast("timestamp"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
-from .base import query, table
+from .base import query, table, task_count
 
 NODES = """WITH n AS (SELECT l_orderkey % 500 AS clip, l_orderkey AS frame, l_linenumber::BIGINT AS slot, l_quantity AS x, l_extendedprice / 1000 AS y, l_suppkey % 2 AS team FROM lineitem
  QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1)
@@ -14,8 +14,11 @@ NODES = """WITH n AS (SELECT l_orderkey % 500 AS clip, l_orderkey AS frame, l_li
 
 
 def _nodes(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min_by(F.struct("l_quantity", "l_extendedprice", "l_suppkey"), F.struct("l_partkey", "l_suppkey")).alias("m"))
-    return rows.select((F.col("l_orderkey") % 500).alias("clip"), F.col("l_orderkey").alias("frame"), F.col("l_linenumber").cast("long").alias("slot"), F.col("m.l_quantity").alias("x"), (F.col("m.l_extendedprice") / 1000).alias("y"), (F.col("m.l_suppkey") % 2).alias("team"))
+    lines = table(spark, sf_dir, "lineitem")
+    # dealt by frames once, in as many parts as the lines need; what is made of a frame stays in its part
+    dealt = lines.select((F.col("l_orderkey") % 500).alias("clip"), F.col("l_orderkey").alias("frame"), F.col("l_linenumber").cast("long").alias("slot"), "l_quantity", "l_extendedprice", "l_partkey", "l_suppkey").repartition(task_count(spark, lines.count()), *G.KEYS)
+    rows = dealt.groupBy(*G.KEYS, "slot").agg(F.min_by(F.struct("l_quantity", "l_extendedprice", "l_suppkey"), F.struct("l_partkey", "l_suppkey")).alias("m"))
+    return rows.select(*G.KEYS, "slot", F.col("m.l_quantity").alias("x"), (F.col("m.l_extendedprice") / 1000).alias("y"), (F.col("m.l_suppkey") % 2).alias("team"))
 
 
 @query(NODES + "SELECT clip, frame, src, dst FROM p")
