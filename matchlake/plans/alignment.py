@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import alignment as A
 from ..sources import games
-from .base import PREDICTIONS, micros, predictions, query, table
+from .base import PREDICTIONS, micros, predictions, query, table, task_count
 
 
 @query("""WITH l AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_id % 5 = 0), r AS (SELECT event_id AS o, user_id, epoch_us(ts) AS t FROM events WHERE event_id % 5 <> 0),
@@ -153,7 +153,9 @@ def anchor_targets_topn(spark, sf_dir):
 @query("""WITH c AS (SELECT user_id AS video, k, k * 12 AS start, o AS offset_, (user_id * 7 + k * 31 + o) % 97 AS value FROM (SELECT DISTINCT user_id FROM events), range(6) a(k), range(20) b(o)),
 w AS (SELECT video, start, offset_, start + offset_ AS frame, value FROM c WHERE offset_ BETWEEN 4 AND 15 OR (k = 0 AND offset_ < 4) OR (k = 5 AND offset_ >= 16)) SELECT video, frame, arg_max(value, start) AS value FROM w GROUP BY ALL""")
 def stitch_chunks(spark, sf_dir):
-    videos = table(spark, sf_dir, "events").select(F.col("user_id").alias("video")).distinct()
+    users = table(spark, sf_dir, "events").select(F.col("user_id").alias("video"))
+    # a number given keeps the few bytes of the users from being put together in one task, where each becomes 120 rows
+    videos = users.repartition(task_count(spark, 120 * users.distinct().count()), "video").distinct()
     number = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     chunks = videos.select("video", number(6).alias("k")).select("video", "k", number(20).alias("offset"))
     chunks = chunks.select("video", (F.col("k") * 12).alias("start"), "offset", ((F.col("video") * 7 + F.col("k") * 31 + F.col("offset")) % 97).alias("value"))
