@@ -256,9 +256,11 @@ def match_nearest_each(pred: DataFrame, truth: DataFrame, tolerances: list[int])
         at, first, count = np.unique(g["frame"].to_numpy(), return_index=True, return_counts=True)
         frames, nexts, ends, free, doubt = at.tolist(), first.tolist(), (first + count).tolist(), _Free(len(at)), np.zeros(len(at), bool)
         t = t.sort_values(["confidence", "ord"], ascending=[False, True], kind="stable")
-        own, reach = t["frame"].to_numpy(), t["tolerance"].to_numpy()
-        lows, mids, highs = np.searchsorted(at, own - reach).tolist(), np.searchsorted(at, own).tolist(), np.searchsorted(at, own + reach, "right").tolist()
-        for row, frame, core, low, right, high in zip(t.index.tolist(), own.tolist(), t["_core"].tolist(), lows, mids, highs, strict=True):
+        own, reach, core = t["frame"].to_numpy(), t["tolerance"].to_numpy(), t["_core"].to_numpy(bool)
+        lows, mids, highs = np.searchsorted(at, own - reach), np.searchsorted(at, own), np.searchsorted(at, own + reach, "right")
+        near = lows < highs
+        state[t.index.to_numpy()[core & ~near]] = LOST
+        for row, frame, core, low, right, high in zip(*[x[near].tolist() for x in (t.index.to_numpy(), own, core, lows, mids, highs)], strict=True):
             if not core:  # it may take any truth in its reach
                 doubt[low:high] = True
                 continue
@@ -315,14 +317,18 @@ def match_strongest_each(pred: DataFrame, truth: DataFrame, deltas: list[float])
         places, strength = places.tolist(), strength.tolist()
         strong, doubt, free, behind = [], np.zeros(len(g), bool), np.ones(len(g), bool), 0
         t = t.sort_values(["frame", "ord"], kind="stable")
-        own, half = t["frame"].to_numpy(), t["delta"].to_numpy() / 2
-        lows, highs = np.searchsorted(frames, own - half).tolist(), np.searchsorted(frames, own + half, "right").tolist()
-        for row, core, low, high in zip(t.index.tolist(), t["_core"].tolist(), lows, highs, strict=True):
+        own, half, core = t["frame"].to_numpy(), t["delta"].to_numpy() / 2, t["_core"].to_numpy(bool)
+        lows, highs = np.searchsorted(frames, own - half), np.searchsorted(frames, own + half, "right")
+        near = lows < highs
+        state[t.index.to_numpy()[core & ~near]] = LOST
+        # predictions that no truth reaches never enter
+        asked = np.flatnonzero(np.cumsum(np.bincount(lows, minlength=len(g) + 1) - np.bincount(highs, minlength=len(g) + 1))[: len(g)] > 0).tolist()
+        for row, core, low, high in zip(*[x[near].tolist() for x in (t.index.to_numpy(), core, lows, highs)], strict=True):
             if not core:
                 doubt[low:high] = True
                 continue
-            while behind < high:  # truths come in time order, so predictions enter once and leave once
-                heapq.heappush(strong, (strength[behind], behind))
+            while behind < len(asked) and asked[behind] < high:  # truths come in time order, so predictions enter once and leave once
+                heapq.heappush(strong, (strength[asked[behind]], asked[behind]))
                 behind += 1
             passed = []
             while strong and (strong[0][1] < low or not free[strong[0][1]] or doubt[strong[0][1]]):
