@@ -69,3 +69,18 @@ def test_many_keys_by_brute_force(spark, monkeypatch, rows):
     strongest = {(r.delta, r.ord): r.hit for r in spotting.match_strongest_each(p, t, [7.0, 18.0]).collect()}
     assert strongest == {(d, o): hit for d in (7.0, 18.0) for o, hit in _brute_strongest(pred, truth, d).items()}
     assert {r.ord for r in spotting.suppress_greedy(p, 11, 0.2, "video", "label").collect()} == _brute_greedy(pred, 11, 0.2)
+
+
+def test_tolerances_share_their_rounds(spark, monkeypatch):
+    rounds = []
+    inner = spotting._by_chunk
+    monkeypatch.setattr(spotting, "_by_chunk", lambda *a: rounds.append(a[3]) or inner(*a))
+    rng = random.Random(3)
+    pred = spark.createDataFrame([(rng.randrange(5), rng.choice("ab"), rng.randrange(100), rng.random(), k) for k in range(200)], PRED)
+    truth = spark.createDataFrame([(rng.randrange(5), rng.choice("abc"), rng.randrange(100), 0.0, k) for k in range(60)], PRED)
+    found = {r.tolerance: r.mean_ap for r in spotting.mean_average_precision(pred, truth, [1, 4, 9]).collect()}
+    assert len(rounds) == 1
+    for tolerance, mean in found.items():
+        alone = spotting.average_precision(spotting.match_nearest(pred, truth, tolerance), truth, [spotting.F.desc("confidence"), spotting.F.col("ord")]).collect()
+        assert mean == pytest.approx(sum(r.ap for r in alone) / 3) and len(alone) == 3
+    assert sorted(found) == [1, 4, 9]
