@@ -117,13 +117,14 @@ def _by_chunk(rows: DataFrame, keys: tuple[str, ...], width: int | None, halo: i
     """
     at = lambda shift: F.floor((F.col("frame") + shift) / width)
     rows = rows.where("frame IS NOT NULL")
+    by = list(keys) if width is None else [*keys, "_chunk"]
     if width is None:
-        laid = rows.withColumn("_chunk", F.lit(0).cast("long")).withColumn("_core", F.lit(True))
+        laid = rows.withColumn("_core", F.lit(True))
     else:
         laid = rows.withColumn("_chunk", F.explode(F.sequence(at(-halo), at(halo)))).withColumn("_core", F.col("_chunk") == at(0))
     # A number given keeps small bytes of dear Python work from being put together in one task.
-    laid = laid.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_chunk")
-    place = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy("frame"))
+    laid = laid.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("frame"))
     laid = laid.withColumn("_new", place == 1).drop("_chunk")
     numbers = [f.name for f in laid.schema.fields if isinstance(f.dataType, (T.NumericType, T.BooleanType))]
     return laid.mapInArrow(_settle_together(settle, numbers, halo, None if schema is not None else rows.columns), schema if schema is not None else rows.schema)
