@@ -14,8 +14,8 @@ ids up to it are committed and forgotten, so a text of any length takes a window
 Where no piece holds two neighbouring characters together (before ``▁``, around line ends,
 before most marks), all paths meet for certain: the ids are committed there too, the search goes
 on from an empty window, and the ids of the stretch between two such points depend
-on it alone. A bounded memo therefore holds the stretches met before. The text is read stretch
-by stretch, one at a time; searching it in one go gives the same ids (tested).
+on it alone. A bounded memo therefore holds the stretches met before, and another the words (a run of
+``▁`` and what follows it) that are made of several. The text is read some words at a time; searching it in one go gives the same ids (tested).
 
 Characters without a piece become the byte pieces of their UTF-8. Should no piece be admissible
 at a boundary, the last character stands alone there. Null and empty texts have
@@ -37,9 +37,11 @@ from pyspark.sql import types as T
 
 from .common import slices
 
-#: Stretches (of either age) and pairs that a worker remembers, and the longest stretch it does; characters between looks for a common boundary.
-MEMO, MEMO_CHARS, LOOK = 220_000, 48, 8
+#: Stretches (of either age) and pairs that a worker remembers, words of several stretches, and the longest of all these; characters between looks for a common boundary.
+MEMO, MIXED, MEMO_CHARS, LOOK = 220_000, 40_000, 48, 8
 SPACE = "▁"
+#: Every stretch lies in one word; and the characters whose words are looked up together.
+WORD, WORDS_CHARS = re.compile(f"{SPACE}+[^{SPACE}]*"), 1 << 16
 
 
 class Pieces:
@@ -67,10 +69,13 @@ class Pieces:
             marks -= found
         heads, rest = re.escape("".join(sorted(marks))), re.escape("".join(sorted(marks)) + alone) + SPACE
         either = [f"{SPACE}+[{heads}]*[^{rest}]*", f"[{heads}]+[^{rest}]*"] if marks else [f"{SPACE}+[^{rest}]*"]
-        self.stretches = re.compile("|".join([*either, f"[^{rest}]+", *([f"[{alone}]"] if alone else [])])).finditer
+        self.stretches = re.compile("|".join([*either, f"[^{rest}]+", *([f"[{alone}]"] if alone else [])])).findall
         #: The ids of stretches, as bytes, which take a third of what tuples would.
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        #: The same of words of several stretches.
+        self.mixed: dict[str, bytes] = {}
+        self.older_mixed: dict[str, bytes] = {}
         self.nodes: dict[str, dict] = {}
         self.known = 0
         self.halves: dict[str, list[str]] = {}
@@ -161,13 +166,15 @@ class Pieces:
                     nodes.append(self._node(text[end - 1]))
                     start.append(end - 1)
                     break
-            self.widest = max(self.widest, end - base)
-            if end % LOOK == 0 and end < len(text):
+            # in a window shorter than a longest piece nothing has met, as a piece may still begin where it does
+            if end % LOOK == 0 and self.longest <= end - base and end < len(text):
+                self.widest = max(self.widest, end - base)
                 meet = self._common(base, start, end)
                 if meet > base:
                     self.commits += 1
                     done += self._path(text, base, start, meet)
                     nodes, start, base = nodes[meet - base :], start[meet - base :], meet
+        self.widest = max(self.widest, len(text) - base)
         return done + self._path(text, base, start, len(text))
 
     def _common(self, base: int, start: list[int], end: int) -> int:
@@ -197,21 +204,56 @@ class Pieces:
                 found += [self.bytes.get(b, self.unknown) for b in piece.encode()] if self.bytes else [self.unknown]
         return found
 
+    def _words(self, text: str) -> Iterator[list[str]]:
+        """The words of ``text``, which begins with ``▁``: each a run of ``▁`` and what follows it; so many characters' at a time."""
+        start, size = 0, WORDS_CHARS
+        while start + size < len(text):
+            words = WORD.findall(text, start, start + size)
+            last = words.pop()  # it may go on
+            if words:
+                yield words
+                start, size = start + size - len(last), WORDS_CHARS
+            else:
+                size *= 2
+        yield WORD.findall(text, start)
+
+    def _remembered(self, stretch: str, ids: bytes) -> bytes:
+        if len(stretch) <= MEMO_CHARS:
+            if len(self.memo) > MEMO:  # what was met since the last time stays one more turn
+                self.older, self.memo = self.memo, {}
+            self.memo[stretch] = ids
+        return ids
+
+    def _remembered_mixed(self, word: str, ids: bytes) -> bytes:
+        if len(word) <= MEMO_CHARS:
+            if len(self.mixed) > MIXED:
+                self.older_mixed, self.mixed = self.mixed, {}
+            self.mixed[word] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a word that is no stretch met lately."""
+        if (ids := self.mixed.get(word)) is not None:
+            return ids
+        if (ids := self.older.get(word)) is not None:
+            return self._remembered(word, ids)
+        if (ids := self.older_mixed.get(word)) is not None:
+            return self._remembered_mixed(word, ids)
+        found = []
+        for stretch in self.stretches(word):
+            ids = self.memo.get(stretch)
+            if ids is None:
+                ids = self._remembered(stretch, self.older.get(stretch) or array("i", self._stretch(stretch)).tobytes())
+            found.append(ids)
+        return found[0] if len(found) == 1 else self._remembered_mixed(word, b"".join(found))
+
     def encode(self, text: str | None) -> array:
-        found, memo = array("i"), self.memo
+        found = array("i")
         if not text:
             return found
-        for match in self.stretches(SPACE + text.replace(" ", SPACE)):
-            stretch = match[0]
-            ids = memo.get(stretch)
-            if ids is None:
-                ids = self.older.get(stretch) or array("i", self._stretch(stretch)).tobytes()
-                if len(stretch) <= MEMO_CHARS:
-                    if len(memo) > MEMO:  # what was met since the last time stays one more turn
-                        self.older, memo = memo, {}
-                        self.memo = memo
-                    memo[stretch] = ids
-            found.frombytes(ids)
+        for words in self._words(SPACE + text.replace(" ", SPACE)):
+            known = map(self.memo.get, words)
+            found.frombytes(b"".join([self._word(word) if ids is None else ids for word, ids in zip(words, known, strict=True)]))
         return found
 
     def decode(self, ids: Iterable[int]) -> str:

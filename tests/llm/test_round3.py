@@ -3,10 +3,12 @@
 import collections
 import gzip
 import math
+import random
 import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -230,3 +232,25 @@ def test_incremental_spectrum_is_the_basis(spark):
     fitted = whitening.fit_whitening(rows, whitening.WhitenRules(partition_rows=5, fan_in=2, components=7))
     assert np.allclose(fitted.incremental[::-1], fitted.values, rtol=1e-10)
     assert isinstance(rows.select(whitening.whole_numbers(F.col("x"))).first()[0], list) and pa is not None
+
+
+def test_sentencepiece_looks_words_up_whole(monkeypatch):
+    """A word met before isn't taken apart again; words that lie across the borders of the parts a text is read in stay whole, and small memos turn over."""
+    import sentencepiece
+
+    from matchlake.llm import sentencepiece_viterbi as S
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, mine = sentencepiece.SentencePieceProcessor(model_file=path), S.Pieces(path)
+    asked, inner = [], mine.stretches
+    mine.stretches = lambda word: asked.append(word) or inner(word)
+    text = "don't say x=f(y); twice,  ok\nthen"
+    assert list(mine.encode(text)) == list(mine.encode(text)) == library.encode(text)
+    assert "".join(asked) == "▁" + text.replace(" ", "▁")
+    for name, size in (("WORDS_CHARS", 5), ("MEMO", 20), ("MIXED", 10)):
+        monkeypatch.setattr(S, name, size)
+    small, rng = S.Pieces(path), random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choice("   aeiouthnsrldéñ中\n.,#01▁") for _ in range(rng.randint(1, 60))) + rng.choice(["", " " * 17, "a" * 60, "the, end."])
+        assert list(small.encode(text)) == library.encode(text), text
+    assert small.older and small.older_mixed and len(small.memo) <= 21 and len(small.mixed) <= 11
