@@ -1,13 +1,16 @@
 """Source divergence audit: how far the words of each source stray from those of the other sources of its language.
 
-A language's vocabulary is what ``CountVectorizer`` keeps of its documents with ``minDF`` and a ``vocabSize``
-that it doesn't fill, so nothing is cut off. Its model turns each document into an exact
-sparse vector, and the vectors of a (lang, source) group are added up entry by entry, where a summary
+Documents of a (lang, source) group that a task reads together become bags: the terms that occur n times
+in d of them, for each n and d, so that a term is a string once for all its occurrences there. d stops at ``min_documents``, beyond
+which it decides nothing. A language's vocabulary is what ``CountVectorizer`` keeps of its bags, each given d times, with ``minDF`` and a ``vocabSize``
+that it doesn't fill, so nothing is cut off: d copies of a bag stand for d documents. Its model turns each bag into an exact
+sparse vector, and n times the vectors of a (lang, source) group are added up entry by entry, where a summary
 of dense vectors would hold the whole vocabulary for every group. Small languages share
 a fit: their terms carry the language, so one fit over several languages keeps for each what a fit of
 its own would (a test holds them together). A fit's
 vocabulary goes through the driver, so ``vocabSize`` is what a driver can take; a fit that has more to keep than that is not used,
-and its languages are counted by shuffles instead, with the same result.
+and its languages are counted by shuffles instead, with the same result. Which fits those are is foreseen from the terms whose hash is a
+multiple of 64, so that few are made in vain.
 
 Shares are whole numbers p = 1 + floor(10^9 (count + 1) / (N + V)), and the distance of two
 sources sums floor((p - q)^2 / q) over the V terms. Only the terms that a source has are looked
@@ -23,19 +26,23 @@ rows count as documents of their own; an empty table gives no row.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import ranked
-from .common import shared_folder, written
+from .common import per_slice, shared_folder, utf8, written
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: What lies between terms: controls, blanks, digits and signs of ASCII.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bytes of text that become bags together; bounds the memory of a worker.
+TEXT_OF_BAGS = 8 << 20
+BAGS = "lang string, source string, n long, d long, terms array<string>"
+#: One of so many terms, by hash, is counted before the fits.
+SAMPLED = 64
 #: Between a term and its language; no term holds it.
 MARK = "\x00"
 
@@ -52,10 +59,57 @@ class DivergenceRules:
     ranks: int = 200
 
 
-def terms(text: Column) -> Column:
-    """The terms of a text, with A-Z lower-cased and no other letter changed."""
-    lowered = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.array_remove(F.split(lowered, BETWEEN), "")
+def _counted(most: int) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """Bags of a batch of (lang, source, text): for each group, n and d the terms that occur n times in d of its texts, with d up to ``most``."""
+    import numpy as np
+
+    # what a byte is in a term: A-Z as a-z, 0 if it is in none; letters beyond ASCII have bytes from 128 on only
+    fold = np.zeros(256, np.uint8)
+    fold[97:123] = fold[65:91] = np.arange(97, 123)
+    fold[128:] = np.arange(128, 256)
+
+    def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct keys in order, and how often each occurs."""
+        keys.sort()
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        return keys[at], np.diff(at, append=len(keys))
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        langs, sources = (batch.column(k).dictionary_encode() for k in (0, 1))
+        group = langs.indices.to_numpy().astype(np.int64) * len(sources.dictionary) + sources.indices.to_numpy()
+        data, texts = utf8(batch.column(2))
+        letters = fold[data]
+        inside = letters != 0
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        heads = texts[:-1][texts[:-1] < texts[1:]]
+        first[heads] = inside[heads]
+        text = np.repeat(np.arange(len(group)), np.diff(np.searchsorted(np.flatnonzero(first), texts)))
+        letters = letters[inside]
+        starts = np.append(np.flatnonzero(first[inside]), len(letters)).astype(np.int32)
+        del data, first, inside
+        words = pa.Array.from_buffers(pa.string(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(letters)]).dictionary_encode()
+        del letters, starts
+        code, size = words.indices.to_numpy(), max(1, len(words.dictionary))
+        pairs, n = runs(group[text] * size + code)
+        own, _ = runs(text * size + code)
+        # the same pairs: a term that a group has is in a text of it
+        _, d = runs(group[own // size] * size + own % size)
+        d = np.minimum(d, most)
+        group, code = pairs // size, pairs % size
+        order = np.lexsort((d, n, group))
+        group, n, d = group[order], n[order], d[order]
+        at = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (n[1:] != n[:-1]) | (d[1:] != d[:-1])])) if len(order) else np.zeros(0, np.int64)
+        terms = pa.ListArray.from_arrays(pa.array(np.append(at, len(order)).astype(np.int32)), words.dictionary.take(pa.array(code[order])))
+        lang, source = np.divmod(group[at], len(sources.dictionary) or 1)
+        return pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang)), sources.dictionary.take(pa.array(source)), pa.array(n[at]), pa.array(d[at]), terms], ["lang", "source", "n", "d", "terms"])
+
+    return count
+
+
+def bags(docs: DataFrame, rules: DivergenceRules) -> DataFrame:
+    """Bags (lang, source, n, d, terms) of the documents, with A-Z of the terms lower-cased and no other letter changed; a term may be in several of a group."""
+    return docs.select("lang", "source", "text").mapInArrow(per_slice(_counted(max(1, rules.min_documents)), 1 << 30, TEXT_OF_BAGS), BAGS)
 
 
 def fits(docs: DataFrame, rules: DivergenceRules) -> list[list[str]]:
@@ -66,14 +120,23 @@ def fits(docs: DataFrame, rules: DivergenceRules) -> list[list[str]]:
     return [[lang] for lang in known[: rules.own_fits]] + [rest[k : k + rules.shared_fit] for k in range(0, len(rest), rules.shared_fit)]
 
 
-def vector_sums(docs: DataFrame, langs: list[str], rules: DivergenceRules) -> tuple[DataFrame, DataFrame] | None:
-    """Sums (lang, source, id, n) of the document vectors of one CountVectorizer over some languages, and its vocabulary (lang, id, term); None if that is too large."""
-    found = terms(F.col("text"))
+def foreseen(counted: DataFrame, rules: DivergenceRules) -> dict[str, int]:
+    """About how many terms each language keeps, from the sampled ones."""
+    some = counted.select("lang", "d", F.explode("terms").alias("term")).where(F.pmod(F.xxhash64("term"), F.lit(SAMPLED)) == 0)
+    kept = some.groupBy("lang", "term").agg(F.sum("d").alias("d")).where(F.col("d") >= rules.min_documents)
+    return {r["lang"]: SAMPLED * r["n"] for r in kept.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+
+
+def vector_sums(docs: DataFrame, langs: list[str], rules: DivergenceRules, counted: DataFrame | None = None) -> tuple[DataFrame, DataFrame] | None:
+    """Sums (lang, source, id, n) of the vectors of one CountVectorizer over some languages, and its vocabulary (lang, id, term); None if that is too large. ``counted`` are the bags, if at hand."""
+    found = F.col("terms")
     if len(langs) > 1:
         found = F.transform(found, lambda t: F.concat(t, F.lit(MARK), F.col("lang")))
-    # the mark alone stands in each document, so that no vocabulary is empty
-    named = docs.where(F.col("lang").isin(langs)).select("lang", "source", F.array_append(found, F.lit(MARK)).alias("_terms"))
-    model = CountVectorizer(inputCol="_terms", outputCol="_vector", minDF=float(rules.min_documents), vocabSize=min(rules.fit_terms, 2**31 - 3) + 2).fit(named.select("_terms"))
+    named = (bags(docs, rules) if counted is None else counted).where(F.col("lang").isin(langs)).select("lang", "source", "n", "d", found.alias("_terms"))
+    # the mark alone stands in documents enough, so that no vocabulary is empty
+    marked = docs.sparkSession.range(max(1, rules.min_documents)).select(F.array(F.lit(MARK)).alias("_terms"))
+    each = named.select("_terms", F.explode(F.sequence(F.lit(1).cast("long"), "d"))).select("_terms").union(marked)
+    model = CountVectorizer(inputCol="_terms", outputCol="_vector", minDF=float(rules.min_documents), vocabSize=min(rules.fit_terms, 2**31 - 3) + 2).fit(each)
     # the vocabulary goes from the model's own file to a table, and never through Python
     place = f"{shared_folder(docs.sparkSession)}/model-{uuid.uuid4().hex}"
     model.save(place)
@@ -81,22 +144,18 @@ def vector_sums(docs: DataFrame, langs: list[str], rules: DivergenceRules) -> tu
     if saved.select(F.size("vocabulary")).first()[0] > rules.fit_terms + 1:
         return None
     kept = saved.select(F.posexplode("vocabulary").alias("id", "word")).select(F.col("id").cast("long"), "word")
-    mark = kept.where(F.col("word") == MARK).first()["id"]
     parts = F.split("word", MARK, 2)
     words = kept.where(F.col("word") != MARK).select((F.get(parts, 1) if len(langs) > 1 else F.lit(langs[0])).alias("lang"), "id", parts[0].alias("term"))
-    vector = F.unwrap_udt("_vector")
-    entries = model.transform(named).select("lang", "source", F.explode(F.arrays_zip(vector["indices"].alias("i"), vector["values"].alias("v"))).alias("_e"))
-    entries = entries.select("lang", "source", F.col("_e.i").cast("long").alias("id"), F.col("_e.v").cast("long").alias("n")).where(F.col("id") != mark)
+    # a bag has a term once, so its vector's values are 1
+    entries = model.transform(named).select("lang", "source", "n", F.explode(F.unwrap_udt("_vector")["indices"]).alias("id"))
     # written at once, so that the driver lets go of the vocabulary and the model before the next fit
-    return written(entries.groupBy("lang", "source", "id").agg(F.sum("n").alias("n"))), written(words)
+    return written(entries.groupBy("lang", "source", F.col("id").cast("long").alias("id")).agg(F.sum("n").alias("n"))), written(words)
 
 
-def shuffled_sums(docs: DataFrame, rules: DivergenceRules) -> tuple[DataFrame, DataFrame]:
+def shuffled_sums(docs: DataFrame, rules: DivergenceRules, counted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The same by shuffles, for vocabularies of any size."""
-    found = terms(F.col("text"))
-    each = F.concat(F.transform(found, lambda t: F.struct(t.alias("t"), F.lit(1).alias("n"), F.lit(0).alias("d"))), F.transform(F.array_distinct(found), lambda t: F.struct(t.alias("t"), F.lit(0).alias("n"), F.lit(1).alias("d"))))
-    sums = docs.select("lang", "source", F.explode(each).alias("_e")).groupBy("lang", "source", F.col("_e.t").alias("term")).agg(F.sum("_e.n").alias("n"), F.sum("_e.d").alias("d"))
-    sums = written(sums)
+    each = (bags(docs, rules) if counted is None else counted).select("lang", "source", "n", "d", F.explode("terms").alias("term"))
+    sums = written(each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d")))
     words = sums.groupBy("lang", "term").agg(F.sum("d").alias("d")).where(F.col("d") >= rules.min_documents)
     words = written(ranked(words.select("lang", "term"), "lang", "term").select("lang", F.col("rank").alias("id"), "term"))
     return written(sums.join(words, ["lang", "term"]).select("lang", "source", "id", "n")), words
@@ -105,11 +164,17 @@ def shuffled_sums(docs: DataFrame, rules: DivergenceRules) -> tuple[DataFrame, D
 def term_sums(docs: DataFrame, rules: DivergenceRules = DivergenceRules()) -> tuple[DataFrame, DataFrame]:
     """Sums (lang, source, id, n): occurrences of each language's kept terms in each of its sources that has them; and the terms (lang, id, term)."""
     docs = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    fitted = {tuple(langs): vector_sums(docs, langs, rules) for langs in fits(docs, rules)}
-    done = [lang for langs, found in fitted.items() if found for lang in langs]
-    parts = [found for found in fitted.values() if found]
-    if len(done) < sum(map(len, fitted)) or len(done) >= rules.fit_languages or not done:
-        parts.append(shuffled_sums(docs.where(~F.col("lang").isin(done)), rules))
+    counted = written(bags(docs, rules))
+    sizes = foreseen(counted, rules)
+    dealt = fits(docs, rules)
+    parts, done = [], []
+    for langs in dealt:
+        if sum(sizes.get(lang, 0) for lang in langs) <= rules.fit_terms and (found := vector_sums(docs, langs, rules, counted)):
+            parts.append(found)
+            done += langs
+    if len(done) < sum(map(len, dealt)) or len(done) >= rules.fit_languages or not done:
+        rest = ~F.col("lang").isin(done)
+        parts.append(shuffled_sums(docs.where(rest), rules, counted.where(rest)))
     sums, words = zip(*parts, strict=True)
     return reduce(DataFrame.union, sums), reduce(DataFrame.union, words)
 

@@ -85,6 +85,52 @@ def test_divergence_fits(spark):
     assert divergence.vector_sums(docs, ["en"], divergence.DivergenceRules(fit_terms=kept - 1)) is None
 
 
+def fitted(monkeypatch):
+    """Strings that each fit reads, from now on."""
+    read = []
+
+    class Counting(divergence.CountVectorizer):
+        def fit(self, dataset, params=None):
+            read.append(dataset.agg(F.sum(F.size(self.getInputCol()))).first()[0])
+            return super().fit(dataset, params)
+
+    monkeypatch.setattr(divergence, "CountVectorizer", Counting)
+    return read
+
+
+def test_divergence_fit_reads_terms_not_occurrences(spark, monkeypatch):
+    """A term is one string for all its occurrences in a task's texts of a group, at most one more for each document up to three."""
+    rows = [(k, "en", "ab"[k % 2], "lorem ipsum dolor sit amet " * 50 + f"once{'abcdefghij'[k % 10]}") for k in range(100)]
+    docs, read = divergent(spark, rows).coalesce(1), fitted(monkeypatch)
+    assert sorted(map(tuple, divergence.divergence(docs).collect())) == brute_divergence([r[1:] for r in rows])
+    assert len(read) == 1 and read[0] <= 3 * 2 * 15 + 3
+
+
+def test_divergence_no_fit_in_vain(spark, monkeypatch):
+    """Languages with more terms than a fit may keep are counted by shuffles at once."""
+    word = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(4))
+    rows = [(k, "en", "ab"[k % 2], " ".join(map(word, range(4000)))) for k in range(3)] + [(9 + k, "fr", "a", "un deux") for k in range(3)]
+    docs, read = divergent(spark, rows), fitted(monkeypatch)
+    found = sorted(map(tuple, divergence.divergence(docs, divergence.DivergenceRules(fit_terms=2000)).collect()))
+    assert found == brute_divergence([r[1:] for r in rows]) and len(read) == 1 and read[0] < 100
+
+
+@pytest.mark.parametrize("size", [1, 40, 8 << 20])
+@pytest.mark.parametrize("rules", [divergence.DivergenceRules(), divergence.DivergenceRules(fit_terms=0)])
+def test_divergence_slices(spark, monkeypatch, size, rules):
+    """However texts are dealt to bags, each term is counted in each of its documents once."""
+    monkeypatch.setattr(divergence, "TEXT_OF_BAGS", size)
+    docs = divergent(spark).coalesce(1)
+    assert sorted(map(tuple, divergence.divergence(docs, rules).collect())) == brute_divergence([r[1:] for r in ODD])
+    held = divergence.bags(docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")]), rules).collect()
+    want = collections.Counter(t for _, lang, source, text in ODD for t in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")))
+    got = collections.Counter()
+    for r in held:
+        assert 1 <= r.d <= min(3, r.n) and len(set(r.terms)) == len(r.terms)
+        got.update(dict.fromkeys(r.terms, r.n))
+    assert got == want
+
+
 # 12. WARC
 
 PAGES = [(1, "http://a/ b\r\nX: y", "x" * 99), (2, None, "x" * 99), (3, "http://c", "y" * 100), (5, "http://e/ü", "y" * 100), (4, "http://d", "y" * 100), (4, "http://d2", "y" * 100), (6, "", None), (7, "u", ""), (None, "n", "y" * 100), (None, "n", "z" * 200), (8, "big", "\r\n\r\nä😀" * 300_000), (8, "big", "\r\n\r\nä😀" * 300_000)]
